@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding
+from . import decontam, packing, sharding
 
 SHARDS = 24
 
@@ -37,8 +37,17 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontam.digest(found)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_sharding": op2_sharding}
+    return {
+        "op1_packing": op1_packing,
+        "op2_sharding": op2_sharding,
+        "op3_decontamination": op3_decontamination,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
