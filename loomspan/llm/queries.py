@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, packing, sharding
+from . import decontam, jaccard, packing, sharding, substring
 
 SHARDS = 24
 
@@ -46,12 +46,17 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(read(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicated(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_sharding": op2_sharding,
         "op3_decontamination": op3_decontamination,
         "op4_jaccard_join": op4_jaccard_join,
+        "op5_substring_dedup": op5_substring_dedup,
     }
 
 

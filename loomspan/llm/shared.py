@@ -104,7 +104,7 @@ def partitions(spark: SparkSession) -> int:
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan, an upper bound for a plain file scan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def small_enough(df: DataFrame, most_rows: int) -> bool:
