@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, packing, sharding, substring
+from . import decontam, hostrules, jaccard, packing, sharding, substring, urlrep
 
 SHARDS = 24
 
@@ -50,6 +50,15 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicated(read(spark, sf_dir, "documents"))
 
 
+def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hostrules.filtered(read(spark, sf_dir, "documents"))
+
+
+def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return urlrep.judged(pages, urlrep.labelled_outcomes(pages, read(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -57,6 +66,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": op3_decontamination,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_substring_dedup": op5_substring_dedup,
+        "op9_host_rules": op9_host_rules,
+        "op10_url_reputation": op10_url_reputation,
     }
 
 
