@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hostrules, jaccard, packing, sharding, substring, urlrep
+from . import decontam, hostrules, jaccard, packing, secrets, sharding, substring, urlrep
 
 SHARDS = 24
 
@@ -50,6 +50,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicated(read(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return secrets.digest(secrets.with_secrets(docs, secrets.train(secrets.labelled_samples(docs))))
+
+
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.filtered(read(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": op3_decontamination,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_substring_dedup": op5_substring_dedup,
+        "op7_secret_scan": op7_secret_scan,
         "op9_host_rules": op9_host_rules,
         "op10_url_reputation": op10_url_reputation,
     }

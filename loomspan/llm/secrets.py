@@ -1,0 +1,148 @@
+"""Secret scans: fixed patterns, and character Markov models for what the patterns miss.
+
+All of it is built-in expressions.  Two first-order character models, one of random strings
+and one of ordinary identifiers, are counted from labelled samples; a long token is a secret
+when the log-likelihood ratio of the two exceeds a margin.  The table of log ratios is a
+literal in the plan, its size fixed by the alphabet, so that a scan is one pass without a
+shuffle, and a row needs nothing but itself.
+
+Labelled samples: what the patterns match counts as random, other long tokens as ordinary.
+The fit takes at most about ``SAMPLE_DOCS`` documents, chosen by hash; scanning covers all.
+
+Defined results: a null text has no spans; repeated rows each get theirs; without any
+labelled random string the models add nothing; an empty table gives an empty result; other
+columns are ignored.  Positions count code points.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+KEYWORDS = "password|passwd|secret|token|api_?key"
+ASSIGN = rf"(?i:{KEYWORDS})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+ACCESS = r"AKIA[A-Z0-9]{16,}"  # the whole run, which is 20 characters or more
+HEX = r"[0-9a-f]{24,}"
+TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
+LEAST_VALUE = 6
+KINDS = ["assign", "access", "hex", "markov"]
+ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+SAMPLE_DOCS = 20_000
+MARGIN = 6.0
+
+SPAN = "struct<s:int,k:int,e:int,v:string>"
+
+
+def _found(docs: DataFrame, name: str, pattern: str, group: int, kind: int, quick: Column) -> DataFrame:
+    """Adds the spans of one pattern; texts without a match skip all but the first look."""
+    text = F.col("text")
+    has = quick & text.rlike(pattern)
+    docs = docs.withColumn("gaps", F.when(has, F.split(text, pattern, -1)))
+    docs = docs.withColumn("matches", F.when(F.col("gaps").isNotNull(), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
+    if group:
+        docs = docs.withColumn("values", F.when(F.col("gaps").isNotNull(), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))))
+    values = F.col("values") if group else F.col("matches")
+    docs = docs.select(*[c for c in docs.columns if c not in ("gaps", "matches", "values")], F.struct(
+        F.slice("gaps", 1, F.greatest(F.size("matches"), F.lit(0))).alias("g"), F.col("matches").alias("m"), values.alias("v")).alias("raw"))
+    zipped = F.arrays_zip("raw.g", "raw.m", "raw.v")
+    spans = F.expr(
+        "aggregate(zipped, "
+        f"named_struct('at', 0, 'out', CAST(array() AS array<{SPAN}>)), "
+        f"(a, x) -> named_struct('at', a.at + char_length(x.g) + char_length(x.m), 'out', array_append(a.out, "
+        f"named_struct('s', a.at + char_length(x.g), 'k', {kind}, 'e', a.at + char_length(x.g) + char_length(x.m), 'v', x.v))), "
+        "a -> a.out)"
+    )
+    docs = docs.withColumn("zipped", zipped)
+    docs = docs.withColumn(name, F.coalesce(spans, F.expr(f"CAST(array() AS array<{SPAN}>)")))
+    return docs.drop("raw", "zipped")
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """Adds ``base``, the spans of the patterns, and ``tokens``, long tokens that touch none of them."""
+    docs = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    always = F.lit(True)
+    docs = _found(docs, "assign", ASSIGN, 1, 0, always)
+    docs = _found(docs, "access", ACCESS, 0, 1, F.contains(F.col("text"), F.lit("AKIA")))
+    docs = _found(docs, "hex", HEX, 0, 2, always)
+    docs = _found(docs, "long", TOKEN, 0, 3, always)
+    assign = F.filter("assign", lambda x: F.char_length(x.v) >= LEAST_VALUE)
+    docs = docs.withColumn("base", F.concat(assign, F.col("access"), F.col("hex"))).drop("assign", "access", "hex")
+    free = F.filter("long", lambda x: ~F.exists("base", lambda b: (b.s < x.e) & (x.s < b.e)))
+    return docs.withColumn("tokens", free).drop("long")
+
+
+def labelled_samples(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
+    """(token, is_random) from about ``most`` documents."""
+    every = max(1, -(-docs.count() // most))
+    some = scanned(docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0))
+    random = some.select(F.explode("base.v").alias("token"), F.lit(True).alias("is_random"))
+    return random.unionAll(some.select(F.explode("tokens.v").alias("token"), F.lit(False).alias("is_random")))
+
+
+def train(samples: DataFrame) -> str | None:
+    """Log ratios of transition probabilities, comma-joined, row by row of the alphabet; None without random samples."""
+    pairs = samples.select("is_random", F.explode(F.expr("transform(sequence(1, char_length(token) - 1), i -> substring(token, i, 2))")).alias("pair"))
+    pairs = pairs.filter(F.char_length("pair") == 2)
+    n, counts = len(ALPHABET), {True: {}, False: {}}
+    for random, pair, k in pairs.groupBy("is_random", "pair").count().collect():  # no more rows than two alphabets squared
+        counts[random][pair] = k
+    if not counts[True]:
+        return None
+    table = []
+    for a in ALPHABET:
+        totals = {r: sum(counts[r].get(a + b, 0) for b in ALPHABET) for r in counts}
+        for b in ALPHABET:
+            p, q = ((counts[r].get(a + b, 0) + 0.5) / (totals[r] + 0.5 * n) for r in (True, False))
+            table.append(f"{math.log(p / q):.4f}")
+    return ",".join(table)
+
+
+def with_secrets(docs: DataFrame, table: str | None, margin: float = MARGIN) -> DataFrame:
+    """Adds ``base`` and ``spans``, the latter with what the models add; both by start, then kind."""
+    docs = scanned(docs)
+    if table is None:
+        added = F.expr(f"CAST(array() AS array<{SPAN}>)")
+    else:
+        n = len(ALPHABET)
+        score = (
+            "aggregate(sequence(2, char_length(x.v)), 0D, (t, i) -> t + coalesce(get(ratios, "
+            f"(instr('{ALPHABET}', substring(x.v, i - 1, 1)) - 1) * {n} + instr('{ALPHABET}', substring(x.v, i, 1)) - 1), 0D))"
+        )
+        docs = docs.withColumn("ratios", F.split(F.lit(table), ",").cast("array<double>"))
+        added = F.expr(f"filter(tokens, x -> {score} > {margin}D)")
+    docs = docs.withColumn("added", added)
+    base = F.array_sort("base")
+    return docs.withColumn("spans", F.array_sort(F.concat("base", "added"))).withColumn("base", base).drop("added", "tokens", "ratios")
+
+
+def joined(spans: str) -> Column:
+    """``kind:start:end`` of all spans, comma-joined."""
+    names = F.array(*[F.lit(k) for k in KINDS])
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x.k), x.s.cast("string"), x.e.cast("string"))), ",")
+
+
+def digest(found: DataFrame) -> DataFrame:
+    count = lambda k: F.size(F.filter("base", lambda x: x.k == k)).cast("long")
+    return found.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(joined("base"), 256).alias("base_sha256"),
+        joined("spans").alias("spans"),
+    )
+
+
+def redacted(docs: DataFrame, table: str | None, mask: str = "[SECRET]", margin: float = MARGIN) -> DataFrame:
+    """The documents with every span of a secret masked, and ``n_chars`` of the new text."""
+    found = with_secrets(docs, table, margin)
+    masked = F.expr(
+        "aggregate(spans, named_struct('at', 0, 'out', ''), (a, x) -> named_struct('at', greatest(a.at, x.e), 'out', "
+        f"concat(a.out, substring(text, a.at + 1, greatest(0, x.s - a.at)), CASE WHEN x.e > a.at THEN '{mask}' ELSE '' END)), "
+        "a -> concat(a.out, substring(text, a.at + 1)))"
+    )
+    found = found.withColumn("text", F.when(F.size("spans") > 0, masked).otherwise(F.col("text")))
+    found = found.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return found.select(*docs.columns)
