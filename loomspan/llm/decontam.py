@@ -191,8 +191,10 @@ def _items_of(q: Phrases, phrase: np.ndarray, doc: np.ndarray, n: int) -> list[n
 
 def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Overlapping and adjoining spans of a document as one; positions are the segment's, so documents never mix."""
+    if not len(start):
+        return doc, start, end
     order = np.argsort(start, kind="stable")
-    doc, start, reach = doc[order], start[order], np.maximum.accumulate(end[order]) if len(end) else end
+    doc, start, reach = doc[order], start[order], np.maximum.accumulate(end[order])
     new = np.ones(len(start), bool)
     new[1:] = (start[1:] > reach[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
