@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hostrules, jaccard, packing, secrets, sharding, substring, urlrep
+from . import decontam, hostrules, jaccard, langid, packing, secrets, sharding, substring, urlrep
+from .shared import Workspace
 
 SHARDS = 24
 
@@ -55,6 +56,17 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.with_secrets(docs, secrets.train(secrets.labelled_samples(docs))))
 
 
+def held_out():
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    workspace = Workspace(spark, "langid")
+    predicted = workspace.table(langid.predict(docs, langid.fit(docs.filter(~held_out()))), "predicted")
+    return predicted.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.filtered(read(spark, sf_dir, "documents"))
 
@@ -72,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_jaccard_join": op4_jaccard_join,
         "op5_substring_dedup": op5_substring_dedup,
         "op7_secret_scan": op7_secret_scan,
+        "op8_language_id": op8_language_id,
         "op9_host_rules": op9_host_rules,
         "op10_url_reputation": op10_url_reputation,
     }
