@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hostrules, jaccard, langid, packing, secrets, sharding, substring, urlrep
+from . import cotrain, decontam, hostrules, jaccard, langid, packing, secretscan, sharding, substring, urlrep
 from .shared import Workspace
 
 SHARDS = 24
@@ -51,9 +51,15 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicated(read(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = cotrain.fit(docs, read(spark, sf_dir, "labels"))
+    return Workspace(spark, "cotrain").table(cotrain.scores(docs, model), "scores")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return secrets.digest(secrets.with_secrets(docs, secrets.train(secrets.labelled_samples(docs))))
+    return secretscan.digest(secretscan.with_secrets(docs, secretscan.train(secretscan.labelled_samples(docs))))
 
 
 def held_out():
@@ -83,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": op3_decontamination,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_substring_dedup": op5_substring_dedup,
+        "op6_quality_classifier": op6_quality_classifier,
         "op7_secret_scan": op7_secret_scan,
         "op8_language_id": op8_language_id,
         "op9_host_rules": op9_host_rules,
