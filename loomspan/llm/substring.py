@@ -26,7 +26,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -136,35 +135,51 @@ def anchored_windows(texts: DataFrame, window: int, block: int, buckets: int) ->
     return texts.select("key", "text", "anchors").mapInArrow(run, WINDOWS)
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """(key, at) of a bucket's windows that occur more than once, as one row for each key."""
-    hashes = _numbers(table.column("hash"), U)
-    keys = []
-    for doc, own, at in zip(*(table.column(c).to_pylist() for c in ("doc", "keys", "at"))):
-        keys.append(np.frombuffer(own, np.int64)[np.frombuffer(doc, np.uint16 if len(doc) * 2 == len(at) else np.uint32)])
-    key, at = np.concatenate([*keys, np.zeros(0, np.int64)]), _numbers(table.column("at"), np.int32)
-    order = np.argsort(hashes, kind="stable")
-    same = hashes[order][1:] == hashes[order][:-1]
-    hit = np.zeros(len(hashes), bool)
-    hit[order[1:][same]] = hit[order[:-1][same]] = True
-    key, at = key[hit], at[hit]
-    order = np.argsort(key, kind="stable")
-    names, begin = np.unique(key[order], return_index=True)
-    return pa.table({"key": pa.array(names, pa.int64()), "at": _binary(np.split(at[order], begin[1:]) if len(names) else [])})
+PLACES = "dest int, keys binary, counts binary, ats binary"
+
+
+def _repeated(buckets: int):
+    """Places of a bucket's windows that occur more than once, one row for each part of the keys."""
+
+    def run(table: pa.Table) -> pa.Table:
+        hashes = _numbers(table.column("hash"), U)
+        keys = []
+        for doc, own, at in zip(*(table.column(c).to_pylist() for c in ("doc", "keys", "at"))):
+            keys.append(np.frombuffer(own, np.int64)[np.frombuffer(doc, np.uint16 if len(doc) * 2 == len(at) else np.uint32)])
+        key, at = np.concatenate([*keys, np.zeros(0, np.int64)]), _numbers(table.column("at"), np.int32)
+        order = np.argsort(hashes, kind="stable")
+        same = hashes[order][1:] == hashes[order][:-1]
+        hit = np.zeros(len(hashes), bool)
+        hit[order[1:][same]] = hit[order[:-1][same]] = True
+        key, at = key[hit], at[hit]
+        order = np.lexsort((key, key % buckets))
+        key, at = key[order], at[order]
+        rows = []
+        for dest, k, a in _split(key % buckets, buckets, key, at):
+            names, counts = np.unique(k, return_counts=True)
+            rows.append((dest, names, counts.astype(np.int32), a))
+        dest, *rest = zip(*rows) if rows else ((), (), (), ())
+        return pa.table([pa.array(dest, pa.int32()), *map(_binary, rest)], names=["dest", "keys", "counts", "ats"])
+
+    return run
 
 
 def _spans(window: int):
     """Overlapping and adjoining repeats of a document as maximal spans of words."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for parts in batch["ats"]:
-                at = np.unique(np.frombuffer(b"".join(parts), np.int32))
-                first = np.flatnonzero(np.diff(at, prepend=-window - 1) > window)
-                last = np.append(first[1:], len(at)) - 1
-                out.append(np.stack([at[first], at[last] + window], axis=1).ravel().tolist())
-            yield pd.DataFrame({"key": batch["key"], "spans": out})
+    def run(table: pa.Table) -> pa.Table:
+        key = np.repeat(_numbers(table.column("keys"), np.int64), _numbers(table.column("counts"), np.int32))
+        at = _numbers(table.column("ats"), np.int32)
+        order = np.lexsort((at, key))
+        key, at = key[order], at[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (np.diff(at) > window)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(at)) - 1
+        names, begin = np.unique(key[first], return_index=True)
+        spans = np.stack([at[first], at[last] + window], axis=1).ravel()
+        bounds = 2 * np.append(begin, len(first))
+        return pa.table({"key": names, "spans": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(spans, pa.int32()))})
 
     return run
 
@@ -202,9 +217,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, buckets: int | None = None) -
     anchors = work.table(found.applyInArrow(_anchors, "key long, block_no int"), "anchors")
     by_key = anchors.groupBy("key").agg(F.collect_list("block_no").alias("anchors"))
     windows = anchored_windows(texts.join(by_key, "key"), window, block, buckets).repartition(buckets, "bucket")
-    places = windows.groupBy("bucket").applyInArrow(_repeated, "key long, at binary")
-    by_key = places.groupBy("key").agg(F.collect_list("at").alias("ats"))
-    spans = work.table(by_key.mapInPandas(_spans(window), "key long, spans array<int>"), "spans")
+    places = windows.groupBy("bucket").applyInArrow(_repeated(buckets), PLACES)
+    places = places.repartition(buckets, "dest").groupBy("dest")
+    spans = work.table(places.applyInArrow(_spans(window), "key long, spans array<int>"), "spans")
     work.drop("anchors")
     return texts, spans
 
