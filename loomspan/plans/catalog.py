@@ -1,13 +1,20 @@
-"""Registered queries with their SQL oracles."""
+"""Registered queries with their SQL oracles, by operator family."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").limit(10)
+from pyspark.sql import DataFrame, SparkSession
+
+from . import catalog_core, catalog_fronts, catalog_writes  # noqa: F401  (they register themselves)
+from .registry import ORACLES, QUERIES
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["agg_grouped"](spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
