@@ -9,17 +9,19 @@ so that its region lies within a window of that order: a document is replicated
 regions of its first ``n - ceil(t * n) + 1`` shingles, and any two linked documents meet in
 a region.
 
-* A small region joins directly: its pairs are counted over all regions, and the count, the
-  sizes and what the windows leave open bound the overlap before any set is moved.
-* The regions of one large group share a member; they merge into a cell around it.  A cell
-  joins recursively: document pivots, exact distances to them, Voronoi regions with
-  documents copied to a neighbour if their distance to it is within twice the radius of
-  that to their own pivot, and so on, down to regions that are compared outright.
-* A cell of over ``CELL`` members is dealt as all pairs of blocks of it, so that no task
-  holds more than two blocks.
-
-The order puts frequent shingles last; frequencies only steer the work, for any order gives
-the same links.  Equal sets are one class throughout.
+* In a small region all pairs are candidates.  They are counted over all regions, and the
+  count, the sizes and what the windows leave open bound the overlap before any set moves.
+* A large region's members are candidates with its least member, its pivot.
+* Candidates that hang together form a cell, and a cell joins recursively: document pivots,
+  exact distances to them, Voronoi regions with documents copied to a neighbour if their
+  distance to it is within twice the radius of that to their own pivot, and so on, down to
+  regions that are compared outright.
+* Where more than ``CELL`` members hang together, small regions' candidates are compared
+  pair by pair and a pivot's members as all pairs of blocks, so that no task holds more
+  than two blocks.
+
+The order puts shingles of large regions last; that only steers the work, for any order
+gives the same links.  Equal sets are one class throughout.
 
 Defined results: null, empty and wordless texts have no shingles and link with nothing, each
 its own component; texts of fewer words than a shingle have one, their whole sequence;
@@ -42,10 +44,9 @@ from .shared import Workspace
 
 SHINGLE = 4
 PERCENT = 85
-LEAF = 16
-CELL = 6000
+LEAF = 32
+CELL = 3000
 MOST_FREQUENT = 200_000
-LOCAL_COPIES = 3
 
 U = np.uint64
 
@@ -84,22 +85,6 @@ def prefix_size(n: int, percent: int) -> int:
     return n + (-percent * n // 100) + 1 if n else 0
 
 
-def frequent_shingles(docs: DataFrame, size: int, most: int) -> np.ndarray:
-    """Shingles that many documents of one slice share, the most frequent ``most`` by their sums over all."""
-    alphabet = textscan.unspaced(lower=True)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in textscan.slices(batch.column(0), alphabet):
-                values, counts = np.unique(np.concatenate(shingle_sets(part, size)), return_counts=True)
-                often = counts >= LOCAL_COPIES
-                yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often], pa.int64())], names=["s", "n"])
-
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "s").limit(most).select("s").toArrow()
-    return np.unique(top.column(0).to_numpy().view(U))
-
-
 def sets_and_prefixes(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
     """Of each document: set size, signature and the shingles of its window."""
     alphabet = textscan.unspaced(lower=True)
@@ -130,6 +115,14 @@ def sets_and_prefixes(docs: DataFrame, size: int, percent: int, frequent: np.nda
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, sig long, prefix array<long>")
 
 
+def frequent_shingles(docs: DataFrame, size: int, percent: int, leaf: int, most: int) -> np.ndarray:
+    """Shingles whose regions would be large in the plain hash order, the ``most`` largest at most."""
+    windows = sets_and_prefixes(docs, size, percent, np.zeros(0, U))
+    counted = windows.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count("*").alias("n"))
+    top = counted.filter(F.col("n") > leaf).orderBy(F.desc("n"), "s").limit(most).select("s").toArrow()
+    return np.unique(top.column(0).to_numpy().view(U))
+
+
 def packed_sets(texts: DataFrame, size: int) -> DataFrame:
     """(sig, n, blob): the top 40 bits of each shingle, sorted."""
     alphabet = textscan.unspaced(lower=True)
@@ -260,14 +253,13 @@ def _join_cell(percent: int):
     return run
 
 
-def memberships(regions: DataFrame, percent: int, leaf: int, cell: int) -> DataFrame:
-    """(cell, sig, centre): which sets must meet.
+def candidates(regions: DataFrame, percent: int, leaf: int) -> DataFrame:
+    """(sig_a, sig_b) of small regions that their counts leave possible; ``a`` has the larger set.
 
     ``regions`` has (s, sig, n, p, size), ``p`` the window's length and ``size`` the region's.
-    A cell with a centre only compares it with the others.
+    Common shingles outside both windows are at most those that the shorter reach leaves out.
     """
-    large = regions.filter(F.col("size") > leaf)
-    in_large = large.groupBy("sig").agg(F.count("*").alias("wide"))
+    in_large = regions.filter(F.col("size") > leaf).groupBy("sig").agg(F.count("*").alias("wide"))
     small = regions.filter(F.col("size") <= leaf).join(in_large, "sig", "left").fillna(0, ["wide"])
     a = small.select("s", *[F.col(c).alias(f"{c}_a") for c in ("sig", "n", "p", "wide")])
     b = small.select("s", *[F.col(c).alias(f"{c}_b") for c in ("sig", "n", "p", "wide")])
@@ -277,37 +269,63 @@ def memberships(regions: DataFrame, percent: int, leaf: int, cell: int) -> DataF
     pairs = pairs.groupBy("sig_a", "sig_b", "n_a", "n_b", "p_a", "p_b", "wide_a", "wide_b").agg(F.count("*").alias("c"))
     need = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent) - 1e-9)
     beyond = F.greatest(F.expr("n_a - p_a"), F.expr("n_b - p_b"))
-    pairs = pairs.filter(F.col("c") + F.least("wide_a", "wide_b") + beyond >= need)
+    return pairs.filter(F.col("c") + F.least("wide_a", "wide_b") + beyond >= need).select("sig_a", "sig_b")
+
+
+def around_pivots(regions: DataFrame, leaf: int) -> DataFrame:
+    """(pivot, sig): the large regions' members, around the least member of each."""
+    large = regions.filter(F.col("size") > leaf)
+    middle = large.groupBy("s").agg(F.min("sig").alias("pivot"))
+    return large.join(middle, "s").select("pivot", "sig").distinct()
+
+
+def memberships(pairs: DataFrame, cells: DataFrame, work: Workspace, cell: int) -> DataFrame:
+    """(cell, i, j, sig, centre): which sets must meet in one task.
+
+    Candidates that hang together in groups of up to ``cell`` members meet as one cell, to
+    which each set goes once.  In larger groups, pairs meet around their larger set, the
+    centre, and a pivot's members by pairs of blocks.
+    """
+    edges = pairs.select(F.col("sig_a").alias("u"), F.col("sig_b").alias("v")).unionAll(cells.select(F.col("pivot").alias("u"), F.col("sig").alias("v")))
+    group = components(edges, work, "groups")
+    sized = work.table(group.groupBy("root").agg((F.count("*") + 1).alias("members")), "sizes")
+    of_node = group.unionAll(sized.select(F.col("root").alias("node"), "root")).join(sized, "root")
+    whole = of_node.filter(F.col("members") <= cell)
+    none = F.lit(-1)
+    meet = whole.select(F.col("root").alias("cell"), none.alias("i"), none.alias("j"), F.col("node").alias("sig"), F.lit(False).alias("centre"))
+    wide = work.table(of_node.filter(F.col("members") > cell).select("node"), "wide")
+    if wide.isEmpty():
+        return meet
+    pairs = pairs.join(wide, F.col("sig_a") == F.col("node"), "left_semi")
     stars = pairs.select(F.col("sig_a").alias("cell"), F.col("sig_b").alias("sig"), F.lit(False).alias("centre"))
     stars = stars.unionAll(pairs.select(F.col("sig_a").alias("cell"), F.col("sig_a").alias("sig"), F.lit(True).alias("centre")).distinct())
-    middle = large.groupBy("s").agg(F.min("sig").alias("cell"))
-    cells = large.join(middle, "s").select("cell", "sig").distinct()
-    blocks = cells.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(cell / 2)).cast("int").alias("k"))
-    dealt = cells.join(blocks, "cell").withColumn("own", F.pmod(F.xxhash64("sig"), "k").cast("int"))
-    whole = dealt.filter(F.col("k") <= 2).select("cell", F.lit(0).alias("i"), F.lit(0).alias("j"), "sig")
-    split = dealt.filter(F.col("k") > 2).withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
-    split = split.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig")
-    cells = whole.unionAll(split).select("cell", "i", "j", "sig", F.lit(False).alias("centre"))
-    return stars.select("cell", F.lit(-1).alias("i"), F.lit(-1).alias("j"), "sig", "centre").unionAll(cells)
+    cells = cells.join(wide, F.col("sig") == F.col("node"), "left_semi")
+    blocks = cells.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(cell / 2)).cast("int").alias("k"))
+    dealt = cells.join(blocks, "pivot").withColumn("own", F.pmod(F.xxhash64("sig"), "k").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
+    split = dealt.select(F.col("pivot").alias("cell"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig", F.lit(False).alias("centre"))
+    return meet.unionAll(stars.select("cell", F.lit(-2).alias("i"), F.lit(-2).alias("j"), "sig", "centre")).unionAll(split)
 
 
 def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, leaf: int = LEAF, cell: int = CELL) -> DataFrame:
     """Every document with the size of its set and the least id that links reach."""
     spark = docs.sparkSession
     work = Workspace(spark, "jaccard")
-    frequent = frequent_shingles(docs, size, MOST_FREQUENT)
+    frequent = frequent_shingles(docs, size, percent, leaf, MOST_FREQUENT)
     found = work.table(sets_and_prefixes(docs, size, percent, frequent), "documents")
     classes = found.filter("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     rows = classes.select(F.explode("prefix").alias("s"), "sig", "n", F.size("prefix").alias("p"))
     sized = rows.withColumn("size", F.count("*").over(Window.partitionBy("s"))).filter("size > 1")
     regions = work.table(sized, "regions")
-    meet = work.table(memberships(regions, percent, leaf, cell), "memberships")
+    pairs = work.table(candidates(regions, percent, leaf), "pairs")
+    cells = work.table(around_pivots(regions, leaf), "cells")
     work.drop("regions")
+    meet = work.table(memberships(pairs, cells, work, cell), "memberships")
     least = work.table(found.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least")), "least")
     wanted = meet.select("sig").distinct().join(least, "sig").select("sig", F.col("least").alias("doc_id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("doc_id"))).select("sig", "text")
-    sets = work.table(packed_sets(texts, size).dropDuplicates(["sig"]) if _repeats(docs) else packed_sets(texts, size), "sets")
+    texts = texts.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id"))).select("sig", "text")
+    sets = work.table(packed_sets(texts, size).dropDuplicates(["sig"]) if repeats_ids(docs) else packed_sets(texts, size), "sets")
     joined = meet.join(sets, "sig").select("cell", "i", "j", "sig", "centre", "blob")
     edges = work.table(joined.groupBy("cell", "i", "j").applyInArrow(_join_cell(percent), "u long, v long"), "edges")
     work.drop("sets", "memberships")
@@ -321,6 +339,6 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, leaf: i
     )
 
 
-def _repeats(docs: DataFrame) -> bool:
+def repeats_ids(docs: DataFrame) -> bool:
     """Whether an id occurs on several rows; their texts may be equal, and a set must be there once."""
     return bool(docs.groupBy("doc_id").count().filter("count > 1").limit(1).count())
