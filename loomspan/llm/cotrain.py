@@ -1,6 +1,6 @@
 """Quality classifier by co-training on two views of a document.
 
-One logistic classifier sees the text (words and style), the other what is known about the
+One logistic classifier sees the text (words, their stems and style), the other what is known about the
 page without reading it (source, language, length).  Over rounds each labels the unlabelled
 documents it is sure of and hands them to the other as training data.  Both are then
 calibrated on labelled documents held back, and a third, also fitted there, combines the
@@ -29,16 +29,19 @@ from pyspark.sql import functions as F
 from . import textscan
 from .langid import letters
 
-SAMPLE_DOCS = 12_000
-POOL_DOCS = 4_000
+SAMPLE_DOCS = 8_000
+POOL_DOCS = 2_000
 VOCABULARY = 5_000
 LEAST_DOCS = 5
+STEM = 5  # bytes
 ROUNDS = 3
 SURE = 0.98
 HANDED = 500  # most pseudo-labels a round
 THRESHOLD = 0.5
 
 U = np.uint64
+FOLDED = textscan.BYTE_VALUES.copy()
+FOLDED[65:91] = FOLDED[97:123]
 
 
 @dataclass
@@ -113,14 +116,24 @@ def style(part: textscan.Slice) -> np.ndarray:
     return np.stack([c / per_word for c in columns] + [np.log1p(words)], axis=1)
 
 
+def tokens(part: textscan.Slice) -> np.ndarray:
+    """(words, 2): each word's hash and that of its stem, its first bytes; 0 where it is no longer than that."""
+    longer = part.end - part.start > STEM
+    stem = np.zeros(len(part.hash), U)
+    for k in range(STEM):
+        stem[longer] = textscan.mix(stem[longer] + FOLDED[part.text[part.start[longer] + k]])
+    return np.stack([part.hash, stem], axis=1)
+
+
 def text_rows(part: textscan.Slice, vocabulary: np.ndarray) -> Rows:
-    """Which words of the vocabulary a document has, and its style."""
+    """Which words and stems of the vocabulary a document has, and its style."""
     dense = style(part)
     if not len(vocabulary) or not len(part.hash):
         return Rows(np.zeros(0, np.int64), np.zeros(part.n, np.int64), dense)
-    spot = np.minimum(np.searchsorted(vocabulary, part.hash), len(vocabulary) - 1)
-    known = vocabulary[spot] == part.hash
-    pairs = np.unique(part.row[known] * len(vocabulary) + spot[known])
+    own, row = tokens(part).ravel(), np.repeat(part.row, 2)
+    spot = np.minimum(np.searchsorted(vocabulary, own), len(vocabulary) - 1)
+    known = vocabulary[spot] == own
+    pairs = np.unique(row[known] * len(vocabulary) + spot[known])
     return Rows(pairs % len(vocabulary), np.bincount(pairs // len(vocabulary), minlength=part.n), dense)
 
 
@@ -167,31 +180,43 @@ def _columns(table: pa.Table) -> dict[str, list]:
     return {c: table.column(c).to_pylist() for c in ("source", "lang", "n_chars")}
 
 
+def _slices(texts: pa.ChunkedArray) -> Iterator[textscan.Slice]:
+    return textscan.slices(texts.combine_chunks(), letters(), most=1 << 20)
+
+
+def _vocabulary(texts: pa.ChunkedArray, good: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Words of several documents whose share of bad ones is least like chance."""
+    words, docs = [], []
+    for part in _slices(texts):
+        at, found = part.bounds(), tokens(part)
+        for k in np.flatnonzero(~held[part.first : part.first + part.n]):
+            own = np.unique(found[at[k] : at[k + 1]])
+            own = own[own != 0]
+            words.append(own)
+            docs.append(np.full(len(own), part.first + k, np.int32))
+    words, docs = np.concatenate(words), np.concatenate(docs)
+    order = np.argsort(words, kind="stable")
+    words, bad = words[order], 1 - good[docs[order]]
+    begin = np.flatnonzero(np.append(True, words[1:] != words[:-1])) if len(words) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(begin, len(words)))
+    bad_in = np.add.reduceat(bad, begin) if len(begin) else np.zeros(0)
+    rate = float(1 - good[~held].mean())
+    surprise = (bad_in - counts * rate) ** 2 / np.maximum(counts * rate * (1 - rate), 1e-9)
+    often = np.flatnonzero(counts >= LEAST_DOCS)
+    return np.sort(words[begin[often[np.argsort(-surprise[often], kind="stable")[:VOCABULARY]]]])
+
+
 def train(labelled: pa.Table, pool: pa.Table, rounds: int = ROUNDS) -> Model | None:
     """Both tables have text, source, lang and n_chars; ``labelled`` has ``good`` too."""
     good = np.array(labelled.column("good").to_pylist(), float)
     if not len(good) or good.min() == good.max():
         return None
-    alphabet = letters()
-
-    def scan(table: pa.Table) -> list[textscan.Slice]:
-        return list(textscan.slices(table.column("text").combine_chunks(), alphabet))
-
-    parts, pool_parts = scan(labelled), scan(pool)
     held = np.arange(len(good)) % 5 == 0
-    seen = [np.unique(np.stack([p.hash, (p.row + p.first).astype(U)]), axis=1) for p in parts]
-    words, docs = (np.concatenate([s[k] for s in seen]) for k in (0, 1))
-    words, docs = words[~held[docs.astype(np.int64)]], docs[~held[docs.astype(np.int64)]].astype(np.int64)
-    values, index, counts = np.unique(words, return_inverse=True, return_counts=True)
-    bad_in = np.bincount(index, 1 - good[docs], len(values))
-    bad_rate = float(1 - good[~held].mean())
-    surprise = (bad_in - counts * bad_rate) ** 2 / (counts * bad_rate * (1 - bad_rate))
-    often = np.flatnonzero(counts >= LEAST_DOCS)
-    vocabulary = np.sort(values[often[np.argsort(-surprise[often], kind="stable")[:VOCABULARY]]])
+    vocabulary = _vocabulary(labelled.column("text"), good, held)
 
-    def rows(own: list[textscan.Slice]) -> Rows:
+    def rows(table: pa.Table) -> Rows:
         out = Rows(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 8)))
-        for p in own:
+        for p in _slices(table.column("text")):
             out = out.join(text_rows(p, vocabulary))
         return out
 
@@ -200,7 +225,7 @@ def train(labelled: pa.Table, pool: pa.Table, rounds: int = ROUNDS) -> Model | N
     keys += sorted({f"lang={x}" for x in columns["lang"]})[:VOCABULARY] + [f"size={k}" for k in range(40)]
     keys += [f"{x[5:]}/{k}" for x in keys if x.startswith("lang=") for k in range(40)]
     places = {k: i for i, k in enumerate(keys)}
-    views = [(rows(parts), rows(pool_parts)), (meta_rows(columns, places), meta_rows(_columns(pool), places))]
+    views = [(rows(labelled), rows(pool)), (meta_rows(columns, places), meta_rows(_columns(pool), places))]
     learners = [Logistic(max(len(vocabulary), 1)), Logistic(max(len(places), 1))]
     train_rows = np.flatnonzero(~held)
     handed: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * 2
