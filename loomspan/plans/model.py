@@ -11,6 +11,7 @@ import fnmatch
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -251,6 +252,8 @@ class Model:
 
 def _normal(name: str) -> str:
     name = re.sub(r"[^a-z0-9]", "", name.lower())
+    if name.endswith("ies") and len(name) > 4:
+        return f"{name[:-3]}y"
     return name[:-1] if name.endswith("s") and len(name) > 3 else name
 
 
@@ -304,12 +307,23 @@ def known_schema(model: Model) -> str | None:
     return next((app for app, marks in KNOWN_SCHEMAS.items() if all(any(n.endswith(m) for n in names) for m in marks)), None)
 
 
+_opened: WeakKeyDictionary = WeakKeyDictionary()  # session -> path -> DataFrame
+
+
+def opened(spark: SparkSession, path: str) -> DataFrame:
+    """A file's DataFrame, whose schema is read once a session."""
+    found = _opened.setdefault(spark, {})
+    if path not in found:
+        found[path] = spark.read.parquet(path)
+    return found[path]
+
+
 def sample_model(spark: SparkSession, sf_dir: str) -> Model:
     """The star-schema tables with their links; ``lineitem`` has no unique key."""
     model = Model()
     keys = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": None, "events": "event_id", "documents": "doc_id", "labels": None, "pages": "page_id", "benchmark": "item_id", "embeddings": "vec_id"}
     for name, key in keys.items():
-        model.add(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"), (key,) if key else ())
+        model.add(name, opened(spark, f"{sf_dir}/{name}.parquet"), (key,) if key else ())
     model.link("nation", "n_regionkey", "region")
     model.link("customer", "c_nationkey", "nation")
     model.link("supplier", "s_nationkey", "nation")
