@@ -181,7 +181,7 @@ def _columns(table: pa.Table) -> dict[str, list]:
 
 
 def _slices(texts: pa.ChunkedArray) -> Iterator[textscan.Slice]:
-    return textscan.slices(texts.combine_chunks(), letters(), most=1 << 20)
+    return textscan.slices(texts.combine_chunks(), letters())
 
 
 def _vocabulary(texts: pa.ChunkedArray, good: np.ndarray, held: np.ndarray) -> np.ndarray:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Workspace
+from .textscan import give_back
 
 CAPACITY = 2048
 END_ID = 0
@@ -87,6 +88,7 @@ def tokenise(docs: DataFrame, tokenizer: dict[str, str], capacity: int) -> DataF
                     [ids.take(pa.array(at)).cast(pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+            give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 

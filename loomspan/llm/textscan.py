@@ -8,6 +8,7 @@ per word.  The hashes depend on nothing but the bytes: every executor makes the
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 
 U = np.uint64
 BYTE_BASE, WORD_BASE = U(0x9E3779B97F4A7C15 | 1), U(0xD6E8FEB86659FD93 | 1)
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -126,14 +127,27 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library: it keeps what it has
+        pass
+
+
 def slices(column: pa.Array, alphabet: Alphabet, most: int = SLICE_BYTES) -> Iterator[Slice]:
-    """All documents of a batch in order, about ``most`` bytes at a time; one document is never split."""
+    """All documents of a batch in order, about ``most`` bytes at a time; one document is never split.
+
+    The size bounds a worker's arrays, which take some thirty times as much.
+    """
     data, offsets = buffers(column)
     first, n = 0, len(column)
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
         yield _scan(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], first, alphabet)
         first = last
+    give_back()
 
 
 def _scan(text: np.ndarray, offsets: np.ndarray, first: int, alphabet: Alphabet) -> Slice:
