@@ -70,24 +70,48 @@ def _strength(groups: DataFrame, rate: str) -> float:
     return groups.filter("n > 0").agg(F.greatest(F.lit(2.0), F.least(F.lit(1e4), k))).first()[0] or 2.0
 
 
-def _shrunk(groups: DataFrame, above: str, out: str) -> DataFrame:
-    """Adds the posterior mean ``out`` and its weight, by a prior around ``above``."""
-    k = _strength(groups, above)
-    mean = (F.col("bad") + k * F.col(above)) / (F.col("n") + k)
-    return groups.withColumn(out, mean).withColumn("weight", F.col("n") + k)
+def _posterior(groups: DataFrame, prior: str, weight: str, k: float, out: str) -> DataFrame:
+    """Adds mean ``out`` and weight ``out_weight``: a beta prior of strength ``k``, but never
+    firmer than what is known above."""
+    strength = F.least(F.lit(k), F.col(weight))
+    n = F.col("n") + strength
+    return groups.withColumn(out, (F.col("bad") + strength * F.col(prior)) / n).withColumn(f"{out}_weight", n)
 
 
 def reputation(outcomes: DataFrame, work: Workspace, limit: float = LIMIT, z: float = Z) -> DataFrame:
-    """(host, rate, blocked) from rows of (host, bad), where ``bad`` is null for unlabelled pages."""
+    """(host, n, bad, rate, blocked) from rows of (host, bad), where ``bad`` is null for unlabelled pages.
+
+    What a group adds to the level above is taken out of its own prior, so that no outcome
+    counts twice.
+    """
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"))
     hosts = work.table(hosts.withColumn("domain", domain(F.col("host"))).withColumn("suffix", suffix(F.col("host"))), "outcomes")
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
-    overall = hosts.agg((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).first()[0]
-    suffixes = _shrunk(hosts.groupBy("suffix").agg(*sums).withColumn("overall", F.lit(overall)), "overall", "suffix_rate")
-    domains = hosts.groupBy("domain", "suffix").agg(*sums).join(suffixes.select("suffix", "suffix_rate"), "suffix")
-    domains = _shrunk(domains, "suffix_rate", "domain_rate")
-    rated = _shrunk(hosts.join(domains.select("domain", "domain_rate"), "domain"), "domain_rate", "rate")
-    bound = F.col("rate") - z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("weight") + 1))
+    total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
+    overall = (total.bad + 1) / (total.n + 2)
+
+    suffixes = hosts.groupBy("suffix").agg(*sums).withColumn("overall", F.lit(overall))
+    domains = hosts.groupBy("domain", "suffix").agg(*sums)
+    k_suffix = _strength(suffixes, "overall")
+    rates = suffixes.select("suffix", ((F.col("bad") + k_suffix * overall) / (F.col("n") + k_suffix)).alias("above"))
+    k_domain = _strength(domains.join(rates, "suffix"), "above")
+    rates = domains.join(rates, "suffix").select("domain", ((F.col("bad") + k_domain * F.col("above")) / (F.col("n") + k_domain)).alias("above"))
+    k_host = _strength(hosts.join(rates, "domain"), "above")
+
+    around = suffixes.select("suffix", F.col("n").alias("all_n"), F.col("bad").alias("all_bad"))
+    domains = domains.join(around, "suffix").withColumns(
+        {
+            "suffix_weight": F.col("all_n") - F.col("n") + k_suffix,
+            "suffix_rate": (F.col("all_bad") - F.col("bad") + k_suffix * overall) / (F.col("all_n") - F.col("n") + k_suffix),
+        }
+    )
+    around = domains.select("domain", F.col("n").alias("all_n"), F.col("bad").alias("all_bad"), "suffix_rate", "suffix_weight")
+    others = hosts.join(around, "domain").withColumns({"own_n": F.col("n"), "own_bad": F.col("bad")})
+    others = others.withColumns({"n": F.col("all_n") - F.col("n"), "bad": F.col("all_bad") - F.col("bad")})
+    others = _posterior(others, "suffix_rate", "suffix_weight", k_domain, "domain_rate")
+    rated = others.withColumns({"n": F.col("own_n"), "bad": F.col("own_bad")})
+    rated = _posterior(rated, "domain_rate", "domain_rate_weight", k_host, "rate")
+    bound = F.col("rate") - z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("rate_weight") + 1))
     return rated.select("host", "n", "bad", "rate", (bound > limit).alias("blocked"))
 
 
