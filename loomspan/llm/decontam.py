@@ -13,7 +13,8 @@ all terms beyond that.  Test items are searched in blocks of about ``BLOCK_WORDS
 which bounds what a task is sent.
 
 Defined results: a null or wordless text has no words and no hits; a null or wordless item
-has no windows; equal documents and equal items each count; an empty table on either side
+has no windows; equal documents each count, items of one id
+are one; an empty table on either side
 gives no hits; only the named columns are read.
 """
 
@@ -280,8 +281,8 @@ def digest(found: DataFrame) -> DataFrame:
         "doc_id",
         "n_words",
         covered.alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        F.size(F.array_distinct("items")).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(F.array_distinct("items")), ","), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
         F.size(F.array_except("near", "items")).cast("long").alias("n_near_items"),
     )
