@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import keys
+from ..operators.mutate import Outcome, Writer
 from ..plans.compile import Compiler
 from ..plans.model import ModelError, Table
 
 
 class KeyValue:
-    """GET, MGET, EXISTS, TYPE, HGETALL, HGET and SCAN."""
+    """GET, MGET, EXISTS, TYPE, HGETALL, HGET, SCAN, SET, HSET and DEL; writes give the rows after them."""
 
     def __init__(self, compiler: Compiler, spark: SparkSession):
         self.compiler, self.spark = compiler, spark
@@ -63,3 +66,21 @@ class KeyValue:
         target = self.compiler.model.table(table)
         rows = keys.keyset_page(self.compiler, target, count, cursor)
         return rows.select(F.concat_ws(":", F.lit(target.name), *[F.col(k).cast("string") for k in target.keys]).alias("key"))
+
+    def _writer(self, name: str) -> tuple[Writer, DataFrame, dict]:
+        table, [key] = self._split([name])
+        writer = Writer(self.spark, table, self.compiler.context)
+        return writer, self.compiler.model.frame(table), dict(zip(table.keys, key))
+
+    def hset(self, name: str, **fields) -> Outcome:
+        """One row's fields; a key that is not there is inserted."""
+        writer, rows, key = self._writer(name)
+        return writer.upsert(rows, key | fields)
+
+    def set(self, name: str, value: str) -> Outcome:
+        """A whole row as JSON."""
+        return self.hset(name, **json.loads(value))
+
+    def delete(self, name: str) -> Outcome:
+        writer, rows, key = self._writer(name)
+        return writer.delete(rows, key)

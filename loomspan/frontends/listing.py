@@ -20,6 +20,8 @@ from ..plans.nodes import And, Cmp, Filter, Or, Query, both
 #: Caps of list requests.
 MOST_DEPTH, MOST_PREDICATES, MOST_IN, MOST_SORTS = 32, 500, 200, 32
 LIST_OPS = {"eq": "_eq", "neq": "_neq", "lt": "_lt", "lte": "_lte", "gt": "_gt", "gte": "_gte", "in": "_in", "contains": "_contains", "starts_with": "_starts_with", "null": "_null"}
+#: Rows of a cursor's page: by default, and at most.
+CURSOR_ROWS, MOST_CURSOR_ROWS = 25, 200
 #: Feed items: by default, and at most.
 FEED_ITEMS, MOST_FEED_ITEMS = 20, 50
 
@@ -67,6 +69,17 @@ def list_rows(compiler: Compiler, request: dict, secret: bytes, page_token: str
     return rows, token(offset + size, request, secret)
 
 
+def cursor_rows(compiler: Compiler, table: str, columns: list[str], secret: bytes, cursor: str = "", size: int = CURSOR_ROWS, document: dict | None = None, sort: list[str] | None = None) -> tuple[DataFrame, str]:
+    """A page by filter document, and the cursor of the page behind it."""
+    target = compiler.model.table(table)
+    request = {"table": table, "columns": columns, "filter": document, "sort": sort}
+    offset = offset_of(cursor, request, secret) if cursor else 0
+    size = max(1, min(size, MOST_CURSOR_ROWS))
+    part = filters.parse(document, compiler.model, target) if document else None
+    rows = compiler.flat(Query(table, columns, filter=part, sort=sort or [], limit=size, offset=offset))
+    return rows, token(offset + size, request, secret)
+
+
 def feed(compiler: Compiler, table: str, when: str, columns: list[str], since=None, limit: int = FEED_ITEMS, part: Filter | None = None) -> DataFrame:
     """Newest rows first, ties by key."""
     target = compiler.model.table(table)

@@ -46,3 +46,23 @@ def blind_index(value: Column, key: bytes) -> Column:
 def blind_token(value: str, key: bytes) -> str:
     """The same token for a literal, as filters need it."""
     return hmac.new(key, value.encode(), hashlib.sha256).hexdigest()
+
+
+def reencrypt(value: Column, keys: dict[int, bytes], version: int, where: str) -> Column:
+    """Under the key ``version``; values that have it already, or that no key opens, stay as they are."""
+    current = F.conv(F.hex(F.substring(F.unbase64(value), 1, 4)), 16, 10).cast("int")
+    plain = decrypt(value, keys, where)
+    return F.when((current != version) & plain.isNotNull(), encrypt(plain, keys[version], version, where)).otherwise(value)
+
+
+def sealed(actions, table, keys: dict[int, bytes], version: int):
+    """Mutation actions with encrypted columns sealed and their blind indexes filled in."""
+    for name, column in table.columns.items():
+        if not column.metadata.get("encrypt"):
+            continue
+        blind = column.metadata.get("blind-index")
+        if blind:
+            actions = actions.withColumn(blind, blind_index(F.col(name), keys[version]))
+            actions = actions.withColumn("__set", F.when(F.array_contains("__set", name), F.array_union("__set", F.array(F.lit(blind)))).otherwise(F.col("__set")))
+        actions = actions.withColumn(name, F.when(F.col(name).isNotNull(), encrypt(F.col(name), keys[version], version, place(table.schema, table.name, name))))
+    return actions

@@ -8,6 +8,7 @@ import operator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import local
 from ..plans.compile import Compiler
 from ..plans.model import ModelError, Table
 
@@ -43,7 +44,7 @@ def multi_get(compiler: Compiler, spark: SparkSession, table: Table, keys: list[
     if not names or any(len(k) != len(names) for k in keys):
         raise ModelError(f"{table.name} has {len(names)} key columns")
     kinds = ", ".join(f"__k{i} {table.columns[n].type.simpleString()}" for i, n in enumerate(names))
-    wanted = spark.createDataFrame([(i, *k) for i, k in enumerate(keys)], f"ordinal int, {kinds}")
+    wanted = local.frame(spark, [(i, *k) for i, k in enumerate(keys)], f"ordinal int, {kinds}")
     on = functools.reduce(operator.and_, [F.col(f"__k{i}") == F.col(n) for i, n in enumerate(names)])
     distinct = wanted.select(*[f"__k{i}" for i in range(len(names))]).distinct()
     if len(keys) <= MOST_BROADCAST_KEYS:

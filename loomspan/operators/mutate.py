@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import enums
+from ..functions import enums, local
 from ..plans.model import ModelError, Table
 from ..plans.policy import AccessDenied, Context
 
@@ -130,7 +130,7 @@ class Writer:
         rows = [(a.kind, [n for n in self.table.columns if n in a.values], *[a.values.get(n) for n in self.table.columns]) for a in merged.values()]
         kinds = [T.StructField("__op", T.StringType()), T.StructField("__set", T.ArrayType(T.StringType()))]
         schema = T.StructType(kinds + [T.StructField(n, c.type) for n, c in self.table.columns.items()])
-        return self.apply(before, self.spark.createDataFrame(rows, schema))
+        return self.apply(before, local.frame(self.spark, rows, schema))
 
     def apply(self, before: DataFrame, actions: DataFrame) -> Outcome:
         """``actions`` has __op, __set (columns that are given) and the table's columns, a row a key.

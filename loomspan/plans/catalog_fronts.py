@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..frontends import graphql, intent, kv, ldap, listing, odata, rawsql, sqlsubset, visual
-from ..functions import crypto, enums, text
+from ..functions import crypto, enums, provider, text
 from ..operators import eav
 from ..operators.aggregate import Grouped
 from . import metadata
@@ -13,7 +13,7 @@ from .catalog_core import compiler, select
 from .compile import Compiler
 from .model import Model, sample_model
 from .nodes import UNLIMITED, Cmp, Query
-from .policy import Context
+from .policy import Context, Policy
 from .registry import query
 
 # GraphQL
@@ -332,3 +332,55 @@ def _(spark, sf_dir):
 @query("template_expansion", "SELECT p_partkey, p_name || ' at ' || CAST(p_size AS VARCHAR) AS v FROM part")
 def _(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", text.template("{p_name} at {p_size}").alias("v"))
+
+
+@query("encrypted_column_policy", "SELECT c_custkey, c_name FROM customer WHERE c_name IN ('Customer#000000003', 'Customer#000000005') OR c_custkey = -1")
+def _(spark, sf_dir):
+    """Stored encrypted; filtered through the blind index; opened for a role that may see it."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    sealed = rows.select("c_custkey", crypto.encrypt(F.col("c_name"), KEYS[1], 1, crypto.place("", "customer", "c_name")).alias("c_name"), crypto.blind_index(F.col("c_name"), KEYS[1]).alias("token"))
+    model = Model()
+    model.add("customer", sealed, ("c_custkey",)).columns["c_name"].metadata.update({"encrypt": "k", "blind-index": "token", "mask": "redact", "unmask-role": "auditor"})
+    c = Compiler(model, Policy(keys=KEYS), Context(roles=frozenset({"auditor"})))
+    return select(c, "customer", ["c_custkey", "c_name"], {"c_name": {"_in": ["Customer#000000003", "Customer#000000005"]}})
+
+
+@query("reencrypt", "SELECT c_custkey, c_name, TRUE AS moved FROM customer")
+def _(spark, sf_dir):
+    where, keys = crypto.place("", "customer", "c_name"), KEYS | {2: b"f" * 32}
+    old = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", crypto.encrypt(F.col("c_name"), KEYS[1], 1, where).alias("e"))
+    new = old.select("c_custkey", crypto.reencrypt(F.col("e"), keys, 2, where).alias("e"))
+    return new.select("c_custkey", crypto.decrypt(F.col("e"), keys, where).alias("c_name"), crypto.decrypt(F.col("e"), KEYS, where).isNull().alias("moved"))
+
+
+@query("provider_column", "SELECT p_partkey, p_size * p_retailprice AS v FROM part")
+def _(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return rows.select("p_partkey", provider.provided(lambda a, b: a * b, [F.col("p_size"), F.col("p_retailprice")], "double").alias("v"))
+
+
+@query("kv_hset", "SELECT r_regionkey, CASE WHEN r_regionkey = 1 THEN 'X' ELSE r_name END AS r_name FROM region UNION ALL SELECT 77, 'Y'")
+def _(spark, sf_dir):
+    c = compiler(spark, sf_dir)
+    store = kv.KeyValue(c, spark)
+    c.model.replace("region", store.hset("region:1", r_name="X").rows)
+    return store.set("region:77", '{"r_name": "Y"}').rows
+
+
+@query("kv_delete", "SELECT r_regionkey, r_name FROM region WHERE r_regionkey <> 2")
+def _(spark, sf_dir):
+    return kv.KeyValue(compiler(spark, sf_dir), spark).delete("region:2").rows
+
+
+@query("candidate_joins", "SELECT 'l_orderkey' AS a, 'o_orderkey' AS b")
+def _(spark, sf_dir):
+    pairs = compiler(spark, sf_dir).model.candidate_joins("lineitem", "orders")
+    return spark.createDataFrame([p for on in pairs for p in on], "a string, b string")
+
+
+@query("cursor_page", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey > 0 ORDER BY n_name, n_nationkey LIMIT 5 OFFSET 5")
+def _(spark, sf_dir):
+    c = compiler(spark, sf_dir)
+    ask = {"document": {"n_regionkey": {"_gt": 0}}, "sort": ["n_name_asc"], "size": 5}
+    _, following = listing.cursor_rows(c, "nation", ["n_nationkey", "n_name"], b"s", **ask)
+    return listing.cursor_rows(c, "nation", ["n_nationkey", "n_name"], b"s", following, **ask)[0]

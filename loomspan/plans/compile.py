@@ -36,6 +36,7 @@ class Compiler:
 
     def scan(self, table: Table, part: Filter | None = None, deleted: str = "hide") -> DataFrame:
         """Rows of a table that the caller may see and that satisfy ``part``."""
+        part = self.policy.blinded(table, part)
         self._guard_filter(table, part)
         full = both(self.policy.row_filter(table, self.context, deleted), part)
         return filters.where(self.model.frame(table), full, self.model, table, lambda t, f: self.scan(t, f))

@@ -210,6 +210,12 @@ class Model:
                 if parents[1] not in _words(self.table(parents[0]).metadata.get("many-to-many-exclude", "")):
                     self.many_to_many(parents[0], j.name, parents[1])
 
+    def candidate_joins(self, a: str, b: str) -> list[tuple[tuple[str, str], ...]]:
+        """Column pairs (of ``a``, of ``b``) that links between two tables suggest, in either direction."""
+        one, two = self.table(a), self.table(b)
+        out = [tuple(zip(x.child_columns, x.parent_columns)) for x in one.single_links.values() if x.parent == two.name]
+        return out + [tuple(zip(x.parent_columns, x.child_columns)) for x in two.single_links.values() if x.parent == one.name]
+
     # Metadata
 
     def apply(self, rules: list[tuple[str, dict[str, str], str | None]]) -> None:

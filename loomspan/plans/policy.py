@@ -11,9 +11,9 @@ import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from ..functions import masks
+from ..functions import crypto, masks
 from .model import Table
-from .nodes import Cmp, Const, Filter, both
+from .nodes import And, Cmp, Const, Filter, Not, Or, both
 
 
 class AccessDenied(PermissionError):
@@ -119,8 +119,9 @@ BUILT_IN = (Tenant(), AutoFilter(), RowScope(), SoftDelete())
 class Policy:
     """All rewriters in order, and the guards and masks of columns."""
 
-    def __init__(self, rewriters: tuple[Rewriter, ...] = BUILT_IN):
+    def __init__(self, rewriters: tuple[Rewriter, ...] = BUILT_IN, keys: dict[int, bytes] | None = None):
         self.rewriters = sorted(rewriters, key=lambda r: r.priority)
+        self.keys = keys or {}
         self.observers = []
 
     def row_filter(self, table: Table, context: Context, deleted: str = "hide") -> Filter | None:
@@ -140,9 +141,28 @@ class Policy:
             if table.has_column(name) and table.column(name).metadata.get("encrypt"):
                 raise AccessDenied(f"{table.name}.{name} is encrypted")
 
+    def blinded(self, table: Table, part: Filter | None) -> Filter | None:
+        """Equality with an encrypted column as equality with its blind index; nothing else is possible."""
+        match part:
+            case Cmp(name, op, value) if table.has_column(name) and table.column(name).metadata.get("blind-index") and self.keys:
+                if op not in ("_eq", "_in") or value is None:
+                    return part
+                key, index = self.keys[max(self.keys)], table.column(name).metadata["blind-index"]
+                tokens = [crypto.blind_token(str(v), key) for v in (value if op == "_in" else [value])]
+                return Cmp(index, op, tokens if op == "_in" else tokens[0])
+            case And(parts):
+                return And(tuple(self.blinded(table, p) for p in parts))
+            case Or(parts):
+                return Or(tuple(self.blinded(table, p) for p in parts))
+            case Not(inner):
+                return Not(self.blinded(table, inner))
+        return part
+
     def shown(self, table: Table, name: str, column, context: Context):
-        """The column as the caller may see it."""
+        """The column as the caller may see it: opened if it is encrypted, masked if it must be."""
         metadata = table.column(name).metadata
+        if metadata.get("encrypt") and self.keys:
+            column = crypto.decrypt(column, self.keys, crypto.place(table.schema, table.name, table.column(name).name))
         mask = metadata.get("mask")
         role = metadata.get("unmask-role")
         if not mask or context.is_admin or role and role in context.roles:
