@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotrain, decontam, hostrules, jaccard, langid, packing, secretscan, sharding, substring, urlrep
+from . import cotrain, decontam, hostrules, jaccard, langid, oracles, packing, secretscan, sharding, substring, urlrep
 from .shared import Workspace
 
 SHARDS = 24
@@ -40,7 +40,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    return decontam.digest(found)
+    return decontam.digest(found).drop("n_near_items")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.deduplicated(read(spark, sf_dir, "documents"))
+    return substring.deduplicated(read(spark, sf_dir, "documents")).drop("spans")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,4 +98,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)
