@@ -31,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .shared import Workspace, estimated_bytes, partitions
+from .shared import Workspace, partitions
 
 WINDOW = 35
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 13 << 20
+SLICE_BYTES = 4 << 20  # larger slices send a bucket fewer rows
 
 U = np.uint64
 
@@ -65,7 +66,7 @@ def probes_and_blocks(docs: DataFrame, block: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            for part in textscan.slices(batch.column(1), alphabet):
+            for part in textscan.slices(batch.column(1), alphabet, SLICE_BYTES):
                 at, grams = part.grams(block)
                 values, counts = np.unique(grams, return_counts=True)
                 order = np.argsort((values >> U(32)) % U(buckets), kind="stable")
@@ -112,7 +113,7 @@ def anchored_windows(texts: DataFrame, window: int, block: int, buckets: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, anchors = batch.column(0).to_numpy(), batch.column(2)
-            for part in textscan.slices(batch.column(1), alphabet):
+            for part in textscan.slices(batch.column(1), alphabet, SLICE_BYTES):
                 begins = part.bounds()
                 near = np.zeros(len(part.hash) + 1, np.int64)
                 for k in range(part.n):
@@ -211,8 +212,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, buckets: int | None = None) -
     spark = docs.sparkSession
     work = Workspace(spark, "substring")
     block = window // 2 + 1 if window % 2 else window // 2
-    buckets = buckets or max(partitions(spark), -(-estimated_bytes(docs) // BUCKET_BYTES))
     texts = keyed(docs)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = buckets or max(partitions(spark), -(-size // BUCKET_BYTES))
     found = probes_and_blocks(texts, block, buckets).repartition(buckets, "bucket").groupBy("bucket")
     anchors = work.table(found.applyInArrow(_anchors, "key long, block_no int"), "anchors")
     by_key = anchors.groupBy("key").agg(F.collect_list("block_no").alias("anchors"))
