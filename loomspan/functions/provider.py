@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Iterator, Tuple
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,6 +16,10 @@ def provided(function: Callable[..., pd.Series], dependencies: list[Column], kin
 
     Only the dependencies travel to Python, and the rest of the row stays where it is.
     """
-    call = lambda *series: function(*series)  # noqa: E731  (travels by value)
     returns = T.StructType.fromDDL(f"v {kind}")[0].dataType if isinstance(kind, str) else kind
-    return F.pandas_udf(call, returns, functionType=F.PandasUDFType.SCALAR)(*dependencies)
+
+    def run(batches: Iterator[Tuple[pd.Series, ...]]) -> Iterator[pd.Series]:  # travels by value
+        for series in batches:
+            yield function(*series) if isinstance(series, tuple) else function(series)
+
+    return F.pandas_udf(run, returns)(*dependencies)
