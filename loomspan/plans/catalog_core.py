@@ -409,13 +409,13 @@ def _linked(operation):
     def run(spark, sf_dir):
         total = Aggregate("v", operation, ("orders",), "o_totalprice")
         rows = compiler(spark, sf_dir).flat(Query("customer", ["c_custkey"], aggregates=[total], limit=UNLIMITED))
-        return rows.withColumn("v", F.round("v", 2))
+        return rows.withColumn("v", F.round("v", 6))
 
     return run
 
 
 for _op in ("sum", "avg", "min", "max", "count"):
-    query(f"agg_link_{_op}", f"SELECT c_custkey, round(CAST(v AS DOUBLE), 2) AS v FROM customer LEFT JOIN (SELECT o_custkey, {_op}(o_totalprice) AS v FROM orders GROUP BY 1) ON c_custkey = o_custkey")(_linked(_op))
+    query(f"agg_link_{_op}", f"SELECT c_custkey, round(CAST(v AS DOUBLE), 6) AS v FROM customer LEFT JOIN (SELECT o_custkey, {_op}(o_totalprice) AS v FROM orders GROUP BY 1) ON c_custkey = o_custkey")(_linked(_op))
 
 
 @query("agg_link_two_hops", "SELECT n_nationkey, CAST(v AS DOUBLE) AS v FROM nation LEFT JOIN (SELECT c_nationkey, count(o_totalprice) AS v FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1) ON c_nationkey = n_nationkey")
