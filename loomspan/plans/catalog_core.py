@@ -583,6 +583,12 @@ def _(spark, sf_dir):
     return select(c, "customer", ["c_custkey", "c_name"])
 
 
+@query("scan_text_cast", "SELECT o_orderkey, CAST(o_orderdate AS VARCHAR) AS o_orderdate, CAST(o_custkey AS VARCHAR) AS o_custkey FROM orders")
+def _(spark, sf_dir):
+    c = compiler(spark, sf_dir, rules={"orders.o_orderdate": {"read-as": "text"}, "orders.o_custkey": {"read-as": "text"}})
+    return select(c, "orders", ["o_orderkey", "o_orderdate", "o_custkey"])
+
+
 # Search
 
 

@@ -6,7 +6,7 @@ import functools
 import operator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as expressions
@@ -105,6 +105,16 @@ class Compiler:
         rows, extra = self._with_aggregates(rows, table, query)
         return rows.select(*self.project(table, query), *extra)
 
+    def watched(self, query: Query) -> tuple[DataFrame, Observation]:
+        """Nested rows, and an observation that has their number once they have been read."""
+        seen = Observation()
+        rows = self.nested(query).observe(seen, F.count(F.lit(1)).alias("rows"))
+        return rows, seen
+
+    def executed(self, query: Query, seen: Observation, seconds: float) -> None:
+        """Tell the observers what a watched query came to."""
+        self.policy.observe("executed", query.table, rows=seen.get["rows"], seconds=seconds)
+
     def total(self, query: Query) -> DataFrame:
         """One row: how many rows the query selects regardless of its page."""
         return self.rows(query).agg(F.count("*").cast("int").alias("total"))

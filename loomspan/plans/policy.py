@@ -37,6 +37,20 @@ class Context:
 ANYONE = Context()
 
 
+@dataclass(frozen=True)
+class Profile:
+    """A named choice of rewriters; security rewriters cannot be switched off by one."""
+
+    name: str
+    off: frozenset[str] = frozenset()
+
+    def context(self, base: Context) -> Context:
+        locked = {r.name for r in BUILT_IN if r.priority < 100}
+        if self.off & locked:
+            raise AccessDenied(f"profile {self.name}: {', '.join(sorted(self.off & locked))}")
+        return Context(base.claims, base.roles, base.off | self.off, base.admin_role)
+
+
 class Rewriter:
     name, priority = "", 200
 
@@ -163,6 +177,8 @@ class Policy:
         metadata = table.column(name).metadata
         if metadata.get("encrypt") and self.keys:
             column = crypto.decrypt(column, self.keys, crypto.place(table.schema, table.name, table.column(name).name))
+        if metadata.get("read-as") == "text":
+            column = column.cast("string")
         mask = metadata.get("mask")
         role = metadata.get("unmask-role")
         if not mask or context.is_admin or role and role in context.roles:

@@ -14,7 +14,7 @@ from loomspan.plans import metadata, model as models
 from loomspan.plans.compile import Compiler
 from loomspan.plans.model import Model, ModelError, sample_model
 from loomspan.plans.nodes import UNLIMITED, Cmp, Query, Through
-from loomspan.plans.policy import AccessDenied, Context, Policy
+from loomspan.plans.policy import AccessDenied, Context, Policy, Profile
 from loomspan.sources import tables
 from loomspan.streaming import drain, events
 
@@ -213,6 +213,19 @@ def test_policies_deny(star, spark):
     assert off.flat(Query("orders", limit=3)).count() == 3
 
 
+def test_profiles_and_observers(star):
+    context = Profile("audit", frozenset({"soft-delete"})).context(Context())
+    assert context.off == {"soft-delete"}
+    with pytest.raises(AccessDenied):
+        Profile("open", frozenset({"tenant"})).context(Context())
+    c, seen = Compiler(star), []
+    c.policy.observers.append(lambda phase, table, facts: seen.append((phase, facts.get("rows"))))
+    rows, observation = c.watched(Query("region"))
+    assert rows.count() == 5
+    c.executed(Query("region"), observation, 0.1)
+    assert seen[-1] == ("executed", 5)
+
+
 # Model and metadata
 
 
