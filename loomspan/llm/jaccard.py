@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
@@ -315,8 +315,9 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, leaf: i
     found = work.table(sets_and_prefixes(docs, size, percent, frequent), "documents")
     classes = found.filter("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     rows = classes.select(F.explode("prefix").alias("s"), "sig", "n", F.size("prefix").alias("p"))
-    sized = rows.withColumn("size", F.count("*").over(Window.partitionBy("s"))).filter("size > 1")
-    regions = work.table(sized, "regions")
+    # Counts combine before their shuffle, and a join can split a large region over tasks; a window could not.
+    sizes = rows.groupBy("s").agg(F.count("*").alias("size")).filter("size > 1")
+    regions = work.table(rows.join(sizes, "s"), "regions")
     pairs = work.table(candidates(regions, percent, leaf), "pairs")
     cells = work.table(around_pivots(regions, leaf), "cells")
     work.drop("regions")
