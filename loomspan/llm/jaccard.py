@@ -26,7 +26,7 @@ gives the same links.  Equal sets are one class throughout.
 Defined results: null, empty and wordless texts have no shingles and link with nothing, each
 its own component; texts of fewer words than a shingle have one, their whole sequence;
 repeated rows share a component; a null id is ignored for the component's least id; an
-empty table gives an empty result.  Sets hold 64-bit hashes, of which 40 bits are compared.
+empty table gives an empty result.  Sets hold 64-bit hashes, of which 48 bits are compared.
 """
 
 from __future__ import annotations
@@ -47,6 +47,7 @@ PERCENT = 85
 LEAF = 32
 CELL = 3000
 MOST_FREQUENT = 200_000
+BYTES = 6  # of each shingle in a packed set
 
 U = np.uint64
 
@@ -124,14 +125,14 @@ def frequent_shingles(docs: DataFrame, size: int, percent: int, leaf: int, most:
 
 
 def packed_sets(texts: DataFrame, size: int) -> DataFrame:
-    """(sig, n, blob): the top 40 bits of each shingle, sorted."""
+    """(sig, n, blob): the top 48 bits of each shingle, sorted."""
     alphabet = textscan.unspaced(lower=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column(0).to_numpy()
             for part in textscan.slices(batch.column(1), alphabet):
-                rows = [(sig, len(v), v.view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()) for v in shingle_sets(part, size) for sig in [signature(v)]]
+                rows = [(sig, len(v), v.view(np.uint8).reshape(-1, 8)[:, 8 - BYTES :].tobytes()) for v in shingle_sets(part, size) for sig in [signature(v)]]
                 rows = [r for r, w in zip(rows, wanted[part.first : part.first + part.n]) if r[0] == w]
                 sig, n, blob = zip(*rows) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(n, pa.int64()), pa.array(blob, pa.binary())], names=["sig", "n", "blob"])
@@ -144,9 +145,9 @@ class Sets:
 
     def __init__(self, sigs: np.ndarray, blobs: list[bytes]):
         self.sigs = sigs
-        self.n = np.array([len(b) // 5 for b in blobs], np.int64)
+        self.n = np.array([len(b) // BYTES for b in blobs], np.int64)
         wide = np.zeros((int(self.n.sum()), 8), np.uint8)
-        wide[:, 3:] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 5)
+        wide[:, 8 - BYTES :] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, BYTES)
         values, self.ids = np.unique(wide.view(U).ravel(), return_inverse=True)
         self.begin = np.cumsum(self.n) - self.n
         self.mark = np.zeros(len(values), bool)

@@ -222,8 +222,8 @@ def test_jaccard_region_recursion():
             own = base.copy()
             own[rng.integers(0, 60, rng.integers(0, 8))] = rng.integers(0, 1 << 63)
             own = np.unique(own).astype(np.uint64)
-            plain.append(set((own >> np.uint64(24)).tolist()))
-            blobs.append(own.view(np.uint8).reshape(-1, 8)[:, 3:].tobytes())
+            plain.append(set((own >> np.uint64(16)).tolist()))
+            blobs.append(own.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes())
     region = jaccard.Region(jaccard.Sets(np.arange(len(blobs)), blobs), 85)
     region.join(np.arange(len(blobs)))
     root = list(range(len(plain)))
