@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from . import textscan
 from .langid import letters
+from .shared import ship
 
 SAMPLE_DOCS = 8_000
 POOL_DOCS = 2_000
@@ -279,6 +280,7 @@ def _scored(model: Model, columns: dict[str, int], batch: pa.RecordBatch) -> tup
 
 def scores(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, text_score, meta_score, score, kept) of every document."""
+    ship(docs.sparkSession)
     places = {c: k for k, c in enumerate(["doc_id", "text", "source", "lang", "n_chars"])}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,6 +298,7 @@ def kept(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
     """The documents that the classifier keeps, with all their columns."""
     if model is None:
         return docs
+    ship(docs.sparkSession)
     places = {c: docs.columns.index(c) for c in ("text", "source", "lang", "n_chars")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

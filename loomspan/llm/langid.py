@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
+from .shared import ship
 
 SAMPLE_DOCS = 1500
 LEXICON = 50_000
@@ -269,6 +270,7 @@ def label_words(text: str, model: Model) -> list[tuple[str, str]]:
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang_pred, score) of every document of ``docs`` (``doc_id``, ``text``)."""
+    ship(docs.sparkSession)
     alphabet = letters()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
