@@ -181,6 +181,8 @@ def pack(
         dealt = items.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(round_no)), F.lit(groups)))
         packed = dealt.groupBy("g").applyInPandas(_pack_group(capacity, round_no), f"{PIECES}, sequence_id long, offset long, open boolean")
         packed = work.table(packed, f"round{round_no}")
+        if round_no == 0:
+            work.drop("pieces")
         count = packed.filter("open").count() if groups > 1 else 0
         fewer = -(-count // group_pieces)
         if count and fewer < groups:
