@@ -7,8 +7,8 @@ A passage of ``window`` words holds, wherever it starts, at least one whole bloc
    index; every rolling window of block length probes it.  Both go to hash buckets as
    sorted arrays, several thousand words to a row, and a bucket names the blocks whose
    words also stand elsewhere.
-2. Extension: only windows around such anchor blocks can repeat.  Their hashes meet in
-   buckets again, and those found more than once are joined to maximal repeats.
+2. Extension: only windows around such anchor blocks can repeat.  Their hashes, of 96 bits,
+   meet in buckets again, and those found more than once are joined to maximal repeats.
 3. Removal: documents drop the words that the repeats cover.
 
 A bucket gets distinct values from each slice of text in step 1, and at most ``window``
@@ -103,7 +103,8 @@ def _anchors(table: pa.Table) -> pa.Table:
     return pa.table({"key": _numbers(table.column("block_key"), np.int64)[hit], "block_no": _numbers(table.column("block_no"), np.int32)[hit]})
 
 
-WINDOWS = "bucket int, hash binary, doc binary, at binary, keys binary"
+WINDOWS = "bucket int, hash binary, check binary, doc binary, at binary, keys binary"
+CHECKS = textscan.Powers(U(0xE7037ED1A0B428DB))  # of the second hash: 32 bits more
 
 
 def anchored_windows(texts: DataFrame, window: int, block: int, buckets: int) -> DataFrame:
@@ -122,16 +123,17 @@ def anchored_windows(texts: DataFrame, window: int, block: int, buckets: int) ->
                     np.add.at(near, np.minimum(q + 1, begins[k + 1]), -1)
                 at, grams = part.grams(window)
                 chosen = np.cumsum(near)[at] > 0
+                checks = (part.grams(window, CHECKS)[1][chosen] >> U(32)).astype(np.uint32)
                 at, grams = at[chosen], grams[chosen]
                 bucket = (grams >> U(32)) % U(buckets)
                 order = np.argsort(bucket, kind="stable")
                 row = part.row[at]
                 rows = []
-                for b, h, r, p in _split(bucket[order], buckets, grams[order], row[order], (at - begins[row])[order]):
+                for b, h, c, r, p in _split(bucket[order], buckets, grams[order], checks[order], row[order], (at - begins[row])[order]):
                     docs, index = np.unique(r, return_inverse=True)
-                    rows.append((b, h, index.astype(np.uint16 if len(docs) < 65536 else np.uint32), p.astype(np.int32), keys[part.first + docs]))
-                b, *rest = zip(*rows) if rows else ((), (), (), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), *map(_binary, rest)], names=["bucket", "hash", "doc", "at", "keys"])
+                    rows.append((b, h, c, index.astype(np.uint16 if len(docs) < 65536 else np.uint32), p.astype(np.int32), keys[part.first + docs]))
+                b, *rest = zip(*rows) if rows else ((), (), (), (), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), *map(_binary, rest)], names=["bucket", "hash", "check", "doc", "at", "keys"])
 
     return texts.select("key", "text", "anchors").mapInArrow(run, WINDOWS)
 
@@ -143,13 +145,14 @@ def _repeated(buckets: int):
     """Places of a bucket's windows that occur more than once, one row for each part of the keys."""
 
     def run(table: pa.Table) -> pa.Table:
-        hashes = _numbers(table.column("hash"), U)
+        hashes, checks = _numbers(table.column("hash"), U), _numbers(table.column("check"), np.uint32)
         keys = []
         for doc, own, at in zip(*(table.column(c).to_pylist() for c in ("doc", "keys", "at"))):
             keys.append(np.frombuffer(own, np.int64)[np.frombuffer(doc, np.uint16 if len(doc) * 2 == len(at) else np.uint32)])
         key, at = np.concatenate([*keys, np.zeros(0, np.int64)]), _numbers(table.column("at"), np.int32)
-        order = np.argsort(hashes, kind="stable")
-        same = hashes[order][1:] == hashes[order][:-1]
+        order = np.lexsort((checks, hashes))
+        hashes, checks = hashes[order], checks[order]
+        same = (hashes[1:] == hashes[:-1]) & (checks[1:] == checks[:-1])
         hit = np.zeros(len(hashes), bool)
         hit[order[1:][same]] = hit[order[:-1][same]] = True
         key, at = key[hit], at[hit]

@@ -102,12 +102,12 @@ class Slice:
         """n + 1 word numbers: where each document's words begin."""
         return np.searchsorted(self.row, np.arange(self.n + 1))
 
-    def grams(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers where a ``size``-gram of one document begins, and its hashes."""
+    def grams(self, size: int, powers: Powers | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers where a ``size``-gram of one document begins, and its hashes; other powers give other hashes."""
         n = len(self.hash) - size + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, U)
-        up, down = WORDS.get(len(self.hash))
+        up, down = (powers or WORDS).get(len(self.hash))
         total = np.zeros(len(self.hash) + 1, U)
         np.cumsum(self.hash * up, out=total[1:])
         at = np.flatnonzero(self.row[:n] == self.row[size - 1 :])
