@@ -59,7 +59,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return secretscan.digest(secretscan.with_secrets(docs, secretscan.train(secretscan.labelled_samples(docs))))
+    return secretscan.digest(secretscan.with_secrets(docs.select("doc_id", "text"), secretscan.train(secretscan.labelled_samples(docs))))
 
 
 def held_out():

@@ -100,7 +100,10 @@ def train(samples: DataFrame) -> str | None:
 
 
 def with_secrets(docs: DataFrame, table: str | None, margin: float = MARGIN) -> DataFrame:
-    """Adds ``base`` and ``spans``, the latter with what the models add; both by start, then kind."""
+    """Adds ``base`` and ``spans``, the latter with what the models add; both by start, then kind.
+
+    ``docs`` has ``text`` and columns that pass through; names like those added here are the caller's to avoid.
+    """
     docs = scanned(docs)
     if table is None:
         added = F.expr(f"CAST(array() AS array<{SPAN}>)")
@@ -137,12 +140,13 @@ def digest(found: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, table: str | None, mask: str = "[SECRET]", margin: float = MARGIN) -> DataFrame:
     """The documents with every span of a secret masked, and ``n_chars`` of the new text."""
-    found = with_secrets(docs, table, margin)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "text")  # own columns keep out of the way of ours
+    found = with_secrets(whole, table, margin)
     masked = F.expr(
         "aggregate(spans, named_struct('at', 0, 'out', ''), (a, x) -> named_struct('at', greatest(a.at, x.e), 'out', "
         f"concat(a.out, substring(text, a.at + 1, greatest(0, x.s - a.at)), CASE WHEN x.e > a.at THEN '{mask}' ELSE '' END)), "
         "a -> concat(a.out, substring(text, a.at + 1)))"
     )
     found = found.withColumn("text", F.when(F.size("spans") > 0, masked).otherwise(F.col("text")))
-    found = found.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return found.select(*docs.columns)
+    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)}
+    return found.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -350,8 +350,9 @@ def test_models_tell_random_strings_from_identifiers(spark):
 
 
 def test_redaction(spark):
-    docs = docs_of(spark, SECRETS)
+    docs = docs_of(spark, SECRETS).withColumns({c: F.lit(c) for c in ("base", "spans", "tokens", "raw", "row", "hex")})
     rows = {r.doc_id: r for r in secretscan.redacted(docs, None).collect()}
+    assert all((r.base, r.spans, r.row, r.hex, r.lang) == ("base", "spans", "row", "hex", "en") for r in rows.values())
     for i, text in enumerate(SECRETS):
         out, at = "", 0
         for a, _, b in spans_by_force(text):
