@@ -25,18 +25,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each linked group: the one with the least id."""
     stay = jaccard.linked(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = stay.select(F.col("doc_id").alias("stays")).distinct()
-    kept = docs.join(stay.hint("merge"), docs.doc_id.eqNullSafe(stay.stays), "left_semi")
+    stay = stay.select(F.col("doc_id").alias("__stays")).distinct()
+    kept = docs.join(stay.hint("merge"), docs.doc_id.eqNullSafe(F.col("__stays")), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]) if jaccard.repeats_ids(docs) else kept
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
     found = decontam.contamination(docs, read(spark, sf_dir, "benchmark"))
-    hit = Workspace(spark, "contaminated").table(found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("hit")).distinct(), "ids")
+    hit = Workspace(spark, "contaminated").table(found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("__hit")).distinct(), "ids")
     if small_enough(hit, MOST_BROADCAST_IDS):
         hit = F.broadcast(hit)
-    return docs.join(hit, docs.doc_id.eqNullSafe(F.col("hit")), "left_anti")
+    return docs.join(hit, docs.doc_id.eqNullSafe(F.col("__hit")), "left_anti")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
