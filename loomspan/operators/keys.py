@@ -46,11 +46,11 @@ def multi_get(compiler: Compiler, spark: SparkSession, table: Table, keys: list[
     kinds = ", ".join(f"__k{i} {table.columns[n].type.simpleString()}" for i, n in enumerate(names))
     wanted = local.frame(spark, [(i, *k) for i, k in enumerate(keys)], f"ordinal int, {kinds}")
     on = functools.reduce(operator.and_, [F.col(f"__k{i}") == F.col(n) for i, n in enumerate(names)])
-    distinct = wanted.select(*[f"__k{i}" for i in range(len(names))]).distinct()
+    asked = wanted.select(*[f"__k{i}" for i in range(len(names))])
     if len(keys) <= MOST_BROADCAST_KEYS:
-        distinct = F.broadcast(distinct)
+        asked = F.broadcast(asked)
     compiler.policy.guard_read(table, set(columns), compiler.context)
-    found = compiler.scan(table).join(distinct, on, "left_semi")
+    found = compiler.scan(table).join(asked, on, "left_semi")
     picked = found.select(*[F.col(n).alias(f"__f{i}") for i, n in enumerate(names)], *columns)
     on = functools.reduce(operator.and_, [F.col(f"__k{i}") == F.col(f"__f{i}") for i in range(len(names))])
     return wanted.join(picked, on, "left").select("ordinal", *columns)
@@ -67,7 +67,7 @@ def cross_source_join(left: DataFrame, right: DataFrame, left_key: str, right_ke
 
 def expanded(rows: DataFrame, children: DataFrame, key: str, foreign: str, most: int) -> DataFrame:
     """Children of the rows' keys; more than ``most`` of them in all are an error."""
-    found = children.join(rows.select(F.col(key).alias("__k")).distinct(), F.col(foreign) == F.col("__k"), "left_semi")
+    found = children.join(rows.select(F.col(key).alias("__k")), F.col(foreign) == F.col("__k"), "left_semi")
     if found.limit(most + 1).count() > most:
         raise ModelError(f"more than {most} expanded rows")
     return found

@@ -366,10 +366,10 @@ def sync_tree(frames: dict[str, DataFrame], tree: DataFrame, levels: list[tuple[
         columns = [c for c in before.columns if c in rows.columns]
         wanted = rows.select(*columns)
         if foreign:
-            parents = wanted.select(F.col(foreign).alias("__p")).distinct()
+            parents = wanted.select(F.col(foreign).alias("__p"))
             mine = before.join(parents, F.col(foreign) == F.col("__p"), "left_semi")
         else:
-            held = wanted.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+            held = wanted.select(*[F.col(k).alias(f"__{k}") for k in keys])
             mine = before.join(held, functools.reduce(operator.and_, [F.col(k) == F.col(f"__{k}") for k in keys]), "left_semi")
         out[table] = sync(mine.select(*columns), wanted, keys)
     return out

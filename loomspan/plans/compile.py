@@ -194,7 +194,7 @@ class Compiler:
         """
         found, keys, parent_columns, target = self.children(table, name, inner)
         offset, limit = inner.page()
-        parents = rows.select(*[F.col(c).alias(f"__p{i}") for i, c in enumerate(parent_columns)]).distinct()
+        parents = rows.select(*[F.col(c).alias(f"__p{i}") for i, c in enumerate(parent_columns)])
         on = [F.col(k) == F.col(f"__p{i}") for i, k in enumerate(keys)]
         found = found.join(parents, functools.reduce(operator.and_, on), "left_semi")
         totals = found.groupBy(*keys).agg(F.count("*").cast("int").alias("total"))
