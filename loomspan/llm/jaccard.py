@@ -257,7 +257,7 @@ def _join_cell(percent: int):
 def candidates(regions: DataFrame, percent: int, leaf: int) -> DataFrame:
     """(sig_a, sig_b) of small regions that their counts leave possible; ``a`` has the larger set.
 
-    ``regions`` has (s, sig, n, p, size), ``p`` the window's length and ``size`` the region's.
+    ``regions`` has (s, sig, n, p, size, pivot), ``p`` the window's length and ``size`` the region's.
     Common shingles outside both windows are at most those that the shorter reach leaves out.
     """
     in_large = regions.filter(F.col("size") > leaf).groupBy("sig").agg(F.count("*").alias("wide"))
@@ -275,9 +275,7 @@ def candidates(regions: DataFrame, percent: int, leaf: int) -> DataFrame:
 
 def around_pivots(regions: DataFrame, leaf: int) -> DataFrame:
     """(pivot, sig): the large regions' members, around the least member of each."""
-    large = regions.filter(F.col("size") > leaf)
-    middle = large.groupBy("s").agg(F.min("sig").alias("pivot"))
-    return large.join(middle, "s").select("pivot", "sig").distinct()
+    return regions.filter(F.col("size") > leaf).select("pivot", "sig").distinct()
 
 
 def memberships(pairs: DataFrame, cells: DataFrame, work: Workspace, cell: int) -> DataFrame:
@@ -317,7 +315,7 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, leaf: i
     classes = found.filter("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     rows = classes.select(F.explode("prefix").alias("s"), "sig", "n", F.size("prefix").alias("p"))
     # Counts combine before their shuffle, and a join can split a large region over tasks; a window could not.
-    sizes = rows.groupBy("s").agg(F.count("*").alias("size")).filter("size > 1")
+    sizes = rows.groupBy("s").agg(F.count("*").alias("size"), F.min("sig").alias("pivot")).filter("size > 1")
     regions = work.table(rows.join(sizes, "s"), "regions")
     pairs = work.table(candidates(regions, percent, leaf), "pairs")
     cells = work.table(around_pivots(regions, leaf), "cells")
