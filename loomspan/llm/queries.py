@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import cotrain, decontam, hostrules, jaccard, langid, oracles, packing, secretscan, sharding, substring, urlrep
-from .shared import Workspace
+from .shared import Workspace, spread
 
 SHARDS = 24
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(df) if table in ("documents", "pages") else df
 
 
 def tokenizer_files() -> dict[str, str]:

@@ -102,6 +102,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer parts than there are cores, dealt out to all of them.
+
+    So few parts hold little: one file of one row group, as small tables are.  Larger
+    tables stay as they are scanned.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small_enough(df: DataFrame, most_rows: int) -> bool:
     """Whether ``df`` has at most ``most_rows`` rows; reads no more than one row beyond that."""
     return df.limit(most_rows + 1).agg(F.count(F.lit(1))).first()[0] <= most_rows
