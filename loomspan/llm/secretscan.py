@@ -77,8 +77,8 @@ def labelled_samples(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
     """(token, is_random) from about ``most`` documents."""
     every = max(1, -(-docs.count() // most))
     some = scanned(docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0))
-    random = some.select(F.explode("base.v").alias("token"), F.lit(True).alias("is_random"))
-    return random.unionAll(some.select(F.explode("tokens.v").alias("token"), F.lit(False).alias("is_random")))
+    labelled = lambda spans, random: F.transform(spans, lambda x: F.struct(x.v.alias("token"), F.lit(random).alias("is_random")))
+    return some.select(F.explode(F.concat(labelled("base", True), labelled("tokens", False))).alias("s")).select("s.*")
 
 
 def train(samples: DataFrame) -> str | None:
