@@ -14,6 +14,8 @@ from loomspan.llm import cotrain, decontam, jaccard, packing, secretscan
 from loomspan.llm.queries import read, tokenizer_files
 from loomspan.llm.shared import Workspace, small_enough
 
+SHINGLE = 5  # of the stage; op4 has its own
+PERCENT = 80
 MOST_BROADCAST_IDS = 500_000  # 4 MB of ids
 
 
@@ -23,8 +25,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each linked group: the one with the least id."""
-    stay = jaccard.linked(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """One document of each linked group: the one with the least id.
+
+    Links are at a similarity of 0.8 or more over shingles of five words.
+    """
+    stay = jaccard.linked(docs, size=SHINGLE, percent=PERCENT).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = stay.select(F.col("doc_id").alias("__stays")).distinct()
     kept = docs.join(stay.hint("merge"), docs.doc_id.eqNullSafe(F.col("__stays")), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]) if jaccard.repeats_ids(docs) else kept

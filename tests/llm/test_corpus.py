@@ -495,3 +495,21 @@ def test_pipeline(spark):
     assert not any(spans_by_force(t) for t in texts)
     rows = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in rows.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_pipeline_links_five_words_at_four_fifths(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    make = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    base = make(100)
+    edited = make(280)
+    copy = list(edited)
+    for k in (30, 80, 130, 180, 230, 260):  # 2.14% of the words: 0.808 at five words, 0.842 at four
+        copy[k] = "edit"
+    texts = [base, base + make(22), make(22) + base, base + make(30), edited, copy, make(50), make(3)]
+    texts = [" ".join(t) for t in texts]
+    forced = linked_by_force(texts, 5, 80)
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs_of(spark, texts), SF).collect()}
+    assert kept == {c for _, c in forced.values()} == {0, 3, 4, 6, 7}
+    assert len({c for _, c in linked_by_force(texts).values()}) == len(texts)
