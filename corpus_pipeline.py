@@ -36,12 +36,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark window."""
-    found = decontam.contamination(docs, read(spark, sf_dir, "benchmark"))
+    """Documents without any benchmark window.
+
+    A document is known by a hash of its id and text, so that others with its id stay.
+    """
+    key = F.xxhash64("doc_id", "text")
+    found = decontam.contamination(docs.select(key.alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
     hit = Workspace(spark, "contaminated").table(found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("__hit")).distinct(), "ids")
     if small_enough(hit, MOST_BROADCAST_IDS):
         hit = F.broadcast(hit)
-    return docs.join(hit, docs.doc_id.eqNullSafe(F.col("__hit")), "left_anti")
+    return docs.join(hit, key == F.col("__hit"), "left_anti")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

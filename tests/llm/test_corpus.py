@@ -513,3 +513,15 @@ def test_pipeline_links_five_words_at_four_fifths(spark):
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs_of(spark, texts), SF).collect()}
     assert kept == {c for _, c in forced.values()} == {0, 3, 4, 6, 7}
     assert len({c for _, c in linked_by_force(texts).values()}) == len(texts)
+
+
+def test_pipeline_decontaminates_rows_not_ids(spark):
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").filter("length(text) > 200").first().text
+    rows = [(None, f"before {item} after"), (None, "clean one"), (None, "clean two"), (None, None), (7, item), (7, "clean three"), (8, "clean three"), (9, item), (9, item)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", 1) for i, t in rows], DOCS).repartition(3)
+    kept = corpus_pipeline.decontaminate(spark, docs, SF)
+    assert kept.columns == docs.columns
+    found = collections.Counter((r.doc_id, r.text) for r in kept.collect())
+    assert found == collections.Counter((i, t) for i, t in rows if item not in (t or ""))
