@@ -13,7 +13,7 @@ whole texts without a shuffle: long chains are cut into blocks whose transfer ma
 multiplied in order, which gives the same marginals as one chain.
 
 Defined results: a null text or one without letters is ``und`` with score 0; without any
-labelled document every text is; repeated rows are predicted each; an empty table gives an
+labelled document that has a word every text is; a text without spaces is one word; repeated rows are predicted each; an empty table gives an
 empty result; a clashing column name stays out, for only the id and the text are read.
 """
 
@@ -177,19 +177,23 @@ def _lexicon(hashes: np.ndarray, langs: np.ndarray, n: int) -> tuple[np.ndarray,
     return values[clear], table[clear].argmax(axis=1)
 
 
-def _spliced(docs: list[tuple[int, int, int]], rng: np.random.Generator) -> np.ndarray:
-    """Word numbers of chains: stretches of documents, every other chain switching between two of them."""
-    chains = []
-    for a, b, _ in docs:
-        for s in range(a, b - CHAIN + 1, CHAIN):
-            chains.append(np.arange(s, s + CHAIN))
-    chains = np.array(chains, np.int64).reshape(-1, CHAIN)
-    mixed = chains.copy()
-    other = rng.permutation(len(chains))
-    for k in range(0, len(chains), 2):
-        cut = np.sort(rng.integers(0, CHAIN + 1, 2))
-        mixed[k, cut[0] : cut[1]] = chains[other[k], cut[0] : cut[1]]
-    return mixed
+def _spliced(bounds: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Word numbers of chains: stretches of documents, -1 behind a short one; every word is in one chain.
+
+    About half of the chains have swapped a stretch with another, so that they switch between two.
+    """
+    words = np.diff(bounds)
+    blocks = -(-words // CHAIN)
+    chains = np.full(int(blocks.sum()) * CHAIN, -1, np.int64)
+    base = (np.cumsum(blocks) - blocks) * CHAIN
+    chains[np.repeat(base - bounds[:-1], words) + np.arange(bounds[0], bounds[-1])] = np.arange(bounds[0], bounds[-1])
+    chains = chains.reshape(-1, CHAIN)
+    length = (chains >= 0).sum(axis=1)
+    swapped = rng.permutation(len(chains))[: len(chains) // 4 * 2].reshape(-1, 2)
+    for j, k in swapped:
+        low, high = np.sort(rng.integers(0, min(length[j], length[k]) + 1, 2))
+        chains[[j, k], low:high] = chains[[k, j], low:high]
+    return chains
 
 
 def train(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
@@ -201,27 +205,29 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
         return None
     n, rng = len(names), np.random.default_rng(seed)
     [part] = textscan.slices(pa.array([t for t, _ in pairs], pa.large_string()), letters(), most=1 << 62)
+    if not len(part.hash):
+        return None
     bounds, label = part.bounds(), np.array([k for _, k in pairs])[part.row]
     lexicon, owner = _lexicon(part.hash, label, n)
     found = features(part, lexicon, owner)
     begin = np.append(0, found.ends[:-1])
-    chains = _spliced([(int(a), int(b), 0) for a, b in zip(bounds[:-1], bounds[1:])], rng)
+    chains = _spliced(bounds, rng)
     weights = np.zeros(((1 << BITS) + n + 1, n), np.float32)
     squares = np.full_like(weights, 1e-3)
     trans, trans_squares = np.zeros((n, n)), np.full((n, n), 1e-3)
-    for _ in range(EPOCHS if len(chains) else 0):
+    for _ in range(EPOCHS):
         for rows in np.array_split(rng.permutation(len(chains)), -(-len(chains) // BATCH)):
-            words = chains[rows].ravel()
+            real = chains[rows] >= 0
+            words = chains[rows][real]
             count = found.ends[words] - begin[words]
             at = np.repeat(begin[words] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
             ids = found.ids[at]
-            e = np.add.reduceat(weights[ids], np.cumsum(count) - count, axis=0).astype(float)
-            e = np.exp(e - e.max(axis=1, keepdims=True)).reshape(len(rows), CHAIN, n)
+            own = np.add.reduceat(weights[ids], np.cumsum(count) - count, axis=0).astype(float)
+            e, truth = np.ones((*real.shape, n)), np.zeros((*real.shape, n))
+            e[real], truth[real] = np.exp(own - own.max(axis=1, keepdims=True)), np.eye(n)[label[words]]
             a, ones = np.exp(trans), np.full((len(rows), n), 1 / n)
-            real = np.ones((len(rows), CHAIN), bool)
             gamma = chain_marginals(e, real, a, ones, ones)
-            truth = np.eye(n)[label[words]].reshape(len(rows), CHAIN, n)
-            slope = ((gamma - truth) / len(rows)).reshape(-1, n)
+            slope = (gamma - truth)[real] / len(rows)
             step = np.zeros_like(weights)
             spread = np.repeat(slope, count, axis=0)
             for k in range(n):
@@ -229,23 +235,24 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
             squares += step * step
             weights -= 0.3 * step / np.sqrt(squares) + 1e-5 * weights
             # Expected and observed transitions; the pair marginal from messages around it.
-            alpha, beta = _messages(e, a)
-            pair = alpha[:, :-1, :, None] * a * (e * beta)[:, 1:, None, :]
-            pair /= pair.sum(axis=(2, 3), keepdims=True)
-            seen = np.einsum("bti,btj->ij", truth[:, :-1], truth[:, 1:])
-            step = (pair.sum(axis=(0, 1)) - seen) / len(rows)
+            alpha, beta = _messages(e, real, a)
+            both = real[:, 1:]
+            left, right = alpha[:, :-1][both], (e * beta)[:, 1:][both]
+            left /= ((left @ a) * right).sum(axis=1, keepdims=True)
+            seen = truth[:, :-1][both].T @ truth[:, 1:][both]
+            step = (a * (left.T @ right) - seen) / len(rows)
             trans_squares += step * step
             trans -= 0.1 * step / np.sqrt(trans_squares)
     return Model(names, weights, np.exp(trans), lexicon, owner)
 
 
-def _messages(e: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _messages(e: np.ndarray, real: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     alpha, beta = np.empty_like(e), np.ones_like(e)
     state = np.full((len(e), e.shape[2]), 1 / e.shape[2])
     for t in range(e.shape[1]):
         state = alpha[:, t] = _scaled((state @ a) * e[:, t])
     for t in range(e.shape[1] - 2, -1, -1):
-        beta[:, t] = _scaled((beta[:, t + 1] * e[:, t + 1]) @ a.T)
+        beta[:, t] = np.where(real[:, t + 1, None], _scaled((beta[:, t + 1] * e[:, t + 1]) @ a.T), 1)
     return alpha, beta
 
 

@@ -380,6 +380,30 @@ def test_language_of_held_out_documents(spark):
     assert {r.lang_pred for r in langid.predict(docs_of(spark, ["abc"]), None).collect()} == {"und"}
 
 
+def test_chains_hold_every_word_once():
+    bounds = np.array([0, 0, 5, 305, 306, 370, 500])
+    chains = langid._spliced(bounds, np.random.default_rng(2))
+    assert chains.shape == (1 + 5 + 1 + 1 + 3, langid.CHAIN)
+    assert sorted(chains[chains >= 0].tolist()) == list(range(500))
+    assert all((row >= 0).tolist() == sorted((row >= 0).tolist(), reverse=True) for row in chains)
+    assert max(len(set(np.searchsorted(bounds, row[row >= 0], "right"))) for row in chains) > 1
+
+
+def test_languages_of_short_texts_and_of_texts_without_spaces(spark):
+    rng = random.Random(8)
+    words = {"xx": [f"{a}{b}ka" for a in "bdg" for b in "aeiou"], "yy": [f"{a}{b}sch" for a in "bdg" for b in "aeiou"]}
+    signs = {"zh": [chr(0x4E00 + k) for k in range(150)], "th": [chr(0x0E01 + k) for k in range(40)]}
+    text = lambda lang, n: " ".join(rng.choices(words[lang], k=n)) if lang in words else "".join(rng.choices(signs[lang], k=5 * n))
+    rows = [(text(lang, rng.randint(3, 40)), lang) for lang in ("xx", "zh", "th") for _ in range(40)]
+    tests = [(text(lang, 12), lang) for lang in ("xx", "yy", "zh", "th") for _ in range(5)]
+    for long in (0, 300):  # all documents are short; those of one language are long
+        model = langid.train(*zip(*rows, *[(text("yy", long or 20), "yy") for _ in range(40)]))
+        found = langid.predict(docs_of(spark, [t for t, _ in tests]), model).collect()
+        assert {r.doc_id: r.lang_pred for r in found} == dict(enumerate(x for _, x in tests))
+        assert min(r.score for r in found) > 0.6
+    assert langid.train(["1 2 3"], ["xx"]) is None
+
+
 def test_block_marginals_equal_the_whole_chain():
     rng = np.random.default_rng(4)
     e, a = rng.normal(size=(500, 3)), np.exp(rng.normal(size=(3, 3)))
