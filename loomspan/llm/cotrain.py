@@ -6,8 +6,8 @@ documents it is sure of and hands them to the other as training data.  Both are
 calibrated on labelled documents held back, and a third, also fitted there, combines the
 calibrated views.  All documents are scored in one pass without a shuffle.
 
-The fit takes at most about ``SAMPLE_DOCS`` labelled and ``POOL_DOCS`` unlabelled documents,
-chosen by hash, and ``VOCABULARY`` words: the model's size depends on nothing else.
+The fit takes at most ``SAMPLE_DOCS`` labelled and ``POOL_DOCS`` unlabelled distinct texts,
+those of least hash, and ``VOCABULARY`` words: the model's size depends on nothing else.
 
 Defined results: a null text is scored as an empty one; unseen or null metadata counts as
 unknown; repeated rows get the same score; without labels of both kinds every document is
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import textscan
 from .langid import letters
-from .shared import ship
+from .shared import Workspace, least_hashes, ship
 
 SAMPLE_DOCS = 8_000
 POOL_DOCS = 2_000
@@ -254,18 +254,20 @@ def train(labelled: pa.Table, pool: pa.Table, rounds: int = ROUNDS) -> Model | N
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS, pool: int = POOL_DOCS) -> Model | None:
     """Train on ``docs`` with ``labels`` (``doc_id``, ``quality``, ``toxic``): good is of quality and not toxic.
 
-    The samples are chosen by a hash of the text, so they stay bounded and repeatable; an
-    id with several labels counts as bad if any says so.
+    The samples are the distinct texts of least hash, so they stay bounded and repeatable; an
+    id or a text with several labels counts as bad if any says so.  What is known about a page
+    is taken from one of the rows that have its text.
     """
     good = (F.coalesce(F.col("quality"), F.lit(1)) == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
     known = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("of_doc")).agg(F.min(good).alias("good"))
-    n_docs, n_labels = docs.count(), known.count()
-    share = min(1.0, most / max(n_labels, 1)), min(1.0, pool / max(n_docs, 1))
-    place = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1e6
     some = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
-    some = some.filter(place < max(share)).join(known, F.col("doc_id") == F.col("of_doc"), "left").withColumn("place", place)
-    some = some.filter(F.when(F.col("good").isNotNull(), F.col("place") < share[0]).otherwise(F.col("place") < share[1]))
-    table = some.select("text", "source", "lang", "n_chars", "good").limit(2 * (most + pool)).toArrow()
+    some = some.withColumns({"h": F.xxhash64("text"), "r": F.xxhash64("doc_id", "source", "lang", "n_chars")})
+    texts = some.select("doc_id", "h", "r").join(known, F.col("doc_id") == F.col("of_doc"), "left").groupBy("h").agg(F.min("good").alias("good"), F.min("r").alias("r"))
+    texts = Workspace(docs.sparkSession, "cotrain").table(texts, "texts")
+    counts = {k: n for k, n in texts.groupBy(F.col("good").isNotNull()).count().collect()}
+    chosen = least_hashes(texts.filter("good IS NOT NULL"), counts.get(True, 0), most)
+    chosen = chosen.unionAll(least_hashes(texts.filter("good IS NULL"), counts.get(False, 0), pool))
+    table = some.join(F.broadcast(chosen), ["h", "r"]).dropDuplicates(["h"]).select("h", "text", "source", "lang", "n_chars", "good").toArrow().sort_by("h")
     known_rows = pa.compute.is_valid(table.column("good"))
     return train(table.filter(known_rows), table.filter(pa.compute.invert(known_rows)))
 

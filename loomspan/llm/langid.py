@@ -7,7 +7,7 @@ sequences of several documents show it switching.  Forward-backward gives each w
 distribution over languages; a document's are summed, its language is the largest and its
 score that one's share.
 
-The fit takes at most about ``SAMPLE_DOCS`` labelled documents, chosen by hash, and
+The fit takes at most ``SAMPLE_DOCS`` distinct labelled texts, those of least hash, and
 ``LEXICON`` words; the model's size depends on nothing else.  Prediction is one pass over
 whole texts without a shuffle: long chains are cut into blocks whose transfer matrices are
 multiplied in order, which gives the same marginals as one chain.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .shared import ship
+from .shared import Workspace, least_hashes, ship
 
 SAMPLE_DOCS = 1500
 LEXICON = 50_000
@@ -257,10 +257,16 @@ def _messages(e: np.ndarray, real: np.ndarray, a: np.ndarray) -> tuple[np.ndarra
 
 
 def fit(labelled: DataFrame, most: int = SAMPLE_DOCS) -> Model | None:
-    """Train on about ``most`` rows of ``labelled`` (``text``, ``lang``), chosen by hash."""
-    known = labelled.select("text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
-    every = max(1, -(-known.count() // most))
-    rows = known.filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).limit(2 * most).collect()
+    """Train on at most ``most`` distinct texts of ``labelled`` (``text``, ``lang``), those of least hash.
+
+    A text with several languages counts for the one most of its rows have.
+    """
+    known = labelled.select(F.col("text").cast("string").alias("text"), "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
+    known = known.withColumn("h", F.xxhash64("text"))
+    votes = known.groupBy("h", "lang").agg(F.count(F.lit(1)).alias("n"))
+    texts = Workspace(labelled.sparkSession, "langid").table(votes.groupBy("h").agg(F.max(F.struct("n", "lang")).alias("top")).select("h", F.col("top.lang").alias("lang")), "texts")
+    some = least_hashes(texts, texts.count(), most).withColumnRenamed("lang", "lang_of")
+    rows = known.drop("lang").join(F.broadcast(some), "h").groupBy("h").agg(F.first("text").alias("text"), F.first("lang_of").alias("lang")).collect()
     rows.sort(key=lambda r: (r.lang, r.text))
     return train([r.text for r in rows], [r.lang for r in rows])
 

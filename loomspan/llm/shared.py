@@ -115,3 +115,14 @@ def spread(df: DataFrame) -> DataFrame:
 def small_enough(df: DataFrame, most_rows: int) -> bool:
     """Whether ``df`` has at most ``most_rows`` rows; reads no more than one row beyond that."""
     return df.limit(most_rows + 1).agg(F.count(F.lit(1))).first()[0] <= most_rows
+
+
+def least_hashes(texts: DataFrame, rows: int, most: int) -> DataFrame:
+    """The ``most`` rows of least hash ``h`` among ``rows`` distinct ones.
+
+    Hashes are spread evenly, so that few beyond ``most`` need be sorted.
+    """
+    share = (most + 8 * most**0.5 + 32) / max(rows, 1)
+    if share < 1:
+        texts = texts.filter(F.col("h") < F.lit(int(-(1 << 63) + share * (1 << 64))))
+    return texts.orderBy("h").limit(most)

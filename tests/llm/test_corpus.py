@@ -306,6 +306,27 @@ def test_cotraining_without_labels_keeps_all(spark, corpus):
     assert cotrain.scores(odd, model).count() == 2 and cotrain.scores(odd.limit(0), model).count() == 0
 
 
+def test_samples_hold_each_text_once(spark, monkeypatch):
+    rng = random.Random(9)
+    text = lambda k: " ".join(f"{'bad' if k % 3 == 0 else 'ok'}{rng.randrange(40)}" for _ in range(20))
+    rows = [(k, text(k), ("en", "fr")[k % 2], "s", 100, "x", 1) for k in range(240)]
+    rows += [(1000 + k, rows[5][1], rows[5][2], "s", 100, "x", 1) for k in range(2000)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in [*range(120), *range(1000, 3000)]], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(cotrain, "train", lambda known, pool: seen.append((known.to_pylist(), pool.to_pylist())))
+    least = lambda part, n: sorted(part, key=lambda r: r["h"])[:n]
+    cotrain.fit(docs, labels, 10**6, 10**6)
+    cotrain.fit(docs, labels, 50, 20)
+    (known, pool), few = seen
+    of_text = {t: k for k, t, *_ in rows[:240]}
+    assert sorted(of_text[r["text"]] for r in known) == list(range(120)) and sorted(of_text[r["text"]] for r in pool) == list(range(120, 240))
+    assert all(r["good"] == (of_text[r["text"]] % 3 > 0) for r in known if of_text[r["text"]] != 5) and not [r for r in known if of_text[r["text"]] == 5][0]["good"]
+    assert few == (least(known, 50), least(pool, 20))
+    monkeypatch.setattr(langid, "train", lambda texts, langs: dict(zip(texts, langs, strict=True)))
+    assert langid.fit(docs, 10**6) == {t: x for _, t, x, *_ in rows[:240]}
+
+
 # 7. Secrets
 
 
