@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -264,9 +265,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS, pool: int =
     some = some.withColumns({"h": F.xxhash64("text"), "r": F.xxhash64("doc_id", "source", "lang", "n_chars")})
     texts = some.select("doc_id", "h", "r").join(known, F.col("doc_id") == F.col("of_doc"), "left").groupBy("h").agg(F.min("good").alias("good"), F.min("r").alias("r"))
     texts = Workspace(docs.sparkSession, "cotrain").table(texts, "texts")
-    counts = {k: n for k, n in texts.groupBy(F.col("good").isNotNull()).count().collect()}
-    chosen = least_hashes(texts.filter("good IS NOT NULL"), counts.get(True, 0), most)
-    chosen = chosen.unionAll(least_hashes(texts.filter("good IS NULL"), counts.get(False, 0), pool))
+    texts = texts.withColumn("known", F.col("good").isNotNull())
+    counts = dict(texts.groupBy("known").count().collect())
+    parts = [least_hashes(texts.filter(F.col("known") == k), {k: n}, size, "known") for k, size in ((True, most), (False, pool)) for n in [counts.get(k)] if n]
+    chosen = reduce(DataFrame.unionAll, parts, texts.limit(0))
     table = some.join(F.broadcast(chosen), ["h", "r"]).dropDuplicates(["h"]).select("h", "text", "source", "lang", "n_chars", "good").toArrow().sort_by("h")
     known_rows = pa.compute.is_valid(table.column("good"))
     return train(table.filter(known_rows), table.filter(pa.compute.invert(known_rows)))

@@ -7,8 +7,9 @@ sequences of several documents show it switching.  Forward-backward gives each w
 distribution over languages; a document's are summed, its language is the largest and its
 score that one's share.
 
-The fit takes at most ``SAMPLE_DOCS`` distinct labelled texts, those of least hash, and
-``LEXICON`` words; the model's size depends on nothing else.  Prediction is one pass over
+The fit takes as many distinct labelled texts of each language, those of least hash, as make
+``SAMPLE_DOCS`` together, but ``LEAST_DOCS`` of each at least, and ``LEXICON`` words; the
+model's size depends on these and the number of languages, which are all learned.  Prediction is one pass over
 whole texts without a shuffle: long chains are cut into blocks whose transfer matrices are
 multiplied in order, which gives the same marginals as one chain.
 
@@ -32,7 +33,7 @@ from .shared import Workspace, least_hashes, ship
 
 SAMPLE_DOCS = 1500
 LEXICON = 50_000
-MOST_LANGUAGES = 32
+LEAST_DOCS = 30  # of a language, however many there are
 BITS = 16
 CHAIN = 64
 EPOCHS = 4
@@ -198,9 +199,9 @@ def _spliced(bounds: np.ndarray, rng: np.random.Generator) -> np.ndarray:
 
 def train(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
     """Fit by stochastic gradients of the conditional likelihood."""
-    names, counts = np.unique(np.array(langs, object).astype(str), return_counts=True)
-    names = sorted(names[np.argsort(-counts, kind="stable")[:MOST_LANGUAGES]].tolist())
-    pairs = [(t, names.index(x)) for t, x in zip(texts, langs) if t and x in names]
+    names = sorted({x for t, x in zip(texts, langs) if t})
+    number = {x: k for k, x in enumerate(names)}
+    pairs = [(t, number[x]) for t, x in zip(texts, langs) if t]
     if not pairs:
         return None
     n, rng = len(names), np.random.default_rng(seed)
@@ -257,15 +258,17 @@ def _messages(e: np.ndarray, real: np.ndarray, a: np.ndarray) -> tuple[np.ndarra
 
 
 def fit(labelled: DataFrame, most: int = SAMPLE_DOCS) -> Model | None:
-    """Train on at most ``most`` distinct texts of ``labelled`` (``text``, ``lang``), those of least hash.
+    """Train on distinct texts of ``labelled`` (``text``, ``lang``), those of least hash of each language.
 
+    All languages get an equal share of ``most``, but ``LEAST_DOCS`` texts at least, if they have them.
     A text with several languages counts for the one most of its rows have.
     """
     known = labelled.select(F.col("text").cast("string").alias("text"), "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
     known = known.withColumn("h", F.xxhash64("text"))
     votes = known.groupBy("h", "lang").agg(F.count(F.lit(1)).alias("n"))
     texts = Workspace(labelled.sparkSession, "langid").table(votes.groupBy("h").agg(F.max(F.struct("n", "lang")).alias("top")).select("h", F.col("top.lang").alias("lang")), "texts")
-    some = least_hashes(texts, texts.count(), most).withColumnRenamed("lang", "lang_of")
+    counts = dict(texts.groupBy("lang").count().collect())
+    some = least_hashes(texts, counts, max(LEAST_DOCS, most // max(len(counts), 1)), "lang").withColumnRenamed("lang", "lang_of")
     rows = known.drop("lang").join(F.broadcast(some), "h").groupBy("h").agg(F.first("text").alias("text"), F.first("lang_of").alias("lang")).collect()
     rows.sort(key=lambda r: (r.lang, r.text))
     return train([r.text for r in rows], [r.lang for r in rows])
@@ -285,10 +288,11 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang_pred, score) of every document of ``docs`` (``doc_id``, ``text``)."""
     ship(docs.sparkSession)
     alphabet = letters()
+    most = textscan.SLICE_BYTES * 8 // max(len(model.languages) if model else 0, 8)  # arrays are as wide as there are languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in textscan.slices(batch.column(1), alphabet):
+            for part in textscan.slices(batch.column(1), alphabet, most=most):
                 names, scores = [UND] * part.n, np.zeros(part.n)
                 if model is not None:
                     bounds = part.bounds()

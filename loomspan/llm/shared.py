@@ -17,7 +17,7 @@ import uuid
 import zipfile
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: For one write: shuffle files go when it ends, and what a Python worker gets at once is bounded.
@@ -117,12 +117,14 @@ def small_enough(df: DataFrame, most_rows: int) -> bool:
     return df.limit(most_rows + 1).agg(F.count(F.lit(1))).first()[0] <= most_rows
 
 
-def least_hashes(texts: DataFrame, rows: int, most: int) -> DataFrame:
-    """The ``most`` rows of least hash ``h`` among ``rows`` distinct ones.
+def least_hashes(texts: DataFrame, counts: dict, most: int, of: str) -> DataFrame:
+    """The ``most`` rows of least hash ``h`` for each value of column ``of``, which ``counts`` rows have; hashes are distinct.
 
     Hashes are spread evenly, so that few beyond ``most`` need be sorted.
     """
-    share = (most + 8 * most**0.5 + 32) / max(rows, 1)
-    if share < 1:
-        texts = texts.filter(F.col("h") < F.lit(int(-(1 << 63) + share * (1 << 64))))
-    return texts.orderBy("h").limit(most)
+    below = {k: int(-(1 << 63) + share * (1 << 64)) for k, n in counts.items() for share in [(most + 8 * most**0.5 + 32) / n] if share < 1}
+    if below:
+        bounds = texts.sparkSession.createDataFrame(list(below.items()), texts.select(F.col(of).alias("__of"), F.lit(0).cast("long").alias("__below")).schema)
+        texts = texts.join(F.broadcast(bounds), F.col(of) == F.col("__of"), "left").filter("__below IS NULL OR h < __below").drop("__of", "__below")
+    first = F.row_number().over(Window.partitionBy(of).orderBy("h"))
+    return texts.withColumn("__first", first).filter(F.col("__first") <= most).drop("__first")

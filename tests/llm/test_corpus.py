@@ -425,6 +425,21 @@ def test_languages_of_short_texts_and_of_texts_without_spaces(spark):
     assert langid.train(["1 2 3"], ["xx"]) is None
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    rng = random.Random(4)
+    words = {f"l{k:02}": ["".join(rng.choices("abcdefghijklmnop", k=4)) for _ in range(12)] for k in range(40)}
+    text = lambda x: " ".join(rng.choices(words[x], k=30))
+    many = [(text(x), x) for x in words for _ in range(12)]
+    docs = spark.createDataFrame([*many, *[(text("l00"), "l00") for _ in range(3000)]], "text string, lang string")
+    model = langid.fit(docs, 400)
+    assert model.languages == sorted(words)
+    found = langid.predict(docs_of(spark, [text(x) for x in words]), model).collect()
+    assert np.mean([r.lang_pred == f"l{r.doc_id:02}" for r in found]) > 0.95
+    monkeypatch.setattr(langid, "train", lambda texts, langs: collections.Counter(langs))
+    assert langid.fit(docs, 400) == {x: langid.LEAST_DOCS if x == "l00" else 12 for x in words}
+    assert langid.fit(docs, 80_000) == {x: 2000 if x == "l00" else 12 for x in words}
+
+
 def test_block_marginals_equal_the_whole_chain():
     rng = np.random.default_rng(4)
     e, a = rng.normal(size=(500, 3)), np.exp(rng.normal(size=(3, 3)))
