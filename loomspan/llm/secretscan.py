@@ -7,7 +7,7 @@ literal in the plan, its size fixed by the alphabet, so that a scan is one pass
 shuffle, and a row needs nothing but itself.
 
 Labelled samples: what the patterns match counts as random, other long tokens as ordinary.
-The fit takes at most about ``SAMPLE_DOCS`` documents, chosen by hash; scanning covers all.
+Transitions are counted over all documents, and no more rows than two alphabets squared come of it.
 
 Defined results: a null text has no spans; repeated rows each get theirs; without any
 labelled random string the models add nothing; an empty table gives an empty result; other
@@ -29,7 +29,6 @@ TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 LEAST_VALUE = 6
 KINDS = ["assign", "access", "hex", "markov"]
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-SAMPLE_DOCS = 20_000
 MARGIN = 6.0
 
 SPAN = "struct<s:int,k:int,e:int,v:string>"
@@ -73,10 +72,9 @@ def scanned(docs: DataFrame) -> DataFrame:
     return docs.withColumn("tokens", free).drop("long")
 
 
-def labelled_samples(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
-    """(token, is_random) from about ``most`` documents."""
-    every = max(1, -(-docs.count() // most))
-    some = scanned(docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0))
+def labelled_samples(docs: DataFrame) -> DataFrame:
+    """(token, is_random) from all documents."""
+    some = scanned(docs.select("text"))
     labelled = lambda spans, random: F.transform(spans, lambda x: F.struct(x.v.alias("token"), F.lit(random).alias("is_random")))
     return some.select(F.explode(F.concat(labelled("base", True), labelled("tokens", False))).alias("s")).select("s.*")
 

@@ -370,6 +370,14 @@ def test_models_tell_random_strings_from_identifiers(spark):
     assert secretscan.train(spark.createDataFrame([], "token string, is_random boolean")) is None
 
 
+def test_models_count_rare_random_strings(spark):
+    docs = spark.range(20_100).select(F.concat(F.lit("plain text "), F.col("id")).alias("text"))
+    rare = spark.range(40).select(F.concat(F.lit("found "), F.md5(F.col("id").cast("string"))).alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(2)) == 1).limit(3)
+    samples = secretscan.labelled_samples(docs.unionAll(rare))
+    assert samples.filter("is_random").count() == 3
+    assert secretscan.train(samples) is not None
+
+
 def test_redaction(spark):
     docs = docs_of(spark, SECRETS).withColumns({c: F.lit(c) for c in ("base", "spans", "tokens", "raw", "row", "hex")})
     rows = {r.doc_id: r for r in secretscan.redacted(docs, None).collect()}
