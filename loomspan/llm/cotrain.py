@@ -1,13 +1,17 @@
 """Quality classifier by co-training on two views of a document.
 
 One logistic classifier sees the text (words, their stems and style), the other what is known about the
-page without reading it (source, language, length).  Over rounds each labels the unlabelled
-documents it is sure of and hands them to the other as training data.  Both are then
+page without reading it (source, language, length).  Both start from labelled documents.  In
+each round they score all documents, and those that one view is sure of are counted, with the
+label it gives them, among the features of the other: the other learns the log odds of its
+features by these counts and is fitted again with them.  Both are then
 calibrated on labelled documents held back, and a third, also fitted there, combines the
-calibrated views.  All documents are scored in one pass without a shuffle.
+calibrated views.  Scoring is one pass without a shuffle.
 
-The fit takes at most ``SAMPLE_DOCS`` labelled and ``POOL_DOCS`` unlabelled distinct texts,
-those of least hash, and ``VOCABULARY`` words: the model's size depends on nothing else.
+Only labelled documents are sampled: at most ``SAMPLE_DOCS`` distinct texts, those of least
+hash, of ``SAMPLE_BYTES`` together.  Pseudo-labels come from all documents; their counts have a row a
+feature, and features are ``VOCABULARY`` words and ``META`` places for hashed metadata.  The fit
+is one task of an executor, and the order of rows changes nothing.
 
 Defined results: a null text is scored as an empty one; unseen or null metadata counts as
 unknown; repeated rows get the same score; without labels of both kinds every document is
@@ -17,28 +21,27 @@ kept with score one; an empty table gives an empty result; other columns pass th
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
 from .langid import letters
-from .shared import Workspace, least_hashes, ship
+from .shared import Workspace, fitted, least_hashes, ship
 
-SAMPLE_DOCS = 8_000
-POOL_DOCS = 2_000
+SAMPLE_DOCS = 12_000
+SAMPLE_BYTES = 32 << 20
 VOCABULARY = 5_000
+META = 1 << 15
 LEAST_DOCS = 5
 STEM = 5  # bytes
-ROUNDS = 3
+ROUNDS = 2  # exchanges of pseudo-labels
 SURE = 0.98
-HANDED = 500  # most pseudo-labels a round
 THRESHOLD = 0.5
 
 U = np.uint64
@@ -139,31 +142,57 @@ def text_rows(part: textscan.Slice, vocabulary: np.ndarray) -> Rows:
     return Rows(pairs % len(vocabulary), np.bincount(pairs // len(vocabulary), minlength=part.n), dense)
 
 
-def meta_rows(table: dict[str, list], places: dict[str, int]) -> Rows:
-    """Source, language and size class as numbered features; unknown values have none."""
-    ids, count = [], []
+def meta_rows(table: dict[str, list]) -> Rows:
+    """Source, language and size class as hashed features."""
+    ids = []
     for source, lang, n_chars in zip(table["source"], table["lang"], table["n_chars"]):
         size = int(np.log2(max(n_chars or 0, 0) + 1))
-        own = [places[k] for k in (f"source={source}", f"lang={lang}", f"size={size}", f"{lang}/{size}") if k in places]
-        ids += own
-        count.append(len(own))
+        ids += [zlib.crc32(k.encode()) % META for k in (f"source={source}", f"lang={lang}", f"size={size}", f"{lang}/{size}")]
     n_chars = np.array([max(x or 0, 0) for x in table["n_chars"]], float)
-    return Rows(np.array(ids, np.int64), np.array(count, np.int64), np.log1p(n_chars)[:, None])
+    return Rows(np.array(ids, np.int64), np.full(len(n_chars), 4, np.int64), np.log1p(n_chars)[:, None])
+
+
+@dataclass
+class View:
+    """One view's classifier, and the log odds of its features by what the other view handed over."""
+
+    learner: Logistic
+    odds: np.ndarray
+
+    def rows(self, x: Rows) -> Rows:
+        """``x`` with the mean log odds of its features as one more column."""
+        total = np.concatenate([[0], np.cumsum(self.odds[x.ids])])
+        ends = np.cumsum(x.count)
+        mean = (total[ends] - total[ends - x.count]) / np.maximum(x.count, 1)
+        return Rows(x.ids, x.count, np.column_stack([x.dense, mean]))
+
+    def logit(self, x: Rows) -> np.ndarray:
+        return self.learner.logit(self.rows(x))
+
+
+def log_odds(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """Of each feature, from how often it stood in good and in bad documents; none where either kind is unknown."""
+    if not good.sum() or not bad.sum():
+        return np.zeros(len(good))
+    return np.log((good + 1) / (good.sum() + len(good))) - np.log((bad + 1) / (bad.sum() + len(bad)))
 
 
 @dataclass
 class Model:
     vocabulary: np.ndarray = field(default_factory=lambda: np.zeros(0, U))
-    places: dict[str, int] = field(default_factory=dict)
-    text: Logistic | None = None
-    meta: Logistic | None = None
+    text: View | None = None
+    meta: View | None = None
     calibration: list[tuple[float, float]] = field(default_factory=list)
     weights: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
+    def views(self, text: Rows, meta: Rows) -> tuple[np.ndarray, np.ndarray]:
+        """Calibrated logit of a good document by either view."""
+        (a, b), (c, d) = self.calibration
+        return a * self.text.logit(text) + b, c * self.meta.logit(meta) + d
+
     def scores(self, text: Rows, meta: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated probability of a good document by either view and by both."""
-        (a, b), (c, d) = self.calibration
-        u, v = a * self.text.logit(text) + b, c * self.meta.logit(meta) + d
+        u, v = self.views(text, meta)
         return sigmoid(u), sigmoid(v), sigmoid(self.weights[0] * u + self.weights[1] * v + self.weights[2])
 
 
@@ -187,98 +216,125 @@ def _slices(texts: pa.ChunkedArray) -> Iterator[textscan.Slice]:
 
 
 def _vocabulary(texts: pa.ChunkedArray, good: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """Words of several documents whose share of bad ones is least like chance."""
-    words, docs = [], []
+    """Words of several documents whose share of bad ones is least like chance; counts are merged slice by slice."""
+    words, counts, bad_in = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
     for part in _slices(texts):
         at, found = part.bounds(), tokens(part)
-        for k in np.flatnonzero(~held[part.first : part.first + part.n]):
-            own = np.unique(found[at[k] : at[k + 1]])
-            own = own[own != 0]
-            words.append(own)
-            docs.append(np.full(len(own), part.first + k, np.int32))
-    words, docs = np.concatenate(words), np.concatenate(docs)
-    order = np.argsort(words, kind="stable")
-    words, bad = words[order], 1 - good[docs[order]]
-    begin = np.flatnonzero(np.append(True, words[1:] != words[:-1])) if len(words) else np.zeros(0, np.int64)
-    counts = np.diff(np.append(begin, len(words)))
-    bad_in = np.add.reduceat(bad, begin) if len(begin) else np.zeros(0)
+        own = [np.unique(found[at[k] : at[k + 1]]) for k in range(part.n)]
+        bad = np.repeat(1 - good[part.first : part.first + part.n], [len(x) for x in own]).astype(np.int64)
+        used = np.repeat(~held[part.first : part.first + part.n], [len(x) for x in own])
+        both = np.concatenate([words, np.concatenate(own)[used]])
+        words, index = np.unique(both, return_inverse=True)
+        counts = np.bincount(index, np.concatenate([counts, np.ones(int(used.sum()), np.int64)]), len(words)).astype(np.int64)
+        bad_in = np.bincount(index, np.concatenate([bad_in, bad[used]]), len(words)).astype(np.int64)
     rate = float(1 - good[~held].mean())
     surprise = (bad_in - counts * rate) ** 2 / np.maximum(counts * rate * (1 - rate), 1e-9)
-    often = np.flatnonzero(counts >= LEAST_DOCS)
-    return np.sort(words[begin[often[np.argsort(-surprise[often], kind="stable")[:VOCABULARY]]]])
+    often = np.flatnonzero((counts >= LEAST_DOCS) & (words != 0))
+    return np.sort(words[often[np.argsort(-surprise[often], kind="stable")[:VOCABULARY]]])
 
 
-def train(labelled: pa.Table, pool: pa.Table, rounds: int = ROUNDS) -> Model | None:
-    """Both tables have text, source, lang and n_chars; ``labelled`` has ``good`` too."""
+def train(labelled: pa.Table, known: tuple[np.ndarray, list[np.ndarray]] | None = None) -> Model | None:
+    """``labelled`` has h, text, source, lang, n_chars and good; ``known`` the vocabulary and both views' log odds of a round before."""
+    labelled = labelled.sort_by("h")
     good = np.array(labelled.column("good").to_pylist(), float)
     if not len(good) or good.min() == good.max():
         return None
     held = np.arange(len(good)) % 5 == 0
-    vocabulary = _vocabulary(labelled.column("text"), good, held)
-
-    def rows(table: pa.Table) -> Rows:
-        out = Rows(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 8)))
-        for p in _slices(table.column("text")):
-            out = out.join(text_rows(p, vocabulary))
-        return out
-
-    columns = _columns(labelled)
-    keys = sorted({f"source={s}" for s in columns["source"]})[:VOCABULARY]
-    keys += sorted({f"lang={x}" for x in columns["lang"]})[:VOCABULARY] + [f"size={k}" for k in range(40)]
-    keys += [f"{x[5:]}/{k}" for x in keys if x.startswith("lang=") for k in range(40)]
-    places = {k: i for i, k in enumerate(keys)}
-    views = [(rows(labelled), rows(pool)), (meta_rows(columns, places), meta_rows(_columns(pool), places))]
-    learners = [Logistic(max(len(vocabulary), 1)), Logistic(max(len(places), 1))]
-    train_rows = np.flatnonzero(~held)
-    handed: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * 2
-    for k in range(rounds):
-        sure = []
-        for learner, (own, unlabelled), (extra, given) in zip(learners, views, handed):
-            learner.fit(own.take(train_rows).join(unlabelled.take(extra)), np.concatenate([good[train_rows], given]))
-            p = sigmoid(learner.logit(unlabelled)) if len(unlabelled.count) else np.zeros(0)
-            sure.append((p, np.flatnonzero((p >= SURE) | (p <= 1 - SURE))))
-        if k + 1 == rounds:
-            break
-        for to, (p, at) in enumerate(reversed(sure)):  # what one view is sure of, the other learns
-            new = np.setdiff1d(at, handed[to][0])
-            new = new[np.argsort(-np.abs(p[new] - 0.5), kind="stable")[:HANDED]]
-            handed[to] = np.concatenate([handed[to][0], new]), np.concatenate([handed[to][1], (p[new] > 0.5).astype(float)])
-    back, y = np.flatnonzero(held), good[held]
-    model = Model(vocabulary, places, *learners)
-    logits = [learner.logit(own.take(back)) for learner, (own, _) in zip(learners, views)]
+    if not held.any() or good[held].min() == good[held].max() or good[~held].min() == good[~held].max():
+        held = np.zeros(len(good), bool)  # too few to hold any back
+    vocabulary = known[0] if known else _vocabulary(labelled.column("text"), good, held)
+    odds = known[1] if known else [np.zeros(max(len(vocabulary), 1)), np.zeros(META)]
+    text = Rows(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 8)))
+    for part in _slices(labelled.column("text")):
+        text = text.join(text_rows(part, vocabulary))
+    train_rows, back = np.flatnonzero(~held), np.flatnonzero(held) if held.any() else np.arange(len(good))
+    model, logits = Model(vocabulary), []
+    for own, by_other in zip((text, meta_rows(_columns(labelled))), odds):
+        view = View(Logistic(len(by_other)), by_other)
+        view.learner.fit(view.rows(own.take(train_rows)), good[train_rows])
+        logits.append(view.logit(own.take(back)))
+        model.text, model.meta = model.meta, view  # text comes first
+    y = good[back]
     model.calibration = [tuple(_line(z[:, None], y)) for z in logits]
     both = np.column_stack([a * z + b for z, (a, b) in zip(logits, model.calibration)])
     model.weights = tuple(_line(both, y, penalty=5.0))  # firm: a view that says nothing stays out
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS, pool: int = POOL_DOCS) -> Model | None:
-    """Train on ``docs`` with ``labels`` (``doc_id``, ``quality``, ``toxic``): good is of quality and not toxic.
+def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(h, text, source, lang, n_chars, good) of the labelled distinct texts of least hash; good is of quality and not toxic.
 
-    The samples are the distinct texts of least hash, so they stay bounded and repeatable; an
-    id or a text with several labels counts as bad if any says so.  What is known about a page
+    An id or a text with several labels counts as bad if any says so.  What is known about a page
     is taken from one of the rows that have its text.
     """
     good = (F.coalesce(F.col("quality"), F.lit(1)) == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
     known = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("of_doc")).agg(F.min(good).alias("good"))
-    some = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
-    some = some.withColumns({"h": F.xxhash64("text"), "r": F.xxhash64("doc_id", "source", "lang", "n_chars")})
-    texts = some.select("doc_id", "h", "r").join(known, F.col("doc_id") == F.col("of_doc"), "left").groupBy("h").agg(F.min("good").alias("good"), F.min("r").alias("r"))
-    texts = Workspace(docs.sparkSession, "cotrain").table(texts, "texts")
-    texts = texts.withColumn("known", F.col("good").isNotNull())
-    counts = dict(texts.groupBy("known").count().collect())
-    parts = [least_hashes(texts.filter(F.col("known") == k), {k: n}, size, "known") for k, size in ((True, most), (False, pool)) for n in [counts.get(k)] if n]
-    chosen = reduce(DataFrame.unionAll, parts, texts.limit(0))
-    table = some.join(F.broadcast(chosen), ["h", "r"]).dropDuplicates(["h"]).select("h", "text", "source", "lang", "n_chars", "good").toArrow().sort_by("h")
-    known_rows = pa.compute.is_valid(table.column("good"))
-    return train(table.filter(known_rows), table.filter(pa.compute.invert(known_rows)))
+    some = inputs(docs).withColumns({"h": F.xxhash64("text"), "r": F.xxhash64("doc_id", "source", "lang", "n_chars")})
+    slim = some.select("doc_id", "h", "r", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    texts = slim.join(known, F.col("doc_id") == F.col("of_doc")).groupBy("h").agg(F.min("good").alias("good"), F.min("r").alias("r"), F.first("size").alias("size"))
+    work = Workspace(docs.sparkSession, "cotrain")
+    texts = work.table(texts.withColumn("one", F.lit(1)), "texts")
+    chosen = least_hashes(texts, {1: texts.count()}, most, "one", most_bytes)
+    return work.table(some.join(F.broadcast(chosen.select("h", "r", "good")), ["h", "r"]).dropDuplicates(["h"]).select("h", "text", "source", "lang", "n_chars", "good"), "sample")
 
 
-def _scored(model: Model, columns: dict[str, int], batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    out = [(np.zeros(0),) * 3]
+def inputs(docs: DataFrame) -> DataFrame:
+    kinds = {"doc_id": "long", "text": "string", "source": "string", "lang": "string", "n_chars": "long"}
+    return docs.select(*[F.col(c).cast(kind).alias(c) for c, kind in kinds.items()])
+
+
+def handed(docs: DataFrame, model: Model) -> list[np.ndarray]:
+    """Log odds of either view's features by the documents that the other view is sure of, counted over all documents.
+
+    A task adds up its documents and gives a row a feature; what reaches the driver has a row a feature too.
+    """
+    ship(docs.sparkSession)
+    sizes = [len(model.text.odds), META]
+    limit = float(np.log(SURE / (1 - SURE)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [np.zeros((2, n), np.int64) for n in sizes]
+        for batch in batches:
+            for rows in _rows(model, {c: k for k, c in enumerate(docs_columns)}, batch):
+                logits = model.views(*rows)
+                for own, other, count in zip(rows, reversed(logits), counts):
+                    for label, at in enumerate((other <= -limit, other >= limit)):
+                        count[label] += np.bincount(own.take(np.flatnonzero(at)).ids, minlength=count.shape[1])
+        for view, count in enumerate(counts):
+            at = np.flatnonzero(count.sum(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), view), pa.int32()), pa.array(at, pa.int32()), pa.array(count[0, at]), pa.array(count[1, at])], names=["view", "feature", "bad", "good"])
+
+    table = inputs(docs)
+    docs_columns = table.columns
+    sums = table.mapInArrow(run, "view int, feature int, bad long, good long").groupBy("view", "feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()
+    out, view = [], sums.column("view").to_numpy()
+    for k, n in enumerate(sizes):
+        counts = np.zeros((2, n), np.int64)
+        for label, name in enumerate(("bad", "good")):
+            counts[label, sums.column("feature").to_numpy()[view == k]] = sums.column(name).to_numpy()[view == k]
+        out.append(log_odds(counts[1], counts[0]))
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS, rounds: int = ROUNDS) -> Model | None:
+    """Co-train on ``docs`` with ``labels`` (``doc_id``, ``quality``, ``toxic``)."""
+    labelled = sample(docs, labels, most)
+    model = fitted(labelled, train)
+    for _ in range(rounds if model else 0):
+        known = model.vocabulary, handed(docs, model)
+        model = fitted(labelled, lambda table, known=known: train(table, known))
+    return model
+
+
+def _rows(model: Model, columns: dict[str, int], batch: pa.RecordBatch) -> Iterator[tuple[Rows, Rows]]:
+    """Both views of a batch's documents, slice by slice."""
     for part in textscan.slices(batch.column(columns["text"]).cast(pa.large_string()), letters()):
         own = {c: batch.column(columns[c]).slice(part.first, part.n).to_pylist() for c in ("source", "lang", "n_chars")}
-        out.append(model.scores(text_rows(part, model.vocabulary), meta_rows(own, model.places)))
+        yield text_rows(part, model.vocabulary), meta_rows(own)
+
+
+def _scored(model: Model, columns: dict[str, int], batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    out = [(np.zeros(0),) * 3, *[model.scores(*rows) for rows in _rows(model, columns, batch)]]
     return tuple(np.concatenate(x) for x in zip(*out))
 
 

@@ -11,14 +11,20 @@ from __future__ import annotations
 import atexit
 import importlib.util
 import os
+import pickle
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from .textscan import give_back
 
 #: For one write: shuffle files go when it ends, and what a Python worker gets at once is bounded.
 ACTION = {
@@ -117,14 +123,32 @@ def small_enough(df: DataFrame, most_rows: int) -> bool:
     return df.limit(most_rows + 1).agg(F.count(F.lit(1))).first()[0] <= most_rows
 
 
-def least_hashes(texts: DataFrame, counts: dict, most: int, of: str) -> DataFrame:
+def least_hashes(texts: DataFrame, counts: dict, most: int, of: str, most_bytes: int | None = None) -> DataFrame:
     """The ``most`` rows of least hash ``h`` for each value of column ``of``, which ``counts`` rows have; hashes are distinct.
 
+    With ``most_bytes``, only as many of these as have that many bytes by column ``size``.
     Hashes are spread evenly, so that few beyond ``most`` need be sorted.
     """
-    below = {k: int(-(1 << 63) + share * (1 << 64)) for k, n in counts.items() for share in [(most + 8 * most**0.5 + 32) / n] if share < 1}
+    below = {k: int(-(1 << 63) + share * (1 << 64)) for k, n in counts.items() for share in [(most + 8 * most**0.5 + 32) / max(n, 1)] if share < 1}
     if below:
         bounds = texts.sparkSession.createDataFrame(list(below.items()), texts.select(F.col(of).alias("__of"), F.lit(0).cast("long").alias("__below")).schema)
         texts = texts.join(F.broadcast(bounds), F.col(of) == F.col("__of"), "left").filter("__below IS NULL OR h < __below").drop("__of", "__below")
-    first = F.row_number().over(Window.partitionBy(of).orderBy("h"))
-    return texts.withColumn("__first", first).filter(F.col("__first") <= most).drop("__first")
+    by_hash = Window.partitionBy(of).orderBy("h")
+    texts = texts.withColumn("__first", F.row_number().over(by_hash)).filter(F.col("__first") <= most).drop("__first")
+    if most_bytes is None:
+        return texts
+    return texts.withColumn("__bytes", F.sum("size").over(by_hash)).filter(F.col("__bytes") <= most_bytes).drop("__bytes")
+
+
+def fitted(sample: DataFrame, train: Callable[[pa.Table], object]) -> object:
+    """What ``train`` makes of a bounded ``sample``, in one task of an executor; the driver gets no more than the model."""
+    nothing = to_arrow_schema(sample.schema).empty_table()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)
+        model = train(pa.Table.from_batches(rows) if rows else nothing)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        give_back()
+
+    found = sample.coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found.model) if found else train(nothing)
