@@ -29,11 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .shared import Workspace, least_hashes, ship
+from .shared import Workspace, fitted, least_hashes, ship
 
 SAMPLE_DOCS = 1500
 LEXICON = 50_000
 LEAST_DOCS = 30  # of a language, however many there are
+SAMPLE_BYTES = 16 << 10  # a text on average
 BITS = 16
 CHAIN = 64
 EPOCHS = 4
@@ -257,21 +258,32 @@ def _messages(e: np.ndarray, real: np.ndarray, a: np.ndarray) -> tuple[np.ndarra
     return alpha, beta
 
 
-def fit(labelled: DataFrame, most: int = SAMPLE_DOCS) -> Model | None:
-    """Train on distinct texts of ``labelled`` (``text``, ``lang``), those of least hash of each language.
+def sample(labelled: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
+    """(h, text, lang): distinct texts of ``labelled`` (``text``, ``lang``), those of least hash of each language.
 
-    All languages get an equal share of ``most``, but ``LEAST_DOCS`` texts at least, if they have them.
-    A text with several languages counts for the one most of its rows have.
+    All languages get an equal share of ``most``, but ``LEAST_DOCS`` texts at least, if they have them,
+    within ``SAMPLE_BYTES`` a text of the share.  A text with several languages counts for the one most of its rows have.
     """
     known = labelled.select(F.col("text").cast("string").alias("text"), "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
     known = known.withColumn("h", F.xxhash64("text"))
-    votes = known.groupBy("h", "lang").agg(F.count(F.lit(1)).alias("n"))
-    texts = Workspace(labelled.sparkSession, "langid").table(votes.groupBy("h").agg(F.max(F.struct("n", "lang")).alias("top")).select("h", F.col("top.lang").alias("lang")), "texts")
+    votes = known.groupBy("h", "lang").agg(F.count(F.lit(1)).alias("n"), F.first(F.octet_length("text")).alias("size"))
+    work = Workspace(labelled.sparkSession, "langid")
+    texts = work.table(votes.groupBy("h").agg(F.max(F.struct("n", "lang")).alias("top"), F.first("size").alias("size")).select("h", F.col("top.lang").alias("lang"), "size"), "texts")
     counts = dict(texts.groupBy("lang").count().collect())
-    some = least_hashes(texts, counts, max(LEAST_DOCS, most // max(len(counts), 1)), "lang").withColumnRenamed("lang", "lang_of")
-    rows = known.drop("lang").join(F.broadcast(some), "h").groupBy("h").agg(F.first("text").alias("text"), F.first("lang_of").alias("lang")).collect()
-    rows.sort(key=lambda r: (r.lang, r.text))
-    return train([r.text for r in rows], [r.lang for r in rows])
+    share = max(LEAST_DOCS, most // max(len(counts), 1))
+    some = least_hashes(texts, counts, share, "lang", share * SAMPLE_BYTES).select("h", F.col("lang").alias("lang_of"))
+    rows = known.drop("lang").join(F.broadcast(some), "h").groupBy("h").agg(F.first("text").alias("text"), F.first("lang_of").alias("lang"))
+    return work.table(rows, "sample")
+
+
+def fit(labelled: DataFrame, most: int = SAMPLE_DOCS) -> Model | None:
+    """Train on a ``sample`` of ``labelled``, in one task of an executor."""
+
+    def run(table: pa.Table) -> Model | None:
+        rows = sorted(zip(table.column("lang").to_pylist(), table.column("text").to_pylist()))
+        return train([t for _, t in rows], [x for x, _ in rows])
+
+    return fitted(sample(labelled, most), run)
 
 
 def label_words(text: str, model: Model) -> list[tuple[str, str]]:
@@ -284,8 +296,25 @@ def label_words(text: str, model: Model) -> list[tuple[str, str]]:
     return out
 
 
+RUNS = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("n", pa.int32())]))
+
+
+def _runs(best: np.ndarray, bounds: np.ndarray, languages: list[str]) -> pa.Array:
+    """Maximal runs of words of one language in each document: language, number of the first word, and of words."""
+    new = np.ones(len(best), bool)
+    new[1:] = best[1:] != best[:-1]
+    new[bounds[:-1][bounds[:-1] < len(best)]] = True
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(best)))
+    at = np.searchsorted(first, bounds)
+    place = first - np.repeat(bounds[:-1], np.diff(at))
+    langs = pa.array(languages, pa.string()).take(pa.array(best[first]))
+    runs = pa.StructArray.from_arrays([langs, pa.array(place, pa.int32()), pa.array(n, pa.int32())], names=["lang", "first", "n"])
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), runs)
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, lang_pred, score) of every document of ``docs`` (``doc_id``, ``text``)."""
+    """(doc_id, lang_pred, score, runs) of every document of ``docs`` (``doc_id``, ``text``); ``runs`` has the language of each word."""
     ship(docs.sparkSession)
     alphabet = letters()
     most = textscan.SLICE_BYTES * 8 // max(len(model.languages) if model else 0, 8)  # arrays are as wide as there are languages
@@ -293,10 +322,11 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textscan.slices(batch.column(1), alphabet, most=most):
-                names, scores = [UND] * part.n, np.zeros(part.n)
+                names, scores, runs = [UND] * part.n, np.zeros(part.n), pa.array([[]] * part.n, RUNS)
                 if model is not None:
                     bounds = part.bounds()
                     gamma = marginals(emissions(features(part, model.lexicon, model.owner), model.weights), bounds, model.transitions)
+                    runs = _runs(gamma.argmax(axis=1) if len(gamma) else np.zeros(0, np.int64), bounds, model.languages)
                     total = np.concatenate([np.zeros((1, gamma.shape[1])), np.cumsum(gamma, axis=0)])
                     share = (total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(np.diff(bounds), 1)[:, None]
                     best = share.argmax(axis=1)
@@ -309,8 +339,9 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                         else:
                             scores[k] = 0
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(part.first, part.n).cast(pa.int64()), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                    names=["doc_id", "lang_pred", "score"],
+                    [batch.column(0).slice(part.first, part.n).cast(pa.int64()), pa.array(names, pa.string()), pa.array(scores, pa.float64()), runs.cast(RUNS)],
+                    names=["doc_id", "lang_pred", "score", "runs"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    schema = "doc_id long, lang_pred string, score double, runs array<struct<lang:string,first:int,n:int>>"
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)

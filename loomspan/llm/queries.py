@@ -71,7 +71,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     workspace = Workspace(spark, "langid")
     predicted = workspace.table(langid.predict(docs, langid.fit(docs.filter(~held_out()))), "predicted")
-    return predicted.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return predicted.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "runs")
 
 
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

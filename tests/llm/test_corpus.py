@@ -306,25 +306,48 @@ def test_cotraining_without_labels_keeps_all(spark, corpus):
     assert cotrain.scores(odd, model).count() == 2 and cotrain.scores(odd.limit(0), model).count() == 0
 
 
-def test_samples_hold_each_text_once(spark, monkeypatch):
+def test_samples_hold_each_text_once(spark):
     rng = random.Random(9)
     text = lambda k: " ".join(f"{'bad' if k % 3 == 0 else 'ok'}{rng.randrange(40)}" for _ in range(20))
     rows = [(k, text(k), ("en", "fr")[k % 2], "s", 100, "x", 1) for k in range(240)]
     rows += [(1000 + k, rows[5][1], rows[5][2], "s", 100, "x", 1) for k in range(2000)]
     docs = spark.createDataFrame(rows, DOCS).repartition(3)
     labels = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in [*range(120), *range(1000, 3000)]], "doc_id long, quality int, toxic int")
-    seen = []
-    monkeypatch.setattr(cotrain, "train", lambda known, pool: seen.append((known.to_pylist(), pool.to_pylist())))
-    least = lambda part, n: sorted(part, key=lambda r: r["h"])[:n]
-    cotrain.fit(docs, labels, 10**6, 10**6)
-    cotrain.fit(docs, labels, 50, 20)
-    (known, pool), few = seen
+    read = lambda df: sorted((r.asDict() for r in df.collect()), key=lambda r: r["h"])
+    known, few = read(cotrain.sample(docs, labels, 10**6)), read(cotrain.sample(docs, labels, 50))
     of_text = {t: k for k, t, *_ in rows[:240]}
-    assert sorted(of_text[r["text"]] for r in known) == list(range(120)) and sorted(of_text[r["text"]] for r in pool) == list(range(120, 240))
+    assert sorted(of_text[r["text"]] for r in known) == list(range(120))
     assert all(r["good"] == (of_text[r["text"]] % 3 > 0) for r in known if of_text[r["text"]] != 5) and not [r for r in known if of_text[r["text"]] == 5][0]["good"]
-    assert few == (least(known, 50), least(pool, 20))
-    monkeypatch.setattr(langid, "train", lambda texts, langs: dict(zip(texts, langs, strict=True)))
-    assert langid.fit(docs, 10**6) == {t: x for _, t, x, *_ in rows[:240]}
+    assert few == known[:50]
+    bytes_of = np.cumsum([len(r["text"]) for r in known])
+    assert read(cotrain.sample(docs, labels, 10**6, 2000)) == known[: int((bytes_of <= 2000).sum())]
+    assert {r.text: r.lang for r in langid.sample(docs, 10**6).collect()} == {t: x for _, t, x, *_ in rows[:240]}
+
+
+def test_pseudo_labels_come_from_all_documents(spark):
+    """Counted plainly: every feature of one view, in the documents that the other is sure of."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.unionAll(docs.limit(3)).repartition(5)
+    model = cotrain.fit(docs, labels, rounds=0)
+    found = cotrain.handed(docs, model)
+    columns = [c for c in cotrain.inputs(docs).columns]
+    sums = [collections.defaultdict(lambda: [0, 0]) for _ in range(2)]
+    for r in cotrain.inputs(docs).collect():
+        batch = pa.RecordBatch.from_pylist([r.asDict()], schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("source", pa.string()), ("lang", pa.string()), ("n_chars", pa.int64())]))
+        [views] = cotrain._rows(model, {c: k for k, c in enumerate(columns)}, batch)
+        sure = [cotrain.sigmoid(z)[0] for z in model.views(*views)]
+        for own, p, count in zip(views, reversed(sure), sums):
+            for f in own.ids if p >= cotrain.SURE or p <= 1 - cotrain.SURE else ():
+                count[int(f)][int(p > 0.5)] += 1
+    for odds, count in zip(found, sums):
+        bad, good = np.zeros(len(odds)), np.zeros(len(odds))
+        for f, pair in count.items():
+            bad[f], good[f] = pair
+        assert np.allclose(odds, cotrain.log_odds(good, bad))
+    assert any(odds.any() for odds in found)
+    again = cotrain.fit(docs.repartition(2), labels)
+    same = cotrain.fit(docs.repartition(7), labels)
+    assert all(np.array_equal(a.odds, b.odds) and np.array_equal(a.learner.sparse, b.learner.sparse) for a, b in ((again.text, same.text), (again.meta, same.meta)))
 
 
 # 7. Secrets
@@ -407,6 +430,12 @@ def test_language_of_held_out_documents(spark):
     labels = [lang for _, lang in langid.label_words(" ".join(texts["en"] + texts["fr"]), model)]
     assert labels[:40].count("en") > 30 and labels[-40:].count("fr") > 30
     assert {r.lang_pred for r in langid.predict(docs_of(spark, ["abc"]), None).collect()} == {"und"}
+    mixed = " ".join(texts["en"] + texts["fr"])
+    rows = langid.predict(docs_of(spark, ["1", mixed, None, mixed, mixed]), model).collect()
+    for r in rows:
+        want = [x for _, x in langid.label_words(mixed, model)] if r.doc_id in (1, 3, 4) else []
+        assert [x.lang for x in r.runs for _ in range(x.n)] == want and [x.first for x in r.runs] == list(np.cumsum([0] + [x.n for x in r.runs])[: len(r.runs)])
+    assert langid.predict(docs.limit(0), model).count() == 0 and langid.fit(docs.limit(0)) is None
 
 
 def test_chains_hold_every_word_once():
@@ -433,7 +462,7 @@ def test_languages_of_short_texts_and_of_texts_without_spaces(spark):
     assert langid.train(["1 2 3"], ["xx"]) is None
 
 
-def test_every_language_is_learned(spark, monkeypatch):
+def test_every_language_is_learned(spark):
     rng = random.Random(4)
     words = {f"l{k:02}": ["".join(rng.choices("abcdefghijklmnop", k=4)) for _ in range(12)] for k in range(40)}
     text = lambda x: " ".join(rng.choices(words[x], k=30))
@@ -443,9 +472,9 @@ def test_every_language_is_learned(spark, monkeypatch):
     assert model.languages == sorted(words)
     found = langid.predict(docs_of(spark, [text(x) for x in words]), model).collect()
     assert np.mean([r.lang_pred == f"l{r.doc_id:02}" for r in found]) > 0.95
-    monkeypatch.setattr(langid, "train", lambda texts, langs: collections.Counter(langs))
-    assert langid.fit(docs, 400) == {x: langid.LEAST_DOCS if x == "l00" else 12 for x in words}
-    assert langid.fit(docs, 80_000) == {x: 2000 if x == "l00" else 12 for x in words}
+    sampled = lambda most: collections.Counter(r.lang for r in langid.sample(docs, most).collect())
+    assert sampled(400) == {x: langid.LEAST_DOCS if x == "l00" else 12 for x in words}
+    assert sampled(80_000) == {x: 2000 if x == "l00" else 12 for x in words}
 
 
 def test_block_marginals_equal_the_whole_chain():
