@@ -9,14 +9,18 @@ that was open, or a round no longer reduces the number of groups.
 
 Defined results: a null text counts as empty and gives one piece with only the closing id;
 an empty table gives an empty result; repeated rows are packed each on its own; a document
-longer than a sequence is cut so that only its first piece may be short; columns other than
-the id and the text are ignored, whatever their names.
+longer than a sequence is cut so that only its first piece may be short, whatever its length and
+characters; columns other than the id and the text are ignored, whatever their names.
+
+``bound`` says of every row how few sequences any packing of all pieces could have, by the same
+functions over the lengths of the whole table.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -33,6 +37,7 @@ CAPACITY = 2048
 END_ID = 0
 GROUP_PIECES = 16384
 SPECIAL = "<|endoftext|>"
+LONG_SPACE = 50_000  # characters
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -42,7 +47,8 @@ def encoder(json_path: str, rank_path: str, pattern: str) -> Callable[[str], lis
     """Ids of the tokenizer file at ``json_path``.
 
     The rank file holds the same vocabulary, and its library gives the same ids in a third
-    of the time; a text that spells a special token goes through the tokenizer file itself.
+    of the time; a text that spells a special token goes through the tokenizer file itself, and
+    so does one with a run of spaces that is too long for the library's pattern matcher.
     """
     import tiktoken
 
@@ -51,7 +57,7 @@ def encoder(json_path: str, rank_path: str, pattern: str) -> Callable[[str], lis
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
-        if SPECIAL in text:
+        if SPECIAL in text or len(text) >= LONG_SPACE and re.search(rf"\s{{{LONG_SPACE}}}", text):
             return exact_encoder(json_path).encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
@@ -94,15 +100,19 @@ def tokenise(docs: DataFrame, tokenizer: dict[str, str], capacity: int) -> DataF
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """Bins that ``lengths`` need at least: the best of three families of dual feasible functions.
+    """Bins that ``lengths`` need at least."""
+    return bound_of(*np.unique(lengths, return_counts=True), capacity)
+
+
+def bound_of(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> int:
+    """Bins that ``counts`` items of each of ``sizes`` need at least: the best of three families of dual feasible functions.
 
     Each function maps sizes to values such that no bin's values exceed one; so the sum of
     the values, rounded up, is a bound.  All sums are exact integers over a common divisor.
     """
-    if not len(lengths):
+    if not len(sizes):
         return 0
-    sizes, counts = np.unique(lengths, return_counts=True)
-    best = -(-int(lengths.sum()) // capacity)
+    best = -(-int((sizes * counts).sum()) // capacity)
     # Sizes above capacity - e count as whole bins and those below e not at all.
     for e in range(1, capacity // 2 + 1):
         value = np.where(sizes > capacity - e, capacity, np.where(sizes < e, 0, sizes))
@@ -175,7 +185,8 @@ def pack(
     """
     work = Workspace(docs.sparkSession, "packing")
     items = work.table(tokenise(docs, tokenizer, capacity), "pieces")
-    out, count, round_no = [], items.count(), 0
+    sizes, counts = np.array(sorted(map(tuple, items.groupBy("length").count().collect())), np.int64).reshape(-1, 2).T
+    out, count, round_no = [], int(counts.sum()), 0
     groups = -(-count // group_pieces)
     while count:
         dealt = items.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(round_no)), F.lit(groups)))
@@ -194,4 +205,5 @@ def pack(
     if not out:
         out = [items.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})]
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    return functools.reduce(DataFrame.unionAll, [x.select(columns) for x in out])
+    packed = functools.reduce(DataFrame.unionAll, [x.select(columns) for x in out])
+    return packed.withColumn("bound", F.lit(bound_of(sizes, counts, capacity)).cast("long"))
