@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -85,7 +86,17 @@ def test_packing_is_a_gapless_cover(spark, corpus, files):
             at += r.length
         assert at <= 64
     bound = packing.lower_bound(np.array([r.length for r in rows]), 64)
-    assert bound <= len(by_seq) <= bound + 3
+    assert bound <= len(by_seq) <= bound + 3 and {r.bound for r in rows} == {bound}
+
+
+def test_packing_of_very_long_texts(spark, files):
+    texts = [" " * 5_000_000 + "x", "\n" * 700_000 + " a", "abcdefgh" * 125_000, "7" * 1_000_000, None, "same", "same"]
+    rows = packing.pack(docs_of(spark, texts), files).collect()
+    exact = packing.exact_encoder(files["json_path"])
+    total = collections.Counter()
+    for r in rows:
+        total[r.doc_id] += r.length
+    assert total == {i: len(exact.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
 
 
 def test_packing_of_nothing(spark, files):
@@ -415,6 +426,65 @@ def test_redaction(spark):
     assert secretscan.redacted(docs, None).columns == docs.columns
 
 
+def markov_by_force(text, table):
+    base = spans_by_force(text)
+    ratios = list(map(float, table.split(",")))
+    place = {c: k for k, c in enumerate(secretscan.ALPHABET)}
+    out = []
+    for m in re.finditer(secretscan.TOKEN, text or ""):
+        score = sum(ratios[place[a] * len(place) + place[b]] for a, b in zip(m[0], m[0][1:]))
+        if score > secretscan.MARGIN and not any(a < m.end() and m.start() < b for a, _, b in base):
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+def test_all_spans_by_force(spark):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_="
+    one = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    word = lambda: "_".join(rng.choice(["user", "name", "list", "count", "total"]) for _ in range(5))
+    bits = [lambda: one(rng.randint(10, 40)), word, lambda: f"token={one(8)}", lambda: "é " + "0a1b" * 7, lambda: "plain words here", lambda: "AKIA" + "Z9" * 9 + one(5), lambda: one(9) + "deadbeef" * 4 + one(9)]
+    texts = [*SECRETS, *[rng.choice([" ", "", "\n"]).join(rng.choice(bits)() for _ in range(rng.choice([3, 60, 300]))) for _ in range(30)]]
+    docs = docs_of(spark, texts)
+    samples = [(one(30), True) for _ in range(500)] + [(word(), False) for _ in range(500)]
+    table = secretscan.train(spark.createDataFrame(samples, "token string, is_random boolean"))
+    found = {r.doc_id: r.spans for r in secretscan.digest(secretscan.with_secrets(docs, table)).collect()}
+    added = 0
+    for i, text in enumerate(texts):
+        more = markov_by_force(text, table)
+        added += len(more)
+        assert found[i] == ",".join(f"{secretscan.KINDS[k]}:{a}:{b}" for a, k, b in sorted([*spans_by_force(text), *more]))
+    assert added > 20
+    masked = {r.doc_id: r.text for r in secretscan.redacted(docs, table).collect()}
+    for i, text in enumerate(texts):
+        out, at = "", 0
+        for a, _, b in sorted([*spans_by_force(text), *markov_by_force(text, table)]):
+            if b > at:
+                out, at = out + (text or "")[at : max(a, at)] + "[SECRET]", b
+        assert masked[i] == out + (text or "")[at:]
+
+
+def test_secrets_of_very_long_texts(spark):
+    """A token of a million letters and fifty thousand strings of digits in one text, each within seconds."""
+    rng = random.Random(2)
+    hexes = ["".join(rng.choices("0123456789abcdef", k=28)) for _ in range(50_000)]
+    texts = ["x" + "".join(rng.choices("ghijkXYZ0189", k=1_000_000)), " ".join(h + " some_ordinary_name_here" for h in hexes), " ", None]
+    docs = docs_of(spark, texts)
+    begun = time.time()
+    rows = {r.doc_id: r for r in secretscan.digest(secretscan.with_secrets(docs, ",".join(["0.5"] * len(secretscan.ALPHABET) ** 2))).collect()}
+    assert rows[1].n_hex == 50_000 and rows[1].spans.count("markov") == 50_000 and rows[0].spans == "markov:0:1000001"
+    masked = {r.doc_id: r.text for r in secretscan.redacted(docs, None).collect()}
+    assert masked[1] == " ".join("[SECRET] some_ordinary_name_here" for _ in hexes)
+    secretscan.train(secretscan.labelled_samples(docs))
+    assert time.time() - begun < 90
+
+
+def test_secrets_of_nothing(spark):
+    empty = docs_of(spark, ["x"]).limit(0)
+    assert secretscan.train(secretscan.labelled_samples(empty)) is None
+    assert secretscan.digest(secretscan.with_secrets(empty, None)).count() == 0 and secretscan.redacted(empty, None).count() == 0
+
+
 # 8. Languages
 
 
