@@ -11,14 +11,17 @@ a region.
 
 * In a small region all pairs are candidates.  They are counted over all regions, and the
   count, the sizes and what the windows leave open bound the overlap before any set moves.
-* A large region's members are candidates with its least member, its pivot.
-* Candidates that hang together form a cell, and a cell joins recursively: document pivots,
+* A large region's members are candidates with its least member.
+* Candidates that hang together form a region, and regions join recursively: document pivots,
   exact distances to them, Voronoi regions with documents copied to a neighbour if their
-  distance to it is within twice the radius of that to their own pivot, and so on, down to
-  regions that are compared outright.
-* Where more than ``CELL`` members hang together, small regions' candidates are compared
-  pair by pair and a pivot's members as all pairs of blocks, so that no task holds more
-  than two blocks.
+  distance to it is within twice the radius of that to their own pivot, and so on.
+* A region of more than ``REGION_BYTES`` is split by Spark: its members' distances to the pivots
+  are found in slices.  Pivots are the members that stand in most large regions, as the centre
+  of a group of near copies does.  What is linked to one pivot is one component already, and
+  a region whose members are one component is done; a pivot is done at once, having met all.
+  A smaller region is joined by one task, by the same recursion.
+* What is still larger after ``LEVELS`` levels, because no pivots separate it, is compared in slices:
+  members outside its largest component with all others.
 
 The order puts shingles of large regions last; that only steers the work, for any order
 gives the same links.  Equal sets are one class throughout.
@@ -32,20 +35,24 @@ empty table gives an empty result.  Sets hold 64-bit hashes, of which 48 bits ar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textscan
 from .components import components
-from .shared import Workspace
+from .shared import Workspace, small_enough
 
 SHINGLE = 4
 PERCENT = 85
 LEAF = 32
-CELL = 3000
+REGION_BYTES = 6 << 20  # of packed sets in one task
+PIVOTS = 8
+LEVELS = 6
+MOST_BROADCAST = 100_000  # rows of a few numbers
 MOST_FREQUENT = 200_000
 BYTES = 6  # of each shingle in a packed set
 
@@ -187,19 +194,19 @@ class Forest:
 class Region:
     """Exact links within a cell, as far as they connect what is not yet connected."""
 
-    DIRECT, PIVOTS, DEPTH = 64, 8, 6
+    DIRECT, DEPTH = 16, 6
 
     def __init__(self, sets: Sets, percent: int):
         self.sets, self.percent, self.radius = sets, percent, 1 - percent / 100
         self.forest, self.links = Forest(len(sets.n)), []
 
-    def compare(self, x: int, others: np.ndarray) -> np.ndarray:
-        """Distances of ``x`` to ``others``; links found on the way are kept."""
+    def compare(self, x: int, others: np.ndarray, level: int) -> np.ndarray:
+        """Distances of ``x`` to ``others``; links found on the way are kept, with ``level``: that of the pivots, 0 without."""
         common = self.sets.overlaps(x, others)
         union = self.sets.n[others] + self.sets.n[x] - common
         for y in others[100 * common >= self.percent * union]:
             if self.forest.join(x, int(y)):
-                self.links.append((x, int(y)))
+                self.links.append((x, int(y), level))
         return 1 - common / union
 
     def join(self, members: np.ndarray, depth: int = 0) -> None:
@@ -208,8 +215,8 @@ class Region:
             return
         if len(members) <= self.DIRECT or depth == self.DEPTH:
             return self.outright(members)
-        pivots = members[np.linspace(0, len(members) - 1, self.PIVOTS).astype(int)]
-        distance = np.stack([self.compare(int(p), members) for p in pivots])
+        pivots = members[np.linspace(0, len(members) - 1, min(PIVOTS, len(members))).astype(int)]
+        distance = np.stack([self.compare(int(p), members, depth + 1) for p in pivots])
         own = distance.min(axis=0)
         near = distance <= own + 2 * self.radius + 1e-9
         cells = [members[row] for row in near]
@@ -233,23 +240,99 @@ class Region:
             if distance is not None:
                 others &= (np.abs(distance - distance[:, k : k + 1]) <= self.radius + 1e-9).all(axis=0)
             if others.any():
-                self.compare(x, members[others])
+                self.compare(x, members[others], 0)
 
 
-def _join_cell(percent: int):
+LINKS = "u long, v long, level int"
+
+
+def _links(sigs: np.ndarray, links: list[tuple[int, int, int]]) -> pa.Table:
+    u, v, level = np.array(links, np.int64).reshape(-1, 3).T
+    return pa.table({"u": pa.array(sigs[u], pa.int64()), "v": pa.array(sigs[v], pa.int64()), "level": pa.array(level, pa.int32())})
+
+
+def _sets(table: pa.Table, order: np.ndarray) -> Sets:
+    return Sets(table.column("sig").to_numpy()[order], [table.column("blob")[int(k)].as_py() for k in order])
+
+
+def _join_region(percent: int):
+    """All links of one region that connect what its members' components do not."""
+
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        sigs = table.column("sig").to_numpy()
-        order = np.argsort(sigs, kind="stable")
-        region = Region(Sets(sigs[order], [table.column("blob")[int(k)].as_py() for k in order]), percent)
-        centre = np.flatnonzero(table.column("centre").to_numpy(zero_copy_only=False)[order])
-        members = np.arange(len(order))
-        if len(centre):
-            region.compare(int(centre[0]), np.delete(members, centre[0]))
-        else:
-            region.join(members)
-        u, v = np.array(region.links, np.int64).reshape(-1, 2).T
-        return pa.table({"u": pa.array(sigs[order][u], pa.int64()), "v": pa.array(sigs[order][v], pa.int64())})
+        order = np.argsort(table.column("sig").to_numpy(), kind="stable")
+        region = Region(_sets(table, order), percent)
+        first: dict[int, int] = {}
+        for k, comp in enumerate(np.array(table.column("comp").to_pylist(), object)[order]):
+            if comp is not None:
+                region.forest.join(first.setdefault(comp, k), k)
+        region.join(np.arange(len(order)))
+        return _links(region.sets.sigs, region.links)
+
+    return run
+
+
+SPLIT = "region long, sig long, n long, wide long, comp long, own boolean, nearest int, near int, linked int, links array<long>"
+
+
+def _distances(percent: int):
+    """For each member of a slice: its nearest pivot, the pivots within its window, and those it is linked with, as bits."""
+    radius = 1 - percent / 100
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        pivot = table.column("pivot").to_numpy()
+        members, pivots = np.flatnonzero(pivot < 0), np.flatnonzero(pivot >= 0)
+        pivots = pivots[np.argsort(pivot[pivots])]
+        sets = _sets(table, np.arange(len(pivot)))
+        bits = 1 << np.arange(len(pivots))[:, None]
+        common = np.stack([sets.overlaps(int(p), members) for p in pivots])
+        union = sets.n[pivots][:, None] + sets.n[members] - common
+        distance, linked = 1 - common / union, 100 * common >= percent * union
+        near = (distance <= distance.min(axis=0) + 2 * radius + 1e-9) & ~np.isin(sets.sigs[members], sets.sigs[pivots])
+        out = table.take(pa.array(members))
+        names = sets.sigs[pivots]
+        return pa.table(
+            {c: out.column(c) for c in ("region", "sig", "n", "wide", "comp", "own")}
+            | {
+                "nearest": pa.array(distance.argmin(axis=0), pa.int32()),
+                "near": pa.array((near * bits).sum(axis=0), pa.int32()),
+                "linked": pa.array((linked * bits).sum(axis=0), pa.int32()),
+                "links": pa.array([names[row].tolist() for row in linked.T], pa.list_(pa.int64())),
+            }
+        )
+
+    return run
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """Components that a region's pivots make of each other; no more rows than earlier components times sets of pivots."""
+    rows = table.select(["region", "comp", "linked", "links"]).to_pylist()
+    labels = [([] if r["comp"] is None else [r["comp"]]) + r["links"] for r in rows]
+    number = {x: k for k, x in enumerate(sorted({x for own in labels for x in own}))}
+    forest, names = Forest(len(number)), sorted(number)
+    for own in labels:
+        for x in own[1:]:
+            forest.join(number[own[0]], number[x])
+    merged = [names[forest.find(number[own[0]])] if own else None for own in labels]
+    return pa.table([table.column("region"), table.column("comp"), table.column("linked"), pa.array(merged, pa.int64())], names=["region", "comp", "linked", "merged"])
+
+
+def _outright(percent: int):
+    """Links of the queries of a block with the members of a slice that are of other components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        query = table.column("query").to_numpy(zero_copy_only=False)
+        region = Region(_sets(table, np.arange(len(query))), percent)
+        comp = np.array([-1 if c is None else c for c in table.column("comp").to_pylist()], np.int64)
+        known = np.array([c is not None for c in table.column("comp").to_pylist()], bool)
+        others = np.flatnonzero(~query)
+        for x in np.flatnonzero(query):
+            rest = others[(region.sets.sigs[others] != region.sets.sigs[x]) & ~(known[x] & known[others] & (comp[others] == comp[x]))]
+            if len(rest):
+                region.compare(int(x), rest, 0)
+        return _links(region.sets.sigs, region.links)
 
     return run
 
@@ -278,40 +361,82 @@ def around_pivots(regions: DataFrame, leaf: int) -> DataFrame:
     return regions.filter(F.col("size") > leaf).select("pivot", "sig").distinct()
 
 
-def memberships(pairs: DataFrame, cells: DataFrame, work: Workspace, cell: int) -> DataFrame:
-    """(cell, i, j, sig, centre): which sets must meet in one task.
+def _attach(rows: DataFrame, few: DataFrame, on) -> DataFrame:
+    """``rows`` with the columns of ``few``, of which each row meets one; by broadcast while they are few."""
+    return rows.join(F.broadcast(few) if small_enough(few, MOST_BROADCAST) else few, on)
+
+
+class Regions:
+    """Recursion over regions too large for a task; ``sets`` has (sig, blob)."""
 
-    Candidates that hang together in groups of up to ``cell`` members meet as one cell, to
-    which each set goes once.  In larger groups, pairs meet around their larger set, the
-    centre, and a pivot's members by pairs of blocks.
+    def __init__(self, sets: DataFrame, work: Workspace, percent: int, most: int):
+        self.sets, self.work, self.percent, self.most = sets, work, percent, most
+        self.links: list[DataFrame] = []
+
+    def sized(self, members: DataFrame, name: str) -> DataFrame:
+        """(region, bytes, open): open if it has members of its own and of more than one component."""
+        several = (F.count("comp") < F.count(F.lit(1))) | (F.min("comp") < F.max("comp"))
+        sizes = members.groupBy("region").agg((F.sum("n") * BYTES).alias("bytes"), (F.max("own") & several & (F.count(F.lit(1)) > 1)).alias("open"))
+        return self.work.table(sizes, name)
+
+    def join(self, members: DataFrame, level: int = 0) -> None:
+        """Links of the regions of ``members`` (region, sig, n, wide, comp, own)."""
+        sizes = self.sized(members, f"sizes{level}")
+        members = _attach(members, sizes.filter("open"), "region")
+        small = members.filter(F.col("bytes") <= self.most).join(self.sets, "sig").select("region", "sig", "comp", "blob")
+        small = small.groupBy("region").applyInArrow(_join_region(self.percent), LINKS)
+        self.links.append(self.work.table(small, f"joined{level}"))
+        if sizes.filter(F.col("open") & (F.col("bytes") > self.most)).isEmpty():
+            return
+        large = members.filter(F.col("bytes") > self.most)
+        if level == LEVELS:
+            self.links.append(self.work.table(self.compared(large), "compared"))
+            return
+        self.join(self.split(large, level + 1), level + 1)
+
+    def split(self, large: DataFrame, level: int) -> DataFrame:
+        """The members of the Voronoi regions around each region's pivots, and copies within their windows."""
+        first = Window.partitionBy("region").orderBy(F.col("comp").isNotNull(), F.desc("wide"), "sig")
+        pivots = large.withColumn("pivot", F.row_number().over(first) - 1).filter(F.col("pivot") < PIVOTS)
+        pivots = self.work.table(pivots.withColumn("slice", F.explode(F.sequence(F.lit(0), self.slices("bytes") - 1))), f"pivots{level}")
+        dealt = large.withColumns({"pivot": F.lit(-1), "slice": F.pmod(F.xxhash64("sig"), self.slices("bytes")).cast("int")})
+        rows = dealt.unionByName(pivots).join(self.sets, "sig")
+        found = rows.groupBy("region", "slice").applyInArrow(_distances(self.percent), SPLIT)
+        found = self.work.table(found, f"split{level}")
+        kinds = found.groupBy("region", "comp", "linked").agg(F.first("links").alias("links"), F.min("sig").alias("one"))
+        kinds = self.work.table(kinds, f"kinds{level}")
+        stars = found.filter("linked != 0").select(F.col("links")[0].alias("u"), F.col("sig").alias("v"))
+        bridges = kinds.select(F.explode("links").alias("u"), F.col("one").alias("v"))
+        self.links.append(stars.unionAll(bridges).withColumn("level", F.lit(100 + level)))
+        merged = kinds.groupBy("region").applyInArrow(_merged, "region long, comp long, linked int, merged long")
+        merged = self.work.table(merged.select(F.col("region").alias("of"), F.col("comp").alias("was"), F.col("linked").alias("by"), "merged"), f"merged{level}")
+        on = (F.col("region") == F.col("of")) & F.col("comp").eqNullSafe(F.col("was")) & (F.col("linked") == F.col("by"))
+        bits = F.expr(f"filter(sequence(0, {PIVOTS - 1}), i -> (shiftright(near, i) & 1) = 1)")
+        rows = _attach(found.filter("near != 0"), merged, on).withColumn("i", F.explode(bits))
+        rows = rows.select(F.xxhash64("region", "i").alias("region"), "sig", "n", "wide", F.col("merged").alias("comp"), (F.col("own") & (F.col("i") == F.col("nearest"))).alias("own"))
+        return self.work.table(rows, f"members{level}")
+
+    def slices(self, size: str) -> Column:
+        return F.ceil(F.col(size) / F.lit(float(self.most))).cast("int")
+
+    def compared(self, large: DataFrame) -> DataFrame:
+        """Members of a region's own that are outside its most frequent component, with all others, by blocks and slices."""
+        main = large.groupBy("region").agg(F.mode("comp").alias("main"))
+        large = self.work.table(_attach(large, self.work.table(main, "mains"), "region"), "large")
+        asks = large.filter("own AND (comp IS NULL OR comp != main)")
+        blocks = self.work.table(asks.groupBy("region").agg((F.sum("n") * BYTES).alias("asked")), "blocks")
+        rows = _attach(large, blocks, "region").withColumns({"block": F.pmod(F.xxhash64("sig"), self.slices("asked")).cast("int"), "slice": F.pmod(F.xxhash64("sig", F.lit(1)), self.slices("bytes")).cast("int")})
+        asks = rows.filter("own AND (comp IS NULL OR comp != main)").withColumns({"query": F.lit(True), "slice": F.explode(F.sequence(F.lit(0), self.slices("bytes") - 1))})
+        rest = rows.withColumns({"query": F.lit(False), "block": F.explode(F.sequence(F.lit(0), self.slices("asked") - 1))})
+        rows = asks.unionByName(rest).join(self.sets, "sig").select("region", "block", "slice", "sig", "comp", "query", "blob")
+        return rows.groupBy("region", "block", "slice").applyInArrow(_outright(self.percent), LINKS)
+
+
+def links(docs: DataFrame, found: DataFrame, least: DataFrame, work: Workspace, size: int, percent: int, leaf: int, most: int) -> DataFrame:
+    """(u, v, level) of linked sets, as many as connect what is linked; ``found`` has the documents' sets and windows, ``least`` each set once.
+
+    ``level`` is 0 for sets compared outright, 1 and more for those of a pivot within a task, above 100 for those of a pivot by Spark.
     """
-    edges = pairs.select(F.col("sig_a").alias("u"), F.col("sig_b").alias("v")).unionAll(cells.select(F.col("pivot").alias("u"), F.col("sig").alias("v")))
-    group = components(edges, work, "groups")
-    sized = work.table(group.groupBy("root").agg((F.count("*") + 1).alias("members")), "sizes")
-    of_node = group.unionAll(sized.select(F.col("root").alias("node"), "root")).join(sized, "root")
-    whole = of_node.filter(F.col("members") <= cell)
-    none = F.lit(-1)
-    meet = whole.select(F.col("root").alias("cell"), none.alias("i"), none.alias("j"), F.col("node").alias("sig"), F.lit(False).alias("centre"))
-    wide = work.table(of_node.filter(F.col("members") > cell).select("node"), "wide")
-    if wide.isEmpty():
-        return meet
-    pairs = pairs.join(wide, F.col("sig_a") == F.col("node"), "left_semi")
-    stars = pairs.select(F.col("sig_a").alias("cell"), F.col("sig_b").alias("sig"), F.lit(False).alias("centre"))
-    stars = stars.unionAll(pairs.select(F.col("sig_a").alias("cell"), F.col("sig_a").alias("sig"), F.lit(True).alias("centre")).distinct())
-    cells = cells.join(wide, F.col("sig") == F.col("node"), "left_semi")
-    blocks = cells.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(cell / 2)).cast("int").alias("k"))
-    dealt = cells.join(blocks, "pivot").withColumn("own", F.pmod(F.xxhash64("sig"), "k").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
-    split = dealt.select(F.col("pivot").alias("cell"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sig", F.lit(False).alias("centre"))
-    return meet.unionAll(stars.select("cell", F.lit(-2).alias("i"), F.lit(-2).alias("j"), "sig", "centre")).unionAll(split)
-
-
-def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, leaf: int = LEAF, cell: int = CELL) -> DataFrame:
-    """Every document with the size of its set and the least id that links reach."""
-    spark = docs.sparkSession
-    work = Workspace(spark, "jaccard")
-    frequent = frequent_shingles(docs, size, percent, leaf, MOST_FREQUENT)
-    found = work.table(sets_and_prefixes(docs, size, percent, frequent), "documents")
     classes = found.filter("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     rows = classes.select(F.explode("prefix").alias("s"), "sig", "n", F.size("prefix").alias("p"))
     # Counts combine before their shuffle, and a join can split a large region over tasks; a window could not.
@@ -319,17 +444,30 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, leaf: i
     regions = work.table(rows.join(sizes, "s"), "regions")
     pairs = work.table(candidates(regions, percent, leaf), "pairs")
     cells = work.table(around_pivots(regions, leaf), "cells")
+    wide = work.table(regions.filter(F.col("size") > leaf).groupBy("sig").agg(F.count("*").alias("wide")), "wide")
     work.drop("regions")
-    meet = work.table(memberships(pairs, cells, work, cell), "memberships")
-    least = work.table(found.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least")), "least")
-    wanted = meet.select("sig").distinct().join(least, "sig").select("sig", F.col("least").alias("doc_id"))
+    edges = pairs.select(F.col("sig_a").alias("u"), F.col("sig_b").alias("v")).unionAll(cells.select(F.col("pivot").alias("u"), F.col("sig").alias("v")))
+    group = components(edges, work, "groups")
+    group = group.unionAll(group.select(F.col("root").alias("node"), "root").distinct())
+    members = group.join(least, group.node == least.sig).select(F.col("root").alias("region"), "sig", "n", F.lit(None).cast("long").alias("comp"), F.lit(True).alias("own"))
+    members = work.table(members.join(wide, "sig", "left").fillna(0, ["wide"]), "members0")
+    wanted = members.join(least, "sig").select("sig", F.col("least").alias("doc_id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     texts = texts.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id"))).select("sig", "text")
     sets = work.table(packed_sets(texts, size).dropDuplicates(["sig"]) if repeats_ids(docs) else packed_sets(texts, size), "sets")
-    joined = meet.join(sets, "sig").select("cell", "i", "j", "sig", "centre", "blob")
-    edges = work.table(joined.groupBy("cell", "i", "j").applyInArrow(_join_cell(percent), "u long, v long"), "edges")
-    work.drop("sets", "memberships")
-    roots = components(edges, work)
+    recursion = Regions(sets.select("sig", "blob"), work, percent, most)
+    recursion.join(members)
+    return reduce(DataFrame.unionAll, recursion.links)
+
+
+def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, leaf: int = LEAF, most: int = REGION_BYTES) -> DataFrame:
+    """Every document with the size of its set and the least id that links reach."""
+    work = Workspace(docs.sparkSession, "jaccard")
+    frequent = frequent_shingles(docs, size, percent, leaf, MOST_FREQUENT)
+    found = work.table(sets_and_prefixes(docs, size, percent, frequent), "documents")
+    least = work.table(found.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")), "least")
+    edges = links(docs, found, least, work, size, percent, leaf, most)
+    roots = components(edges.select("u", "v"), work)
     named = least.join(roots, least.sig == roots.node, "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
     named = work.table(named, "roots")
     of_root = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("classes"))

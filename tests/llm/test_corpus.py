@@ -218,12 +218,32 @@ def linked_by_force(texts, size=4, percent=85):
     return {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize("leaf, cell", [(32, 3000), (2, 4), (1, 1000)])
-def test_jaccard(spark, corpus, leaf, cell):
-    rows = jaccard.linked(docs_of(spark, corpus), leaf=leaf, cell=cell).collect()
+@pytest.mark.parametrize("leaf, most, levels", [(32, jaccard.REGION_BYTES, 6), (2, 3000, 6), (1, 3000, 0), (1, 1000, 2)])
+def test_jaccard(spark, corpus, monkeypatch, leaf, most, levels):
+    monkeypatch.setattr(jaccard, "LEVELS", levels)
+    rows = jaccard.linked(docs_of(spark, corpus), leaf=leaf, most=most).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == linked_by_force(corpus)
 
 
+def test_jaccard_of_a_large_group_around_one_document(spark):
+    """Copies that are linked with the original alone, split by Spark; beside it a chain, linked step by step."""
+    rng = random.Random(12)
+    make = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    base, texts = make(60), []
+    for k in range(20_000):
+        copy = list(base)
+        copy[5 + k % 50] = f"edit{k}"
+        texts.append(copy)
+    texts.append(base)
+    chain = make(400)
+    for k in range(30):
+        texts.append(chain[10 * k : 10 * k + 110])
+    texts = [" ".join(t) for t in texts]
+    rows = {r.doc_id: r.component_id for r in jaccard.linked(docs_of(spark, texts), most=300_000).collect()}
+    assert {rows[k] for k in range(20_001)} == {0}
+    assert {k: rows[k] - 20_001 for k in range(20_001, 20_031)} == {k + 20_001: c for k, (_, c) in linked_by_force(texts[20_001:]).items()}
+
+
 def test_jaccard_region_recursion():
     rng = np.random.default_rng(3)
     blobs, plain = [], []
