@@ -7,13 +7,16 @@ A passage of ``window`` words holds, wherever it starts, at least one whole bloc
    index; every rolling window of block length probes it.  Both go to hash buckets as
    sorted arrays, several thousand words to a row, and a bucket names the blocks whose
    words also stand elsewhere.
-2. Extension: only windows around such anchor blocks can repeat.  Their hashes, of 96 bits,
-   meet in buckets again, and those found more than once are joined to maximal repeats.
-3. Removal: documents drop the words that the repeats cover.
+2. Extension: only windows around such anchor blocks can repeat.  Each slice of documents sends
+   the hashes of its own, of 96 bits, once to a bucket, with a mark if they repeat within it; a
+   bucket answers each slice with those of its hashes that repeat.
+3. Removal: a slice finds the answered hashes among its windows, joins them to maximal
+   repeats, and drops the words that these cover.
 
-A bucket gets distinct values from each slice of text in step 1, and at most ``window``
-words' worth of positions for each anchor in step 2; buckets grow in number with the input.
-A document is one key throughout, so that a source or a group of copies is spread evenly.
+A bucket gets distinct values of each slice, so that a passage common to many documents weighs
+no more there than any other of the slice; positions never travel.  Buckets and slices grow in
+number with the input.  A slice is a class of hashes of id and text, so that a source or a
+group of copies is spread evenly; rows equal in both share one.
 
 Defined results: a null or wordless text has no words and keeps none, as the hash of the
 empty string says; texts shorter than the window keep all; repeated rows repeat each
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from . import textscan
@@ -45,6 +48,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(doc_id, text).alias("key"))
 
 
+def sliced(rows: DataFrame, slices: int) -> GroupedData:
+    """``rows``, which have a ``key``, by slices; some of these to a partition."""
+    rows = rows.withColumn("slice", F.pmod("key", F.lit(slices)).cast("int"))
+    return rows.repartition(max(partitions(rows.sparkSession), slices // 4), "slice").groupBy("slice")
+
+
 def _split(bucket: np.ndarray, buckets: int, *values: np.ndarray) -> Iterator[tuple]:
     """(bucket, values that belong there) for each bucket that has any; ``bucket`` is sorted."""
     bounds = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -103,133 +112,141 @@ def _anchors(table: pa.Table) -> pa.Table:
     return pa.table({"key": _numbers(table.column("block_key"), np.int64)[hit], "block_no": _numbers(table.column("block_no"), np.int32)[hit]})
 
 
-WINDOWS = "bucket int, hash binary, check binary, doc binary, at binary, keys binary"
+REQUESTS = "bucket int, slice int, hash binary, check binary, many binary"
+REPLIES = "slice int, hash binary, check binary"
 CHECKS = textscan.Powers(U(0xE7037ED1A0B428DB))  # of the second hash: 32 bits more
 
 
-def anchored_windows(texts: DataFrame, window: int, block: int, buckets: int) -> DataFrame:
-    """Windows that hold an anchor block, by slice of text and bucket."""
-    alphabet = textscan.unspaced(lower=False)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, anchors = batch.column(0).to_numpy(), batch.column(2)
-            for part in textscan.slices(batch.column(1), alphabet, SLICE_BYTES):
-                begins = part.bounds()
-                near = np.zeros(len(part.hash) + 1, np.int64)
-                for k in range(part.n):
-                    q = np.unique(anchors[part.first + k].values.to_numpy()) * block + begins[k]
-                    np.add.at(near, np.maximum(q - (window - block), begins[k]), 1)
-                    np.add.at(near, np.minimum(q + 1, begins[k + 1]), -1)
-                at, grams = part.grams(window)
-                chosen = np.cumsum(near)[at] > 0
-                checks = (part.grams(window, CHECKS)[1][chosen] >> U(32)).astype(np.uint32)
-                at, grams = at[chosen], grams[chosen]
-                bucket = (grams >> U(32)) % U(buckets)
-                order = np.argsort(bucket, kind="stable")
-                row = part.row[at]
-                rows = []
-                for b, h, c, r, p in _split(bucket[order], buckets, grams[order], checks[order], row[order], (at - begins[row])[order]):
-                    docs, index = np.unique(r, return_inverse=True)
-                    rows.append((b, h, c, index.astype(np.uint16 if len(docs) < 65536 else np.uint32), p.astype(np.int32), keys[part.first + docs]))
-                b, *rest = zip(*rows) if rows else ((), (), (), (), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), *map(_binary, rest)], names=["bucket", "hash", "check", "doc", "at", "keys"])
-
-    return texts.select("key", "text", "anchors").mapInArrow(run, WINDOWS)
-
-
-PLACES = "dest int, keys binary, counts binary, ats binary"
+def _hashes(part: textscan.Slice, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where windows begin, and the two hashes of each."""
+    at, grams = part.grams(window)
+    return at, grams, (part.grams(window, CHECKS)[1] >> U(32)).astype(np.uint32)
 
 
-def _repeated(buckets: int):
-    """Places of a bucket's windows that occur more than once, one row for each part of the keys."""
+def _requests(window: int, block: int, buckets: int):
+    """For each bucket, the distinct windows of a slice that hold an anchor block."""
+    alphabet = textscan.unspaced(lower=False)
 
-    def run(table: pa.Table) -> pa.Table:
-        hashes, checks = _numbers(table.column("hash"), U), _numbers(table.column("check"), np.uint32)
-        keys = []
-        for doc, own, at in zip(*(table.column(c).to_pylist() for c in ("doc", "keys", "at"))):
-            keys.append(np.frombuffer(own, np.int64)[np.frombuffer(doc, np.uint16 if len(doc) * 2 == len(at) else np.uint32)])
-        key, at = np.concatenate([*keys, np.zeros(0, np.int64)]), _numbers(table.column("at"), np.int32)
-        order = np.lexsort((checks, hashes))
-        hashes, checks = hashes[order], checks[order]
-        same = (hashes[1:] == hashes[:-1]) & (checks[1:] == checks[:-1])
-        hit = np.zeros(len(hashes), bool)
-        hit[order[1:][same]] = hit[order[:-1][same]] = True
-        key, at = key[hit], at[hit]
-        order = np.lexsort((key, key % buckets))
-        key, at = key[order], at[order]
+    def run(texts: pa.Table, anchors: pa.Table) -> pa.Table:
         rows = []
-        for dest, k, a in _split(key % buckets, buckets, key, at):
-            names, counts = np.unique(k, return_counts=True)
-            rows.append((dest, names, counts.astype(np.int32), a))
-        dest, *rest = zip(*rows) if rows else ((), (), (), ())
-        return pa.table([pa.array(dest, pa.int32()), *map(_binary, rest)], names=["dest", "keys", "counts", "ats"])
+        order = np.argsort(anchors.column("key").to_numpy(), kind="stable")
+        anchor_keys, blocks = anchors.column("key").to_numpy()[order], anchors.column("block_no").to_numpy()[order].astype(np.int64)
+        keys = texts.column("key").to_numpy()
+        low, high = np.searchsorted(anchor_keys, keys, "left"), np.searchsorted(anchor_keys, keys, "right")
+        column = texts.column("text").combine_chunks() if len(keys) and len(anchor_keys) else pa.array([], pa.string())
+        for part in textscan.slices(column, alphabet, SLICE_BYTES):
+            begins = part.bounds()
+            near = np.zeros(len(part.hash) + 1, np.int64)
+            for k in range(part.n):
+                q = np.unique(blocks[low[part.first + k] : high[part.first + k]]) * block + begins[k]
+                np.add.at(near, np.maximum(q - (window - block), begins[k]), 1)
+                np.add.at(near, np.minimum(q + 1, begins[k + 1]), -1)
+            at, hashes, checks = _hashes(part, window)
+            chosen = np.cumsum(near)[at] > 0
+            hashes, checks = hashes[chosen], checks[chosen]
+            bucket = (hashes >> U(32)) % U(buckets)
+            order = np.lexsort((checks, hashes, bucket))
+            bucket, hashes, checks = bucket[order], hashes[order], checks[order]
+            first = np.ones(len(hashes), bool)
+            first[1:] = (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])
+            begin = np.flatnonzero(first)
+            many = np.diff(np.append(begin, len(hashes))) > 1
+            rows += list(_split(bucket[begin], buckets, hashes[begin], checks[begin], many))
+        b, *rest = zip(*rows) if rows else ((), (), (), ())
+        own = texts.column("slice")[0].as_py() if rows else 0
+        return pa.table([pa.array(b, pa.int32()), pa.array([own] * len(rows), pa.int32()), *map(_binary, rest)], names=["bucket", "slice", "hash", "check", "many"])
 
     return run
 
 
-def _spans(window: int):
-    """Overlapping and adjoining repeats of a document as maximal spans of words."""
+def _replies(table: pa.Table) -> pa.Table:
+    """For each request of a bucket those of its windows that occur more than once anywhere."""
+    hashes, checks, repeated = (_numbers(table.column(c), kind) for c, kind in (("hash", U), ("check", np.uint32), ("many", bool)))
+    request = np.repeat(np.arange(len(table)), [len(x) // 4 for x in table.column("check").to_pylist()])
+    order = np.lexsort((checks, hashes))
+    same = (hashes[order[1:]] == hashes[order[:-1]]) & (checks[order[1:]] == checks[order[:-1]])
+    repeated = repeated.copy()
+    repeated[order[1:][same]] = repeated[order[:-1][same]] = True
+    # Of equal ones, one that is marked within its slice marks all.
+    begin = np.flatnonzero(np.append(True, ~same)) if len(order) else np.zeros(0, np.int64)
+    repeated[order] = np.repeat(np.logical_or.reduceat(repeated[order], begin), np.diff(np.append(begin, len(order)))) if len(order) else repeated
+    rows = list(_split(request[repeated], len(table), hashes[repeated], checks[repeated]))
+    k, *rest = zip(*rows) if rows else ((), (), ())
+    return pa.table([table.column("slice").take(pa.array(k, pa.int64())), *map(_binary, rest)], names=["slice", "hash", "check"])
 
-    def run(table: pa.Table) -> pa.Table:
-        key = np.repeat(_numbers(table.column("keys"), np.int64), _numbers(table.column("counts"), np.int32))
-        at = _numbers(table.column("ats"), np.int32)
-        order = np.lexsort((at, key))
-        key, at = key[order], at[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (np.diff(at) > window)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(at)) - 1
-        names, begin = np.unique(key[first], return_index=True)
-        spans = np.stack([at[first], at[last] + window], axis=1).ravel()
-        bounds = 2 * np.append(begin, len(first))
-        return pa.table({"key": names, "spans": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(spans, pa.int32()))})
 
-    return run
+RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<int>"
 
 
-RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<int>"
+def _known(hashes: np.ndarray, checks: np.ndarray, own: np.ndarray, own_checks: np.ndarray) -> np.ndarray:
+    """Which windows are among the sorted ones given by ``hashes`` and ``checks``."""
+    hit = np.zeros(len(own), bool)
+    if len(hashes):
+        at = np.searchsorted(hashes, own)
+        for step in range(int(np.unique(hashes, return_counts=True)[1].max())):  # once, but for two that share their first hash
+            spot = np.minimum(at + step, len(hashes) - 1)
+            hit |= (hashes[spot] == own) & (checks[spot] == own_checks)
+    return hit
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for text, spans in zip(batch.column(1), batch.column(2)):
-            words = text.as_py().encode().split()
-            kept, end = [], 0
-            spans = spans.as_py() or []
-            for a, b in zip(spans[::2], spans[1::2]):
-                kept += words[end:a]
-                end = b
-            kept += words[end:]
-            rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), spans))
+def _removed(window: int):
+    """Each document of a slice without its repeats."""
+    alphabet = textscan.unspaced(lower=False)
+
+    def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        hashes, checks = _numbers(replies.column("hash"), U), _numbers(replies.column("check"), np.uint32)
+        order = np.lexsort((checks, hashes))
+        hashes, checks, rows = hashes[order], checks[order], []
+        column = texts.column("text").combine_chunks() if len(texts) else pa.array([], pa.string())
+        for part in textscan.slices(column, alphabet, SLICE_BYTES):
+            begins, cover = part.bounds(), np.zeros(len(part.hash) + 1, np.int64)
+            if len(hashes):
+                at, own, own_checks = _hashes(part, window)
+                at = at[_known(hashes, checks, own, own_checks)]
+                cover[at] += 1
+                np.add.at(cover, at + window, -1)
+            covered = np.cumsum(cover)[:-1] > 0
+            total = np.append(0, np.cumsum(covered))[begins]
+            for k in range(part.n):
+                words, spans = column[part.first + k].as_py().encode().split(), []
+                if total[k] < total[k + 1]:
+                    own = np.concatenate([[False], covered[begins[k] : begins[k + 1]], [False]])
+                    spans = np.flatnonzero(own[1:] != own[:-1]).tolist()
+                    kept, end = [], 0
+                    for a, b in zip(spans[::2], spans[1::2]):
+                        kept += words[end:a]
+                        end = b
+                    words = kept + words[end:]
+                n = int(begins[k + 1] - begins[k])
+                rows.append((n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest(), spans))
         n, removed, digest, spans = zip(*rows) if rows else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(spans, pa.list_(pa.int32()))],
+        return pa.table(
+            [texts.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(spans, pa.list_(pa.int32()))],
             names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans"],
         )
 
+    return run
+
 
-def repeats(docs: DataFrame, window: int = WINDOW, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Keyed documents, and (key, spans) of those with repeated words: starts and ends in turn."""
+def repeated(docs: DataFrame, window: int, buckets: int | None, slices: int | None) -> tuple[DataFrame, DataFrame, int]:
+    """Keyed documents, (slice, hash, check) of the windows that repeat, and the number of slices."""
     spark = docs.sparkSession
     work = Workspace(spark, "substring")
     block = window // 2 + 1 if window % 2 else window // 2
     texts = keyed(docs)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = buckets or max(partitions(spark), -(-size // BUCKET_BYTES))
+    slices = slices or max(partitions(spark), -(-size // SLICE_BYTES))
     found = probes_and_blocks(texts, block, buckets).repartition(buckets, "bucket").groupBy("bucket")
     anchors = work.table(found.applyInArrow(_anchors, "key long, block_no int"), "anchors")
-    by_key = anchors.groupBy("key").agg(F.collect_list("block_no").alias("anchors"))
-    windows = anchored_windows(texts.join(by_key, "key"), window, block, buckets).repartition(buckets, "bucket")
-    places = windows.groupBy("bucket").applyInArrow(_repeated(buckets), PLACES)
-    places = places.repartition(buckets, "dest").groupBy("dest")
-    spans = work.table(places.applyInArrow(_spans(window), "key long, spans array<int>"), "spans")
+    asked = sliced(texts.select("key", "text"), slices).cogroup(sliced(anchors, slices)).applyInArrow(_requests(window, block, buckets), REQUESTS)
+    replies = work.table(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_replies, REPLIES), "replies")
     work.drop("anchors")
-    return texts, spans
+    return texts, replies, slices
 
 
-def deduplicated(docs: DataFrame, window: int = WINDOW, buckets: int | None = None) -> DataFrame:
+def deduplicated(docs: DataFrame, window: int = WINDOW, buckets: int | None = None, slices: int | None = None) -> DataFrame:
     """Every document's word count, removed words, hash of the words kept, and spans removed."""
-    texts, spans = repeats(docs, window, buckets)
-    return texts.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(_remove, RESULT)
+    texts, replies, slices = repeated(docs, window, buckets, slices)
+    replies = replies.repartition(max(partitions(docs.sparkSession), slices // 4), "slice").groupBy("slice")
+    return sliced(texts, slices).cogroup(replies).applyInArrow(_removed(window), RESULT)

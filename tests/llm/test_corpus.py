@@ -304,6 +304,23 @@ def test_substrings(spark, corpus, window, buckets):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rows} == removed_by_force(corpus, window)
 
 
+def test_a_common_passage_makes_no_large_bucket(spark):
+    """In a third of all documents: a bucket gets its windows once a slice, and no request is much larger than the others."""
+    rng = random.Random(7)
+    make = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    passage, twice = make(40), make(50)
+    texts = [" ".join(make(60) + (passage if k % 3 == 0 else twice if k in (1, 2) else []) + make(60)) for k in range(1500)]
+    docs = docs_of(spark, texts)
+    rows = substring.deduplicated(docs, slices=6).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rows} == removed_by_force(texts, 35)
+    assert {tuple(r.spans) for r in rows} == {(60, 100), (60, 110), ()}
+    _, replies, slices = substring.repeated(docs, 35, 5, 6)
+    windows = collections.Counter()
+    for r in replies.collect():
+        windows[r.slice] += len(r.hash) // 8
+    assert slices == 6 and all(n <= 6 + 16 for n in windows.values())  # those of either passage, however many documents have it
+
+
 def test_substrings_rows_twice_and_nothing(spark):
     text = " ".join(f"v{k}" for k in range(40))
     out = substring.deduplicated(spark.createDataFrame([(1, text), (1, text), (None, None)], "doc_id long, text string")).collect()
