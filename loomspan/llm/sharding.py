@@ -13,6 +13,7 @@ empty result with a valid map; further columns stay out of the result.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,35 +84,51 @@ def grow(held: np.ndarray, sizes: np.ndarray, shards: int) -> np.ndarray:
 
 
 class SlotMap:
-    """The versions of a slot-to-shard map, kept as a small table with a row a slot and version."""
+    """A slot-to-shard map below a path, of which every version is a small table of a row a slot.
 
-    SCHEMA = "version int, shards int, slot int, shard int, bytes long, n_rows long"
-
-    def __init__(self, slots: int, shards: int):
-        self.slots = slots
-        self.versions: list[tuple[int, np.ndarray]] = [(shards, initial_map(slots, shards))]
-
-    @property
-    def current(self) -> tuple[int, np.ndarray]:
-        return self.versions[-1]
-
-    def rebalance(self, sizes: np.ndarray) -> None:
-        shards, held = self.current
-        self.versions.append((shards, rebalance(held, sizes, shards)))
-
-    def grow(self, sizes: np.ndarray) -> None:
-        shards, held = self.current
-        self.versions.append((shards + 1, grow(held, sizes, shards)))
+    Versions are appended and never overwritten; one at a time edits a map.
+    """
 
-    def table(self, spark: SparkSession, sizes: np.ndarray, rows: np.ndarray) -> DataFrame:
-        return spark.createDataFrame(
-            [
-                (v, shards, s, int(held[s]), int(sizes[s]), int(rows[s]))
-                for v, (shards, held) in enumerate(self.versions, 1)
-                for s in range(self.slots)
-            ],
-            self.SCHEMA,
-        )
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def versions(self) -> list[int]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+        whole = [n for n in found if n.startswith("version=") and files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
+        return sorted(int(n.removeprefix("version=")) for n in whole)
+
+    def table(self, version: int | None = None) -> DataFrame:
+        """(slot, shard, shards, bytes, n_rows, version) of one version, by default the latest."""
+        version = version or self.versions()[-1]
+        return self.spark.read.parquet(f"{self.path}/version={version}").withColumn("version", F.lit(version))
+
+    def load(self) -> tuple[int, np.ndarray]:
+        """Number of shards, and each slot's shard, of the latest version."""
+        rows = self.table().select("slot", "shard", "shards").toArrow().sort_by("slot")
+        return rows.column("shards")[0].as_py(), rows.column("shard").to_numpy()
+
+    def append(self, shards: int, held: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> int:
+        version = (self.versions() or [0])[-1] + 1
+        slots = np.arange(len(held), dtype=np.int32)
+        columns = {"slot": slots, "shard": held.astype(np.int32), "shards": np.full_like(slots, shards), "bytes": sizes, "n_rows": rows}
+        self.spark.createDataFrame(pa.table(columns)).coalesce(1).write.parquet(f"{self.path}/version={version}")
+        return version
+
+    def edit(self, shards: int, sizes: np.ndarray, rows: np.ndarray) -> int:
+        """The version for these sizes: the latest as it is, or grown to ``shards`` and rebalanced as the next one."""
+        if not self.versions():
+            self.append(shards, initial_map(len(sizes), shards), sizes, rows)
+        before, held = self.load()
+        if before > shards or len(held) != len(sizes):
+            raise ValueError(f"the map has {before} shards and {len(held)} slots, not {shards} and {len(sizes)}")
+        edited = held
+        for k in range(before, shards):
+            edited = grow(edited, sizes, k)
+        edited = rebalance(edited, sizes, shards)
+        changed = before != shards or (edited != held).any()
+        return self.append(shards, edited, sizes, rows) if changed else self.versions()[-1]
 
 
 def keyed(docs: DataFrame, slots: int) -> DataFrame:
@@ -124,9 +141,12 @@ def keyed(docs: DataFrame, slots: int) -> DataFrame:
     ).withColumn("vslot", F.pmod(F.xxhash64(F.coalesce("doc_id", F.col("text_crc32"))), F.lit(slots)).cast("int"))
 
 
-def shard(docs: DataFrame, shards: int, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
+def shard(docs: DataFrame, shards: int, slots: int = SLOTS, path: str | None = None) -> tuple[DataFrame, SlotMap]:
     """Records with their virtual slot, shard and place in the shard, and the versioned map.
 
+    The map is the one below ``path``, whose latest version is loaded and edited for these
+    records; without a path it is a new one of this run.
+
     The sums a slot and the map have ``slots`` rows at any input size; the map is joined by
     broadcast, and a place is the slot's first place plus the rank within the slot, so that
     numbering needs no task larger than a slot.
@@ -138,13 +158,12 @@ def shard(docs: DataFrame, shards: int, slots: int = SLOTS) -> tuple[DataFrame,
     sizes, rows = np.zeros(slots, np.int64), np.zeros(slots, np.int64)
     for slot, size, n in sums:
         sizes[slot], rows[slot] = size, n
-    slot_map = SlotMap(slots, shards)
-    slot_map.rebalance(sizes)
-    version = len(slot_map.versions)
-    stored = work.table(slot_map.table(spark, sizes, rows).coalesce(1), "map")
+    slot_map = SlotMap(spark, path or f"{work.root}/map")
+    stored = slot_map.table(slot_map.edit(shards, sizes, rows))
     first = Window.partitionBy("shard").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    places = stored.filter(F.col("version") == version).select(
-        F.col("slot").alias("vslot"), "shard", F.coalesce(F.sum("n_rows").over(first), F.lit(0)).alias("first")
+    counted = records.groupBy(F.col("vslot").alias("slot")).agg(F.count("*").alias("rows_now"))
+    places = stored.join(F.broadcast(counted), "slot", "left").select(
+        F.col("slot").alias("vslot"), "shard", F.coalesce(F.sum("rows_now").over(first), F.lit(0)).alias("first")
     )
     rank = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size"))
     placed = (
@@ -152,4 +171,4 @@ def shard(docs: DataFrame, shards: int, slots: int = SLOTS) -> tuple[DataFrame,
         .join(F.broadcast(places), "vslot")
         .select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("first") + F.col("rank") - 1).alias("slot"))
     )
-    return placed, stored
+    return placed, slot_map
