@@ -1,7 +1,9 @@
 """URL rules, and host reputation where no rule fits.
 
 All of it is built-in expressions.  Labelled outcomes of pages are summed by host, by
-registered domain (the last two labels) and by suffix (the last).  Each level's rate is
+registered domain and by suffix.  A suffix is the last label, or the last two where these are
+under ``TWO_LEVEL``; a domain has one label more; a port is no part of either, and an address is a
+domain of its own.  Each level's rate is
 shrunk towards the level above it by a beta-binomial prior, whose strength comes from how
 far the level's groups differ beyond binomial noise: suffixes towards all pages, domains
 towards their suffix, hosts towards their domain.  A host is blocked when its posterior
@@ -29,6 +31,32 @@ RULES = [
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
+#: Second labels that registries hand names out below, by their top-level domain.
+TWO_LEVEL = """
+uk: ac co gov ltd me net nhs org plc sch
+au: com edu gov id net org
+nz: ac co geek gen govt iwi net org school
+jp: ac ad co ed go gr lg ne or
+kr: ac co go ne or pe re
+in: ac co edu firm gen gov ind net org res
+cn: ac com edu gov net org
+tw: com edu gov idv net org
+hk: com edu gov idv net org
+br: art blog com edu gov net org
+ar: com edu gob gov net org
+mx: com edu gob net org
+tr: com edu gen gov net org web
+za: ac co gov net org web
+il: ac co gov muni net org
+id: ac co go net or sch web
+th: ac co go in net or
+my: com edu gov net org
+sg: com edu gov net org per
+ua: com edu gov in net org
+pl: com edu gov net org
+es: com edu gob nom org
+pt: com edu gov org
+"""
 LIMIT, Z = 0.5, 1.645
 MOST_HOSTS = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,12 +81,20 @@ def rule_of(rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     return name, verdict
 
 
-def domain(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+ADDRESS = r"^(\d{1,3}(\.\d{1,3}){3}|\[.*\])$"
+
+
+def two_level() -> list[str]:
+    rows = [line.split(": ") for line in TWO_LEVEL.strip().splitlines()]
+    return [f"{second}.{top}" for top, seconds in rows for second in seconds.split()]
 
 
-def suffix(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def domain_and_suffix(host: Column) -> tuple[Column, Column]:
+    """Registered domain and suffix of a host; addresses share a suffix that no name has."""
+    name = F.regexp_replace(host, r":\d*$", "")
+    last = lambda n: F.substring_index(name, ".", -n)
+    address, two = name.rlike(ADDRESS), last(2).isin(two_level())
+    return F.when(address, name).when(two, last(3)).otherwise(last(2)), F.when(address, "[]").when(two, last(2)).otherwise(last(1))
 
 
 def _strength(groups: DataFrame, rate: str) -> float:
@@ -85,7 +121,8 @@ def reputation(outcomes: DataFrame, work: Workspace, limit: float = LIMIT, z: fl
     counts twice.
     """
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"))
-    hosts = work.table(hosts.withColumn("domain", domain(F.col("host"))).withColumn("suffix", suffix(F.col("host"))), "outcomes")
+    domain, suffix = domain_and_suffix(F.col("host"))
+    hosts = work.table(hosts.withColumns({"domain": domain, "suffix": suffix}), "outcomes")
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
     overall = (total.bad + 1) / (total.n + 2)
