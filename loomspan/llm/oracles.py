@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hostrules, urlrep
+from . import decontam, hostrules, urlrep
 
 WORD = r"[^\x20\x09-\x0D]+"
 LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -15,11 +15,16 @@ lengths AS (SELECT DISTINCT len(g) AS n FROM windows),
 places AS (SELECT doc_id, k, n, ws[k : k + n - 1] AS g FROM w, lengths, unnest(range(1, len(ws) - n + 2)) AS r(k)),
 hits AS (SELECT DISTINCT doc_id, k, n, item FROM places JOIN windows USING (g)),
 words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(k, k + n)) AS r(p) GROUP BY 1),
-items AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS names FROM hits GROUP BY 1)
+items AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS names FROM hits GROUP BY 1),
+places1 AS (SELECT doc_id, k AS p, ws[k] AS word FROM w, unnest(range(1, len(ws) + 1)) AS r(k)),
+often AS (SELECT word, count(*) AS c FROM places1 GROUP BY 1),
+ranked AS (SELECT item, g, g[o] AS word, row_number() OVER (PARTITION BY item, g ORDER BY coalesce(c, 0), o) AS r FROM windows, unnest(range(1, len(g) + 1)) AS r(o) LEFT JOIN often ON word = g[o]),
+near AS (SELECT DISTINCT doc_id, item FROM (SELECT * FROM ranked WHERE r = 1) JOIN places1 USING (word) JOIN w USING (doc_id) WHERE list_has_all(ws[greatest(1, p - {reach}) : p + {reach}], g)),
+others AS (SELECT doc_id, count(*) AS n_near_items FROM (SELECT doc_id, item FROM near EXCEPT SELECT doc_id, item FROM hits) GROUP BY 1)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM w LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
-""".format(letters=LETTERS)
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0) AS n_near_items
+FROM w LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN others USING (doc_id)
+""".format(letters=LETTERS, reach=decontam.REACH)
 
 JACCARD = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {LETTERS}), '{WORD}') AS ws FROM documents),
@@ -75,6 +80,7 @@ def _rules() -> tuple[str, str]:
 
 
 NAME, VERDICT = _rules()
+TWO_LEVEL = ", ".join(f"'{x}'" for x in urlrep.two_level())
 STRENGTH = "greatest(2.0, least(1e4, avg({m} * (1 - {m})) / greatest(avg((bad / n - {m}) * (bad / n - {m}) - {m} * (1 - {m}) / n), 1e-6) - 1))"
 
 URL_REPUTATION = rf"""
@@ -82,7 +88,10 @@ WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, ins
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), {LETTERS}) AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM cut),
 known AS (SELECT doc_id, max(coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1) AS bad FROM labels GROUP BY 1),
 o AS (SELECT host, bad FROM p LEFT JOIN known ON doc_id = TRY_CAST(regexp_extract(path, '/(\d{{1,18}})(?:\D|$)', 1) AS BIGINT)),
-h AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix, count(bad) AS n, count(*) FILTER (bad) AS bad FROM o GROUP BY 1),
+names AS (SELECT host, bad, regexp_replace(host, ':\d*$', '') AS name, string_split(regexp_replace(host, ':\d*$', ''), '.') AS ls FROM o),
+kinds AS (SELECT host, bad, name, ls, regexp_matches(name, '{urlrep.ADDRESS}') AS address, array_to_string(ls[-2:], '.') IN ({TWO_LEVEL}) AS two FROM names),
+h AS (SELECT host, CASE WHEN address THEN name WHEN two THEN array_to_string(ls[-3:], '.') ELSE array_to_string(ls[-2:], '.') END AS domain,
+      CASE WHEN address THEN '[]' WHEN two THEN array_to_string(ls[-2:], '.') ELSE ls[-1] END AS suffix, count(bad) AS n, count(*) FILTER (bad) AS bad FROM kinds GROUP BY ALL),
 t AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS m FROM h),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY 1),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY 1, 2),

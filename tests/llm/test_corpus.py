@@ -128,7 +128,37 @@ def test_shards_are_even_and_numbered(spark):
         places[r.shard].append(r.slot)
     assert len(load) == 7 and max(load.values()) - min(load.values()) < 0.02 * max(load.values())
     assert all(sorted(p) == list(range(len(p))) for p in places.values())
-    assert stored.groupBy("version").count().count() == 2
+    assert stored.versions() == [1, 2]
+
+
+def test_a_stored_map_is_loaded_and_edited(spark, tmp_path):
+    make = lambda n, of: spark.range(n).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.pmod(F.xxhash64("id", F.lit(of)), F.lit(200)).cast("int")).alias("text"))
+    first = make(4000, 1)
+    path = str(tmp_path / "map")
+    placed, slot_map = sharding.shard(first, 5, 512, path)
+    before = {r.doc_id: r.shard for r in placed.collect()}
+    again, _ = sharding.shard(first, 5, 512, path)
+    assert {r.doc_id: r.shard for r in again.collect()} == before and slot_map.versions() == [1, 2]  # nothing to edit
+    more, _ = sharding.shard(first.unionAll(make(4200, 2).filter("doc_id >= 4000")), 5, 512, path)
+    rows = more.collect()
+    assert slot_map.versions() == [1, 2, 3]
+    assert np.mean([r.shard != before[r.doc_id] for r in rows if r.doc_id in before]) < 0.1
+    grown, _ = sharding.shard(first, 6, 512, path)
+    moved = [(before[r.doc_id], r.shard) for r in grown.collect() if r.shard != before[r.doc_id]]
+    assert slot_map.versions() == [1, 2, 3, 4] and np.mean([to == 5 for _, to in moved]) > 0.6
+    held = {v: dict(slot_map.table(v).select("slot", "shard").collect()) for v in slot_map.versions()}
+    assert all(len(h) == 512 for h in held.values()) and sum(held[2][k] != held[3][k] for k in range(512)) < 60
+    places = collections.defaultdict(list)
+    for r in rows:
+        places[r.shard].append(r.slot)
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    with pytest.raises(ValueError):
+        sharding.shard(first, 3, 512, path)
+
+
+def test_shards_of_a_very_long_text(spark):
+    placed, _ = sharding.shard(docs_of(spark, ["é" * 3_000_000, "a", None]), 2, 16)
+    assert {r.doc_id: r.size for r in placed.collect()} == {0: 6_000_008, 1: 9, 2: 8}
 
 
 def test_grown_maps_only_fill_the_new_shard():
@@ -662,6 +692,24 @@ def test_reputation_shrinks_to_the_levels_above(spark):
     assert rows["a.bad.net"].rate > rows["few.net"].rate > rows["good.net"].rate
 
 
+def test_registered_domains(spark):
+    hosts = {
+        "a.b.example.co.uk": ("example.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "www.example.com:8080": ("example.com", "com"), "localhost": ("localhost", "localhost"),
+        "192.168.1.7:80": ("192.168.1.7", "[]"), "[::1]:443": ("[::1]", "[]"), "": ("", ""), "1.2.3": ("2.3", "3"), "x.com.": ("com.", ""),
+    }
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string")
+    domain, suffix = urlrep.domain_and_suffix(F.col("host"))
+    assert {r.host: (r.domain, r.suffix) for r in rows.select("host", domain.alias("domain"), suffix.alias("suffix")).collect()} == hosts
+
+
+def test_urls_of_nothing_and_pages_twice(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([(1, "http://a.net/1"), (1, "http://a.net/1"), (None, None)], "page_id long, url string")
+    assert urlrep.judged(pages, urlrep.labelled_outcomes(pages, none)).count() == 3
+    empty = pages.limit(0)
+    assert urlrep.judged(empty, urlrep.labelled_outcomes(empty, none)).count() == 0
+
+
 # Shared parts
 
 
