@@ -11,10 +11,12 @@ a region.
 
 * In a small region all pairs are candidates.  They are counted over all regions, and the
   count, the sizes and what the windows leave open bound the overlap before any set moves.
-* A large region's members are candidates with its least member.
-* Candidates that hang together form a region, and regions join recursively: document pivots,
-  exact distances to them, Voronoi regions with documents copied to a neighbour if their
-  distance to it is within twice the radius of that to their own pivot, and so on.
+  Candidates that hang together are one region of the next level.
+* Large regions with one least member are one region of the next level too.
+* Such regions join recursively: document pivots, exact distances to them, Voronoi regions with
+  documents copied to a neighbour if their distance to it is within twice the radius of that to
+  their own pivot, and so on.  Documents far from all pivots are a region of their own, and
+  copied to pivots that a neighbour within the radius may belong to.
 * A region of more than ``REGION_BYTES`` is split by Spark: its members' distances to the pivots
   are found in slices.  Pivots are the members that stand in most large regions, as the centre
   of a group of near copies does.  What is linked to one pivot is one component already, and
@@ -52,6 +54,7 @@ LEAF = 32
 REGION_BYTES = 6 << 20  # of packed sets in one task
 PIVOTS = 8
 LEVELS = 6
+FAR = 0.6  # distance beyond which a document belongs to no pivot
 MOST_BROADCAST = 100_000  # rows of a few numbers
 MOST_FREQUENT = 200_000
 BYTES = 6  # of each shingle in a packed set
@@ -289,14 +292,16 @@ def _distances(percent: int):
         common = np.stack([sets.overlaps(int(p), members) for p in pivots])
         union = sets.n[pivots][:, None] + sets.n[members] - common
         distance, linked = 1 - common / union, 100 * common >= percent * union
-        near = (distance <= distance.min(axis=0) + 2 * radius + 1e-9) & ~np.isin(sets.sigs[members], sets.sigs[pivots])
+        own, done = distance.min(axis=0), np.isin(sets.sigs[members], sets.sigs[pivots])
+        near = (distance <= np.where(own > FAR, FAR + radius, own + 2 * radius) + 1e-9) & ~done
+        rest = np.where((own > FAR) & ~done, 1 << PIVOTS, 0)
         out = table.take(pa.array(members))
         names = sets.sigs[pivots]
         return pa.table(
             {c: out.column(c) for c in ("region", "sig", "n", "wide", "comp", "own")}
             | {
-                "nearest": pa.array(distance.argmin(axis=0), pa.int32()),
-                "near": pa.array((near * bits).sum(axis=0), pa.int32()),
+                "nearest": pa.array(np.where(own > FAR, PIVOTS, distance.argmin(axis=0)), pa.int32()),
+                "near": pa.array((near * bits).sum(axis=0) | rest, pa.int32()),
                 "linked": pa.array((linked * bits).sum(axis=0), pa.int32()),
                 "links": pa.array([names[row].tolist() for row in linked.T], pa.list_(pa.int64())),
             }
@@ -411,7 +416,7 @@ class Regions:
         merged = kinds.groupBy("region").applyInArrow(_merged, "region long, comp long, linked int, merged long")
         merged = self.work.table(merged.select(F.col("region").alias("of"), F.col("comp").alias("was"), F.col("linked").alias("by"), "merged"), f"merged{level}")
         on = (F.col("region") == F.col("of")) & F.col("comp").eqNullSafe(F.col("was")) & (F.col("linked") == F.col("by"))
-        bits = F.expr(f"filter(sequence(0, {PIVOTS - 1}), i -> (shiftright(near, i) & 1) = 1)")
+        bits = F.expr(f"filter(sequence(0, {PIVOTS}), i -> (shiftright(near, i) & 1) = 1)")
         rows = _attach(found.filter("near != 0"), merged, on).withColumn("i", F.explode(bits))
         rows = rows.select(F.xxhash64("region", "i").alias("region"), "sig", "n", "wide", F.col("merged").alias("comp"), (F.col("own") & (F.col("i") == F.col("nearest"))).alias("own"))
         return self.work.table(rows, f"members{level}")
@@ -446,12 +451,13 @@ def links(docs: DataFrame, found: DataFrame, least: DataFrame, work: Workspace,
     cells = work.table(around_pivots(regions, leaf), "cells")
     wide = work.table(regions.filter(F.col("size") > leaf).groupBy("sig").agg(F.count("*").alias("wide")), "wide")
     work.drop("regions")
-    edges = pairs.select(F.col("sig_a").alias("u"), F.col("sig_b").alias("v")).unionAll(cells.select(F.col("pivot").alias("u"), F.col("sig").alias("v")))
-    group = components(edges, work, "groups")
+    group = components(pairs.select(F.col("sig_a").alias("u"), F.col("sig_b").alias("v")), work, "groups")
     group = group.unionAll(group.select(F.col("root").alias("node"), "root").distinct())
-    members = group.join(least, group.node == least.sig).select(F.col("root").alias("region"), "sig", "n", F.lit(None).cast("long").alias("comp"), F.lit(True).alias("own"))
-    members = work.table(members.join(wide, "sig", "left").fillna(0, ["wide"]), "members0")
-    wanted = members.join(least, "sig").select("sig", F.col("least").alias("doc_id"))
+    roots = group.select(F.xxhash64(F.lit("pairs"), "root").alias("region"), F.col("node").alias("sig"))
+    roots = roots.unionAll(cells.select(F.xxhash64(F.lit("pivot"), "pivot").alias("region"), "sig"))
+    members = roots.join(least.select("sig", "n"), "sig").join(wide, "sig", "left").fillna(0, ["wide"])
+    members = work.table(members.select("region", "sig", "n", "wide", F.lit(None).cast("long").alias("comp"), F.lit(True).alias("own")), "members0")
+    wanted = members.select("sig").distinct().join(least, "sig").select("sig", F.col("least").alias("doc_id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     texts = texts.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id"))).select("sig", "text")
     sets = work.table(packed_sets(texts, size).dropDuplicates(["sig"]) if repeats_ids(docs) else packed_sets(texts, size), "sets")
