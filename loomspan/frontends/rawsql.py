@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -56,8 +57,33 @@ def execute(compiler: Compiler, sql: str, params: dict | None = None, role: str
     if not frames:
         raise RawSqlError("no table")
     spark = next(iter(frames.values())).sparkSession
-    own = {name: f"__raw_{name}" for name in frames}
-    for name, frame in frames.items():
-        frame.createOrReplaceTempView(own[name])
+    own = {name: f"__raw_{uuid.uuid4().hex}" for name in frames}
     text = re.sub(r"('(?:''|[^'])*')|\b(" + "|".join(map(re.escape, own)) + r")\b(?!\s*\()(?!\.)", lambda m: m[1] or own.get(m[2], m[2]), sql.strip().rstrip(";"))
-    return spark.sql(text, args=params or {}).limit(min(limit, MOST_ROWS))
+    try:  # analysed at once, so that no view stays behind
+        for name, frame in frames.items():
+            frame.createTempView(own[name])
+        found = spark.sql(text, args=params or {})
+    finally:
+        for view in own.values():
+            spark.catalog.dropTempView(view)
+    confined(found, set(own.values()))
+    return found.limit(min(limit, MOST_ROWS))
+
+
+def confined(df: DataFrame, views: set[str]) -> None:
+    """Refuses a plan that reads anything but the tables as the caller may see them.
+
+    Every view and leaf of the analysed plan has to stand below one of ``views``, or hold no table.
+    """
+    lines = [re.match(r"^([ :+-]*)(.*)$", x).groups() for x in df._jdf.queryExecution().analyzed().toString().splitlines() if x.strip()]
+    above: list[tuple[int, str]] = []
+    for k, (indent, node) in enumerate(lines):
+        while above and above[-1][0] >= len(indent):
+            above.pop()
+        leaf = k + 1 == len(lines) or len(lines[k + 1][0]) <= len(indent)
+        inside = any(re.match(rf"(SubqueryAlias|View) \W*({'|'.join(views)})\b", x) for _, x in above)
+        own = re.match(rf"View \W*({'|'.join(views)})\b", node)
+        harmless = not node.startswith("View ") and (not leaf or re.match(r"OneRowRelation|LocalRelation|Range|CTERelationRef", node))
+        if not inside and not own and not harmless:
+            raise AccessDenied("raw SQL reads what is no table of the model")
+        above.append((len(indent), node))

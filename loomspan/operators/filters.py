@@ -189,22 +189,28 @@ def condition(df: DataFrame, part: Filter, model: Model, table: Table) -> Column
         case Const(value):
             return F.lit(value)
         case Search(text):
-            names = [c.strip() for c in table.metadata.get("search", "").split(",") if c.strip()]
+            names = search_columns(table)
             if not names:
                 raise FilterError(f"{table.name} has no search columns")
             return search.matches([df[table.column(n).name] for n in names], text)
     raise FilterError(f"{part!r} is not a predicate")
 
 
-def columns_of(part: Filter | None) -> set[str]:
-    """Columns that a filter names on its own table."""
+def search_columns(table: Table) -> list[str]:
+    return [c.strip() for c in table.metadata.get("search", "").split(",") if c.strip()]
+
+
+def columns_of(part: Filter | None, table: Table) -> set[str]:
+    """Columns of its own table that a filter reads."""
     match part:
         case Cmp(name, _, value):
             return {name} | ({value.column} if isinstance(value, Ref) else set())
         case And(parts) | Or(parts):
-            return set().union(*map(columns_of, parts))
+            return set().union(*[columns_of(p, table) for p in parts])
         case Not(inner):
-            return columns_of(inner)
+            return columns_of(inner, table)
+        case Search():
+            return set(search_columns(table))
     return set()
 
 

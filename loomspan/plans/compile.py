@@ -42,7 +42,7 @@ class Compiler:
         return filters.where(self.model.frame(table), full, self.model, table, lambda t, f: self.scan(t, f))
 
     def _guard_filter(self, table: Table, part: Filter | None) -> None:
-        names = filters.columns_of(part)
+        names = filters.columns_of(part, table)
         self.policy.guard_read(table, names, self.context)
         self.policy.guard_use(table, names)
         for p in part.parts if isinstance(part, And) else [part]:
@@ -265,6 +265,8 @@ class Compiler:
         self.policy.guard_read(table, {left_column.name}, self.context)
         right = self.scan(target, join.query.filter, join.query.deleted)
         self.policy.guard_read(target, {target.column(join.right).name}, self.context)
+        self.policy.guard_use(table, {left_column.name})
+        self.policy.guard_use(target, {join.right})
         left = rows.select(F.col(left_column.name).alias("__left")).filter("__left IS NOT NULL").distinct()
         test = filters.predicate(F.col("__left"), join.op or "_eq", F.col(target.column(join.right).name), left_column.type)
         pairs = left.join(right, test, "inner")
