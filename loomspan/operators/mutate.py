@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import functools
 import operator
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,11 +19,12 @@ from pyspark.sql import types as T
 
 from ..functions import enums, local
 from ..plans.model import ModelError, Table
-from ..plans.policy import AccessDenied, Context
+from ..plans.nodes import And
+from ..plans.policy import AccessDenied, Context, write_scope
+from . import filters
 
 MOST_ACTIONS = 100
-#: From this many actions on, changes go to the executors as a file-backed set.
-BULK_ACTIONS = 50
+MOST_BROADCAST_ACTIONS = 1_000
 
 
 class Conflict(RuntimeError):
@@ -109,7 +110,13 @@ class Writer:
         return Action(action.kind, values)
 
     def batch(self, before: DataFrame, actions: Iterable[Action]) -> Outcome:
-        """Mixed actions as one set: a key's later action wins, merged into earlier ones."""
+        """Mixed actions as one set, with those on one key merged.
+
+        A delete on either side of an update wins, updates merge column by column, and an upsert
+        with another action on its key is refused, as what it does depends on the row.  An insert after
+        a delete replaces the row, a change after an insert belongs to it, and an insert after anything else
+        finds its key taken.
+        """
         actions = [self.prepared(a) for a in actions]
         if len(actions) > self.most:
             raise ModelError(f"more than {self.most} actions")
@@ -122,20 +129,26 @@ class Writer:
                 raise ModelError(f"{a.kind} needs {', '.join(keys)}")
             key = tuple(a.values[k] for k in keys)
             if key in merged:
-                if self.duplicates == "reject" or a.kind == merged[key].kind == "upsert":
-                    raise ModelError(f"two actions on {key}")
                 first = merged[key]
-                a = a if a.kind == "delete" else Action(first.kind if first.kind != "delete" else "upsert", first.values | a.values)
+                if self.duplicates == "reject" or "upsert" in (first.kind, a.kind):
+                    raise ModelError(f"two actions on {key}")
+                if first.kind == "delete":
+                    a = Action("upsert", dict.fromkeys(self.table.columns) | a.values) if a.kind == "insert" else first
+                elif a.kind == "insert":
+                    a = first
+                elif a.kind == "update":
+                    a = Action(first.kind, first.values | a.values)
             merged[key] = a
         rows = [(a.kind, [n for n in self.table.columns if n in a.values], *[a.values.get(n) for n in self.table.columns]) for a in merged.values()]
         kinds = [T.StructField("__op", T.StringType()), T.StructField("__set", T.ArrayType(T.StringType()))]
         schema = T.StructType(kinds + [T.StructField(n, c.type) for n, c in self.table.columns.items()])
-        return self.apply(before, local.frame(self.spark, rows, schema))
+        return self.apply(before, local.frame(self.spark, rows, schema), few=len(rows) <= MOST_BROADCAST_ACTIONS)
 
-    def apply(self, before: DataFrame, actions: DataFrame) -> Outcome:
+    def apply(self, before: DataFrame, actions: DataFrame, few: bool = False) -> Outcome:
         """``actions`` has __op, __set (columns that are given) and the table's columns, a row a key.
 
-        One full outer join on the key.  Keys that are new to an update or delete, and keys
+        One full outer join on the key; ``few`` actions join by broadcast instead, so that the
+        table is scanned but not shuffled.  Keys that are new to an update or delete, and keys
         that an insert finds taken, change nothing.  A table with ``soft-delete`` marks
         deleted rows instead of dropping them.
         """
@@ -145,12 +158,17 @@ class Writer:
         old = before.select(F.struct(*t.columns).alias("__old"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
         new = actions.select("__op", "__set", F.struct(*t.columns).alias("__new"), *[F.col(k).alias(f"__n{i}") for i, k in enumerate(keys)])
         on = functools.reduce(operator.and_, [F.col(f"__k{i}") == F.col(f"__n{i}") for i in range(len(keys))])
-        both = old.join(new, on, "full_outer")
+        if few:
+            found = old.join(F.broadcast(new.select(*[F.col(f"__n{i}") for i in range(len(keys))])), on, "left_semi").drop("__old")  # a row an action at most
+            lone = new.join(F.broadcast(found), on, "left_anti")
+            both = old.join(F.broadcast(new), on, "left").unionByName(lone, allowMissingColumns=True)
+        else:
+            both = old.join(new, on, "full_outer")
         there = F.col("__old").isNotNull() & self._writable()
         op = F.col("__op")
         kind = (
-            F.when(F.col("__old").isNull() & op.isin("insert", "upsert"), "insert")
-            .when(there & op.isin("update", "upsert"), "update")
+            F.when(F.col("__old").isNull() & op.isin("insert", "upsert") & self._in_scope(lambda n: F.col(f"__new.{n}")), "insert")
+            .when(there & op.isin("update", "upsert") & self._in_scope(lambda n: F.when(F.array_contains("__set", n), F.col(f"__new.{n}")).otherwise(F.col(f"__old.{n}"))), "update")
             .when(there & (op == "delete"), "delete")
         )
         columns = []
@@ -177,15 +195,23 @@ class Writer:
 
     def _writable(self) -> Column:
         """Rows that the caller may change."""
-        t = self.table
-        test = F.lit(True)
-        tenant = t.metadata.get("tenant-filter")
-        if tenant:
-            test = test & (F.col(f"__old.{tenant}") == F.lit(self.context.claims[t.metadata.get("tenant-context-key", "tenant_id")]))
-        if t.metadata.get("soft-delete"):
-            test = test & F.col(f"__old.{t.metadata['soft-delete']}").isNull()
+        test = self._in_scope(lambda n: F.col(f"__old.{n}"))
+        if self.table.metadata.get("soft-delete"):
+            test = test & F.col(f"__old.{self.table.metadata['soft-delete']}").isNull()
         return test
 
+    def _in_scope(self, value: Callable[[str], Column]) -> Column:
+        """Whether a row, whose columns ``value`` gives, is one the caller may write."""
+
+        def test(part) -> Column:
+            if isinstance(part, And):
+                return functools.reduce(operator.and_, map(test, part.parts))
+            column = self.table.column(part.column)
+            return filters.predicate(value(column.name), part.op, part.value, column.type)
+
+        scope = write_scope(self.table, self.context)
+        return F.lit(True) if scope is None else F.coalesce(test(scope), F.lit(False))
+
     def insert(self, before: DataFrame, values: dict) -> Outcome:
         return self.batch(before, [Action("insert", values)])
 
@@ -357,7 +383,7 @@ def sync_tree(frames: dict[str, DataFrame], tree: DataFrame, levels: list[tuple[
     """
     if len(levels) > depth:
         raise ModelError(f"deeper than {depth}")
-    out = {}
+    out, held_keys = {}, []
     for table, keys, path, foreign in levels:
         before = frames[table]
         rows = tree
@@ -366,11 +392,14 @@ def sync_tree(frames: dict[str, DataFrame], tree: DataFrame, levels: list[tuple[
         columns = [c for c in before.columns if c in rows.columns]
         wanted = rows.select(*columns)
         if foreign:
-            parents = wanted.select(F.col(foreign).alias("__p"))
+            # All parents that the tree holds at the level above, whether or not they have children there.
+            above = next(k for p, k in held_keys if p == path.rpartition(".")[0])
+            parents = above.select(F.col(above.columns[0]).alias("__p")).distinct()
             mine = before.join(parents, F.col(foreign) == F.col("__p"), "left_semi")
         else:
             held = wanted.select(*[F.col(k).alias(f"__{k}") for k in keys])
             mine = before.join(held, functools.reduce(operator.and_, [F.col(k) == F.col(f"__{k}") for k in keys]), "left_semi")
+        held_keys.append((path, rows.select(*keys)))
         out[table] = sync(mine.select(*columns), wanted, keys)
     return out
 

@@ -102,6 +102,10 @@ class RowScope(Rewriter):
         actions = table.metadata.get("policy-actions")
         if actions is not None and "read" not in {a.strip() for a in actions.split(",")} and not context.is_admin:
             raise AccessDenied(f"{table.name}: read")
+        return self.scope(table, context)
+
+    @staticmethod
+    def scope(table: Table, context: Context) -> Filter | None:
         scope = table.metadata.get("policy-row-scope")
         roles = {r.strip() for r in table.metadata.get("policy-row-scope-roles", "").split(",") if r.strip()}
         if not scope or context.is_admin or roles and not roles & context.roles:
@@ -130,6 +134,12 @@ class SoftDelete(Rewriter):
 BUILT_IN = (Tenant(), AutoFilter(), RowScope(), SoftDelete())
 
 
+def write_scope(table: Table, context: Context) -> Filter | None:
+    """Rows that the caller may write: those of the tenant, of the claims and of the row scope."""
+    found = [Tenant().row_filter(table, context, "include"), AutoFilter().row_filter(table, context, "include"), RowScope.scope(table, context)]
+    return both(*[f for f in found if f is not None])
+
+
 class Policy:
     """All rewriters in order, and the guards and masks of columns."""
 
