@@ -16,6 +16,13 @@ from ..plans.policy import AccessDenied
 
 # History
 
+NULLS = {"ignoreNullFields": "false"}
+
+
+def mark(key: dict) -> Column:
+    """A row's key as history has it, by the same function that writes it there."""
+    return F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in key.items()]))
+
 
 def trail(changes: DataFrame, entity: str, keys: list[str], actor: str, when: dt.datetime) -> DataFrame:
     """One history row a change: key, images and changed columns; changes of nothing are none."""
@@ -27,8 +34,8 @@ def trail(changes: DataFrame, entity: str, keys: list[str], actor: str, when: dt
         "op",
         F.lit(actor).alias("actor"),
         F.lit(when).alias("changed_at"),
-        F.to_json("before").alias("before"),
-        F.to_json("after").alias("after"),
+        F.to_json("before", NULLS).alias("before"),
+        F.to_json("after", NULLS).alias("after"),
         changed.alias("changed_columns"),
     )
     return rows.filter((F.col("op") != "update") | (F.size("changed_columns") > 0))
@@ -36,9 +43,7 @@ def trail(changes: DataFrame, entity: str, keys: list[str], actor: str, when: dt
 
 def of_entity(history: DataFrame, entity: str, key: dict, tenant: tuple[str, object] | None = None) -> DataFrame:
     """The trail of one row, oldest first; with a tenant, only rows whose images carry it."""
-    import json
-
-    rows = history.filter((F.col("entity") == entity) & (F.col("entity_id") == json.dumps(key, separators=(",", ":"))))
+    rows = history.filter((F.col("entity") == entity) & (F.col("entity_id") == mark(key)))
     if tenant:
         path = f"$.{tenant[0]}"
         rows = rows.filter(F.coalesce(F.get_json_object("after", path), F.get_json_object("before", path)) == str(tenant[1]))
@@ -47,13 +52,10 @@ def of_entity(history: DataFrame, entity: str, key: dict, tenant: tuple[str, obj
 
 def erase(history: DataFrame, entity: str, key: dict, when: dt.datetime) -> DataFrame:
     """Images of one row removed, and a tombstone in their place."""
-    import json
-
-    mark = json.dumps(key, separators=(",", ":"))
-    hit = (F.col("entity") == entity) & (F.col("entity_id") == mark)
+    hit = (F.col("entity") == entity) & (F.col("entity_id") == mark(key))
     none = F.lit(None).cast("string")
     blank = history.withColumns({c: F.when(hit, none).otherwise(F.col(c)) for c in ("before", "after")})
-    tomb = history.sparkSession.range(1).select(F.lit(entity).alias("entity"), F.lit(mark).alias("entity_id"), F.lit("erase").alias("op"), none.alias("actor"), F.lit(when).alias("changed_at"), none.alias("before"), none.alias("after"), F.array().cast("array<string>").alias("changed_columns"))
+    tomb = history.sparkSession.range(1).select(F.lit(entity).alias("entity"), mark(key).alias("entity_id"), F.lit("erase").alias("op"), none.alias("actor"), F.lit(when).alias("changed_at"), none.alias("before"), none.alias("after"), F.array().cast("array<string>").alias("changed_columns"))
     return blank.unionByName(tomb)
 
 
@@ -64,16 +66,25 @@ FIRST_WAIT, LONGEST_WAIT = dt.timedelta(seconds=1), dt.timedelta(minutes=5)
 
 
 def outbox(changes: DataFrame, aggregate: str, keys: list[str], when: dt.datetime, mode: str = "full", tenant: str | None = None) -> DataFrame:
-    """Events of changes: the whole image, the changed columns, or the keys."""
+    """Events of changes: the whole image, the key and the changed columns, or the key; of a delete in the second, the key.
+
+    Columns that became null are there as nulls, and a deleted row's event has its tenant.
+    """
+    if not keys:
+        raise ModelError(f"events of {aggregate} need a key")
     image = F.coalesce("after", "before")
     columns = [f.name for f in changes.schema["before"].dataType]
     if mode == "full":
-        payload = F.to_json(image)
+        payload = F.to_json(image, NULLS)
     elif mode == "keys":
         payload = F.to_json(F.struct(*keys))
     elif mode == "changed":
-        own = [F.when(~F.col(f"before.{c}").eqNullSafe(F.col(f"after.{c}")) | F.lit(c in keys), F.col(f"after.{c}")).alias(c) for c in columns]
-        payload = F.to_json(F.struct(*own))
+        own = []
+        for c in columns:
+            shown = F.lit(True) if c in keys else F.col("after").isNotNull() & ~F.col(f"before.{c}").eqNullSafe(F.col(f"after.{c}"))
+            field = F.to_json(F.struct(image[c].alias(c)), NULLS)
+            own.append(F.when(shown, F.substring(field, F.lit(2), F.char_length(field) - 2)))
+        payload = F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*own)), ","), F.lit("}"))
     else:
         raise ModelError(f"no payload mode {mode}")
     rows = changes.select(
@@ -81,7 +92,7 @@ def outbox(changes: DataFrame, aggregate: str, keys: list[str], when: dt.datetim
         F.to_json(F.struct(*keys)).alias("key"),
         "op",
         payload.alias("payload"),
-        (F.col(f"after.{tenant}").cast("string") if tenant else F.lit(None).cast("string")).alias("tenant"),
+        (image[tenant].cast("string") if tenant else F.lit(None).cast("string")).alias("tenant"),
         F.lit(when).alias("created_at"),
         F.lit(None).cast("timestamp_ntz").alias("dispatched_at"),
         F.lit(0).alias("attempts"),

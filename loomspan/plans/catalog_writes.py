@@ -98,13 +98,30 @@ def _(spark, sf_dir):
     return w.batch(before, [Action("update", {"c_custkey": mine, "c_name": "Mine"}), Action("update", {"c_custkey": other, "c_name": "Theirs"})]).rows.select("c_custkey", "c_name")
 
 
+@query("mutation_batch_delete_wins", "SELECT s_suppkey, CASE WHEN s_suppkey = 3 THEN 'Again' ELSE s_name END AS s_name, CASE WHEN s_suppkey = 3 THEN NULL ELSE s_nationkey END AS s_nationkey, CASE WHEN s_suppkey = 3 THEN NULL ELSE s_acctbal END AS s_acctbal FROM supplier WHERE s_suppkey NOT IN (1, 2)")
+def _(spark, sf_dir):
+    w, before = writer(spark, sf_dir, "supplier")
+    steps = [Action("delete", {"s_suppkey": 1}), Action("update", {"s_suppkey": 1, "s_name": "X"}), Action("update", {"s_suppkey": 2, "s_name": "X"}), Action("delete", {"s_suppkey": 2})]
+    return w.batch(before, steps + [Action("delete", {"s_suppkey": 3}), Action("insert", {"s_suppkey": 3, "s_name": "Again"})]).rows
+
+
+@query("mutation_row_scope", "SELECT c_custkey, CASE WHEN c_custkey = (SELECT min(c_custkey) FROM customer WHERE c_nationkey = 3) THEN 'Mine' ELSE c_name END AS c_name, c_nationkey FROM customer")
+def _(spark, sf_dir):
+    w, before = writer(spark, sf_dir, "customer", Context({"nation": 3}), {"policy-row-scope": "c_nationkey = {nation}"})
+    mine = before.filter("c_nationkey = 3").agg(F.min("c_custkey")).first()[0]
+    other = before.filter("c_nationkey <> 3").agg(F.min("c_custkey")).first()[0]
+    last = before.filter("c_nationkey = 3").agg(F.max("c_custkey")).first()[0]
+    steps = [Action("update", {"c_custkey": mine, "c_name": "Mine"}), Action("update", {"c_custkey": other, "c_name": "Theirs"}), Action("update", {"c_custkey": last, "c_nationkey": 4}), Action("insert", {"c_custkey": 99999999, "c_nationkey": 5})]
+    return w.batch(before, steps).rows.select("c_custkey", "c_name", "c_nationkey")
+
+
 @query("history_trail", "SELECT 'supplier' AS entity, '{\"s_suppkey\":3}' AS entity_id, 'update' AS op, 's_name' AS changed UNION ALL SELECT 'supplier', '{\"s_suppkey\":4}', 'delete', 's_suppkey,s_name,s_nationkey,s_acctbal' UNION ALL SELECT 'supplier', '{\"s_suppkey\":900001}', 'insert', 's_suppkey,s_name'")
 def _(spark, sf_dir):
     rows = history.trail(_changes(spark, sf_dir), "supplier", ["s_suppkey"], "me", NOW)
     return rows.select("entity", "entity_id", "op", F.array_join("changed_columns", ",").alias("changed"))
 
 
-@query("outbox_events", "SELECT 'supplier' AS aggregate, '{\"s_suppkey\":3}' AS key, 'update' AS op, '{\"s_suppkey\":3,\"s_name\":\"Renamed\"}' AS payload UNION ALL SELECT 'supplier', '{\"s_suppkey\":4}', 'delete', '{}' UNION ALL SELECT 'supplier', '{\"s_suppkey\":900001}', 'insert', '{\"s_suppkey\":900001,\"s_name\":\"New\"}'")
+@query("outbox_events", "SELECT 'supplier' AS aggregate, '{\"s_suppkey\":3}' AS key, 'update' AS op, '{\"s_suppkey\":3,\"s_name\":\"Renamed\"}' AS payload UNION ALL SELECT 'supplier', '{\"s_suppkey\":4}', 'delete', '{\"s_suppkey\":4}' UNION ALL SELECT 'supplier', '{\"s_suppkey\":900001}', 'insert', '{\"s_suppkey\":900001,\"s_name\":\"New\"}'")
 def _(spark, sf_dir):
     return history.outbox(_changes(spark, sf_dir), "supplier", ["s_suppkey"], NOW, "changed").select("aggregate", "key", "op", "payload")
 
