@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import dataclasses
 import re
 
 from pyspark.sql import DataFrame
 
-from ..operators import filters
+from ..operators import filters, keys
 from ..plans.compile import Compiler, Page
 from ..plans.model import Table
 from ..plans.nodes import And, Cmp, Filter, Or, Query
@@ -146,7 +147,15 @@ def tree(options: dict[str, str], compiler: Compiler, entity: str) -> Query:
 
 
 def execute(compiler: Compiler, entity: str, options: dict[str, str]) -> DataFrame:
-    return compiler.nested(tree(options, compiler, entity))
+    """With what ``$expand`` asks for; more than ``MOST_PAGE`` expanded rows in all are an error."""
+    query = tree(options, compiler, entity)
+    table = compiler.model.table(entity)
+    for name in query.links:
+        link = table.multi_links.get(name)
+        if link and len(link.parent_columns) == 1:
+            rows = compiler.page_rows(dataclasses.replace(query, links={}))
+            keys.expanded(rows, compiler.scan(compiler.model.table(link.child)), link.parent_columns[0], link.child_columns[0], MOST_PAGE)
+    return compiler.nested(query)
 
 
 def page(compiler: Compiler, entity: str, options: dict[str, str]) -> Page:

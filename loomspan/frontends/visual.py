@@ -62,6 +62,7 @@ def execute(compiler: Compiler, spec: dict) -> DataFrame:
     for *_, c in sorts:
         cell = _cell(tables, c["table"], c["column"])
         order.append(cell.asc_nulls_first() if c["sort"] == "asc" else cell.desc_nulls_last())
+    order += [_cell(tables, alias, key).asc_nulls_first() for alias, t in tables.items() for key in t.keys]  # what the cap leaves is no chance
     limit = spec.get("limit") or 0
     rows = rows.orderBy(*order) if order else rows
     return rows.limit(MOST_ROWS if limit <= 0 else min(limit, MOST_ROWS)).select(*shown)

@@ -272,10 +272,10 @@ def _(spark, sf_dir):
     return rows.select("r_name", "n_name", "c.c_custkey")
 
 
-@query("link_m2m", "SELECT l_orderkey AS parent_o_orderkey, p_partkey, CAST(rn AS INTEGER) AS rn, CAST(total AS INTEGER) AS total FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY p_retailprice DESC, p_partkey) AS rn, count(*) OVER (PARTITION BY l_orderkey) AS total FROM lineitem JOIN part ON l_partkey = p_partkey JOIN (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 200) ON l_orderkey = o_orderkey) WHERE rn <= 3")
+@query("link_m2m", "SELECT l_orderkey AS parent_o_orderkey, p_partkey, CAST(rn AS INTEGER) AS rn, CAST(total AS INTEGER) AS total FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY p_retailprice DESC, p_partkey) AS rn, count(*) OVER (PARTITION BY l_orderkey) AS total FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey) WHERE rn <= 3")
 def _(spark, sf_dir):
     inner = Query("part", ["p_partkey"], sort=["p_retailprice_desc"], limit=3)
-    return compiler(spark, sf_dir).flat_children(Query("orders", sort=["o_orderkey_asc"], limit=200), "part", inner)
+    return compiler(spark, sf_dir).flat_children(Query("orders", limit=UNLIMITED), "part", inner)
 
 
 @query("link_composite", "SELECT s.l_orderkey, s.l_linenumber, s.n AS n FROM (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL) s JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 40) h ON s.l_orderkey = h.l_orderkey AND s.l_linenumber = h.l_linenumber")
@@ -301,10 +301,10 @@ def _(spark, sf_dir):
 # Explicit joins
 
 
-@query("join_dynamic_eq", "SELECT c_custkey, s_suppkey FROM (SELECT c_custkey, c_nationkey FROM customer ORDER BY c_custkey LIMIT 40) JOIN supplier ON c_nationkey = s_nationkey")
+@query("join_dynamic_eq", "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey")
 def _(spark, sf_dir):
     join = Join("suppliers", Query("supplier", ["s_suppkey"]), "c_nationkey", "s_nationkey")
-    rows = compiler(spark, sf_dir).nested(Query("customer", ["c_custkey"], joins=[join], sort=["c_custkey_asc"], limit=40))
+    rows = compiler(spark, sf_dir).nested(Query("customer", ["c_custkey"], joins=[join], limit=UNLIMITED))
     return rows.select("c_custkey", F.explode("suppliers.s_suppkey").alias("s_suppkey"))
 
 

@@ -172,9 +172,9 @@ def _(spark, sf_dir):
     )
 
 
-@query("intent_flattened", 'SELECT o_orderkey, c_name AS "customer.c_name" FROM orders LEFT JOIN customer ON o_custkey = c_custkey ORDER BY o_orderkey LIMIT 30')
+@query("intent_flattened", 'SELECT o_orderkey, c_name AS "customer.c_name" FROM orders LEFT JOIN customer ON o_custkey = c_custkey')
 def _(spark, sf_dir):
-    q = Query("orders", ["o_orderkey"], links={"customer": Query("customer", ["c_name"])}, limit=30)
+    q = Query("orders", ["o_orderkey"], links={"customer": Query("customer", ["c_name"])}, limit=UNLIMITED)
     return intent.execute(compiler(spark, sf_dir), q, with_total=True).rows
 
 

@@ -13,7 +13,7 @@ from loomspan.operators import aggregate, eav, filters, history, keys, mutate, s
 from loomspan.plans import metadata, model as models
 from loomspan.plans.compile import Compiler
 from loomspan.plans.model import Model, ModelError, sample_model
-from loomspan.plans.nodes import UNLIMITED, Cmp, Query, Through
+from loomspan.plans.nodes import UNLIMITED, Cmp, Join, Query, Search, Through
 from loomspan.plans.policy import AccessDenied, Context, Policy, Profile
 from loomspan.sources import tables
 from loomspan.streaming import drain, events
@@ -297,6 +297,47 @@ def test_raw_sql_sees_what_the_caller_sees(spark):
     assert {r[0] for r in rawsql.execute(c, "SELECT DISTINCT o.o_custkey FROM orders o WHERE 'orders' = 'orders'").collect()} == {7}
 
 
+def test_raw_sql_reads_nothing_else(spark):
+    m = sample_model(spark, SF)
+    m.table("orders").metadata["tenant-filter"] = "o_custkey"
+    c = Compiler(m, context=Context({"tenant_id": 7}, frozenset({"raw-sql"})))
+    rawsql.execute(c, "SELECT * FROM orders").count()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("__raw")]
+    spark.range(3).createOrReplaceTempView("left_over")
+    hidden = f"parquet.`{SF}/orders.parquet`"
+    for sql in (
+        "SELECT id FROM left_over, orders", f"SELECT * FROM {hidden} WHERE 'orders' = 'orders' AND o_orderkey IN (SELECT o_orderkey FROM orders)",
+        f"SELECT * FROM orders WHERE EXISTS (SELECT 1 FROM {hidden})", f"SELECT (SELECT max(o_custkey) FROM {hidden}) AS m FROM orders",
+        f"WITH x AS (SELECT * FROM {hidden}) SELECT x.o_custkey FROM x JOIN orders ON true", "SELECT o_custkey FROM orders UNION ALL SELECT id FROM left_over",
+    ):
+        with pytest.raises(AccessDenied):
+            rawsql.execute(c, sql)
+    good = "WITH x AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), y AS (SELECT 1 AS one) SELECT n FROM x, y WHERE o_custkey IN (SELECT o_custkey FROM orders) AND n > (SELECT 0)"
+    assert rawsql.execute(c, good).count() == 1
+    spark.catalog.dropTempView("left_over")
+
+
+def test_search_needs_its_columns(spark):
+    m = sample_model(spark, SF)
+    m.table("customer").metadata |= {"search": "c_name", "policy-read-deny": "c_name"}
+    q = Query("customer", ["c_custkey"], filter=Search("Customer"))
+    with pytest.raises(AccessDenied):
+        Compiler(m).flat(q)
+    assert Compiler(m, context=Context(roles=frozenset({"admin"}))).flat(q).columns == ["c_custkey"]
+    m.table("customer").metadata.pop("policy-read-deny")
+    m.table("customer").column("c_nationkey").metadata["encrypt"] = "yes"
+    with pytest.raises(AccessDenied):
+        Compiler(m).nested(Query("customer", ["c_custkey"], joins=[Join("s", Query("supplier", ["s_suppkey"]), "c_nationkey", "s_nationkey")]))
+
+
+def test_odata_expands_no_more_than_its_cap(star, monkeypatch):
+    c = Compiler(star)
+    assert odata.execute(c, "region", {"$expand": "nation"}).count() == 5
+    monkeypatch.setattr(odata, "MOST_PAGE", 20)
+    with pytest.raises(ModelError):
+        odata.execute(c, "region", {"$expand": "nation"})
+
+
 def test_odata_faults(star):
     c = Compiler(star)
     for options in ({"$apply": "x"}, {"$filter": "o_orderkey eq"}, {"$filter": "o_orderkey foo 1"}, {"$filter": "(o_orderkey eq 1"}, {"$top": "-1"}, {"$expand": "nothing"}):
@@ -476,6 +517,49 @@ def test_batches(spark, widgets):
         w.batch(rows, [mutate.Action("update", {"id": 1, "name": "x"}), mutate.Action("delete", {"id": 1})])
 
 
+def test_batches_on_one_key(spark, widgets):
+    table, rows = widgets
+    w, act = mutate.Writer(spark, table, now=NOW), mutate.Action
+    names = lambda *steps: {r.id: r.name for r in w.batch(rows, list(steps)).rows.collect()}
+    update, delete = lambda x: act("update", {"id": 1, "name": x}), act("delete", {"id": 1})
+    assert names(delete, update("z")) == names(update("z"), delete) == {2: "b"}
+    assert names(update("y"), update("z")) == names(update("z"), act("insert", {"id": 1, "name": "no"})) == {1: "z", 2: "b"}
+    assert names(act("insert", {"id": 5, "name": "n"}), act("update", {"id": 5, "name": "m"})) == {1: "a", 2: "b", 5: "m"}
+    replaced = w.batch(rows, [delete, act("insert", {"id": 1, "name": "new"})]).rows.filter("id = 1").first()
+    assert (replaced.name, replaced.version) == ("new", None)
+    for other in (update("z"), delete, act("insert", {"id": 1}), act("upsert", {"id": 1})):
+        for steps in ([act("upsert", {"id": 1}), other], [other, act("upsert", {"id": 1})]):
+            with pytest.raises(ModelError):
+                w.batch(rows, steps)
+
+
+def test_small_batches_do_not_shuffle_the_table(spark):
+    m = sample_model(spark, SF)
+    w = mutate.Writer(spark, m.table("orders"), now=NOW)
+    before = spark.read.parquet(f"{SF}/orders.parquet")
+    out = w.batch(before, [mutate.Action("update", {"o_orderkey": 1, "o_orderpriority": "x"}), mutate.Action("insert", {"o_orderkey": -1})])
+    for df in (out.rows, out.changes):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "Exchange hashpartitioning" not in plan
+    assert out.rows.count() == before.count() + 1 and out.changes.count() == 2
+    whole = w.apply(before, spark.createDataFrame([("update", ["o_orderpriority"], 1, "x")], "__op string, __set array<string>, o_orderkey long, o_orderpriority string").select("__op", "__set", *[F.col(c) if c in ("o_orderkey", "o_orderpriority") else F.lit(None).cast(k).alias(c) for c, k in before.dtypes]))
+    assert whole.rows.filter("o_orderpriority = 'x'").count() == 1
+
+
+def test_writes_stay_in_scope(spark, widgets):
+    table, rows = widgets
+    table.metadata["policy-row-scope"] = "state = {state}"
+    w = mutate.Writer(spark, table, Context({"state": "live"}), NOW)
+    steps = [mutate.Action("update", {"id": k, "name": "z"}) for k in (1, 2)] + [mutate.Action("insert", {"id": 3, "state": "draft"}), mutate.Action("insert", {"id": 4, "state": "live"})]
+    assert {r.id for r in w.batch(rows, steps).changes.collect()} == {2, 4}
+    assert w.update(rows, {"id": 2, "state": "draft"}).changes.count() == 0
+    with pytest.raises(AccessDenied):
+        mutate.Writer(spark, table, now=NOW).update(rows, {"id": 1, "name": "z"})
+    table.metadata = {"auto-filter": "version:versions"}
+    w = mutate.Writer(spark, table, Context({"versions": [5, 6]}), NOW)
+    assert w.delete(rows, {"id": 1}).changes.count() == 0
+
+
 def test_concurrency(spark, widgets):
     table, rows = widgets
     w = mutate.Writer(spark, table, now=NOW)
@@ -539,6 +623,19 @@ def test_tree_sync(spark):
     assert sorted((r.op, r.id) for r in out["lines"].collect()) == [("delete", 2), ("insert", 4)]
 
 
+def test_tree_sync_of_a_parent_without_children(spark):
+    orders = spark.createDataFrame([(1, "x"), (2, "y")], "id int, name string")
+    lines = spark.createDataFrame([(1, 1, 1.0), (2, 1, 2.0), (3, 2, 9.0)], "id int, order_id int, qty double")
+    parts = spark.createDataFrame([(7, 3)], "id int, line_id int")
+    kind = "id int, name string, lines array<struct<id:int,order_id:int,qty:int,parts:array<struct<id:int,line_id:int>>>>"
+    tree = spark.createDataFrame([(1, "x", []), (2, "y", [(3, 2, 9, [])])], kind)
+    levels = [("orders", ["id"], "", None), ("lines", ["id"], "lines", "order_id"), ("parts", ["id"], "lines.parts", "line_id")]
+    out = mutate.sync_tree({"orders": orders, "lines": lines, "parts": parts}, tree, levels)
+    assert out["orders"].count() == 0
+    assert sorted((r.op, r.id) for r in out["lines"].collect()) == [("delete", 1), ("delete", 2)]
+    assert [(r.op, r.id) for r in out["parts"].collect()] == [("delete", 7)]
+
+
 def test_undo_and_approval(spark, widgets):
     table, rows = widgets
     done = mutate.Writer(spark, table, now=NOW).batch(rows, [mutate.Action("update", {"id": 1, "name": "z"}), mutate.Action("insert", {"id": 7})])
@@ -563,6 +660,33 @@ def test_history(spark, widgets):
     assert {(r.op, r.before) for r in erased} == {("update", None), ("erase", None)}
 
 
+def test_history_of_any_key(spark):
+    rows = spark.createDataFrame([("é", 'a"b', 1), ("\u2028\U0001f600", "x", 2)], "a string, b string, n int")
+    m = Model()
+    table = m.add("t", rows, ("a", "b"))
+    changes = mutate.Writer(spark, table, now=NOW).batch(rows, [mutate.Action("update", {"a": r.a, "b": r.b, "n": None}) for r in rows.collect()]).changes
+    trail = history.trail(changes, "t", ["a", "b"], "me", NOW)
+    for r in rows.collect():
+        key = {"a": r.a, "b": r.b}
+        [found] = history.of_entity(trail, "t", key).collect()
+        assert '"n":null' in found.after
+        erased = history.erase(trail, "t", key, NOW)
+        assert history.of_entity(erased, "t", key).filter("before IS NULL").count() == 2 and erased.filter("before IS NOT NULL").count() == 1
+
+
+def test_outbox_payloads(spark):
+    rows = spark.createDataFrame([(1, "a", 7), (2, "b", 8)], "k int, name string, tenant int")
+    m = Model()
+    table = m.add("t", rows, ("k",))
+    changes = mutate.Writer(spark, table, now=NOW).batch(rows, [mutate.Action("update", {"k": 1, "name": None}), mutate.Action("delete", {"k": 2})]).changes
+    seen = {mode: {r.op: (r.payload, r.tenant) for r in history.outbox(changes, "t", ["k"], NOW, mode, "tenant").collect()} for mode in ("changed", "full", "keys")}
+    assert seen["changed"] == {"update": ('{"k":1,"name":null}', "7"), "delete": ('{"k":2}', "8")}
+    assert seen["full"] == {"update": ('{"k":1,"name":null,"tenant":7}', "7"), "delete": ('{"k":2,"name":"b","tenant":8}', "8")}
+    assert seen["keys"] == {"update": ('{"k":1}', "7"), "delete": ('{"k":2}', "8")}
+    with pytest.raises(ModelError):
+        history.outbox(changes, "t", [], NOW)
+
+
 def test_outbox_rounds(spark, widgets):
     table, rows = widgets
     changes = mutate.Writer(spark, table, now=NOW).batch(rows, [mutate.Action("update", {"id": k, "name": "z"}) for k in (1, 2)]).changes
