@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 
 from . import textscan
 from .langid import letters
-from .shared import Workspace, fitted, least_hashes, ship
+from .shared import ACTION, Workspace, fitted, least_hashes, setting, ship
 
-SAMPLE_DOCS = 12_000
-SAMPLE_BYTES = 32 << 20
+SAMPLE_DOCS = 8_000
+SAMPLE_BYTES = 16 << 20
 VOCABULARY = 5_000
 META = 1 << 15
 LEAST_DOCS = 5
@@ -63,9 +63,6 @@ class Rows:
         at = np.repeat(begin[rows] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
         return Rows(self.ids[at], count, self.dense[rows])
 
-    def join(self, other: Rows) -> Rows:
-        return Rows(*(np.concatenate([a, b]) for a, b in ((self.ids, other.ids), (self.count, other.count), (self.dense, other.dense))))
-
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
@@ -244,9 +241,11 @@ def train(labelled: pa.Table, known: tuple[np.ndarray, list[np.ndarray]] | None
         held = np.zeros(len(good), bool)  # too few to hold any back
     vocabulary = known[0] if known else _vocabulary(labelled.column("text"), good, held)
     odds = known[1] if known else [np.zeros(max(len(vocabulary), 1)), np.zeros(META)]
-    text = Rows(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 8)))
+    parts = [Rows(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros((0, 8)))]
     for part in _slices(labelled.column("text")):
-        text = text.join(text_rows(part, vocabulary))
+        found = text_rows(part, vocabulary)
+        parts.append(Rows(found.ids.astype(np.int32), found.count, found.dense))
+    text = Rows(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("ids", "count", "dense")))
     train_rows, back = np.flatnonzero(~held), np.flatnonzero(held) if held.any() else np.arange(len(good))
     model, logits = Model(vocabulary), []
     for own, by_other in zip((text, meta_rows(_columns(labelled))), odds):
@@ -306,7 +305,9 @@ def handed(docs: DataFrame, model: Model) -> list[np.ndarray]:
 
     table = inputs(docs)
     docs_columns = table.columns
-    sums = table.mapInArrow(run, "view int, feature int, bad long, good long").groupBy("view", "feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()
+    sums = table.mapInArrow(run, "view int, feature int, bad long, good long").groupBy("view", "feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    with setting(docs.sparkSession, ACTION):
+        sums = sums.toArrow()
     out, view = [], sums.column("view").to_numpy()
     for k, n in enumerate(sizes):
         counts = np.zeros((2, n), np.int64)

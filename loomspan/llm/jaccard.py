@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from . import textscan
 from .components import components
-from .shared import Workspace, small_enough
+from .shared import ACTION, Workspace, setting, small_enough
 
 SHINGLE = 4
 PERCENT = 85
@@ -130,7 +130,8 @@ def frequent_shingles(docs: DataFrame, size: int, percent: int, leaf: int, most:
     """Shingles whose regions would be large in the plain hash order, the ``most`` largest at most."""
     windows = sets_and_prefixes(docs, size, percent, np.zeros(0, U))
     counted = windows.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count("*").alias("n"))
-    top = counted.filter(F.col("n") > leaf).orderBy(F.desc("n"), "s").limit(most).select("s").toArrow()
+    with setting(docs.sparkSession, ACTION):
+        top = counted.filter(F.col("n") > leaf).orderBy(F.desc("n"), "s").limit(most).select("s").toArrow()
     return np.unique(top.column(0).to_numpy().view(U))
 
 

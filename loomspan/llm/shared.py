@@ -146,9 +146,11 @@ def fitted(sample: DataFrame, train: Callable[[pa.Table], object]) -> object:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = list(batches)
-        model = train(pa.Table.from_batches(rows) if rows else nothing)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        model = pickle.dumps(train(pa.Table.from_batches(rows) if rows else nothing))
+        rows.clear()
         give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
-    found = sample.coalesce(1).mapInArrow(run, "model binary").first()
+    with setting(sample.sparkSession, ACTION):
+        found = sample.coalesce(1).mapInArrow(run, "model binary").first()
     return pickle.loads(found.model) if found else train(nothing)
