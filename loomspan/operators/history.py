@@ -124,7 +124,8 @@ def delivered(events: DataFrame, results: DataFrame, now: dt.datetime) -> DataFr
     joined = events.join(results.select(F.col("id").alias("__id"), "ok"), F.col("id") == F.col("__id"), "left").drop("__id")
     failed = F.coalesce(~F.col("ok"), F.lit(False))
     wait = F.least(F.lit(LONGEST_WAIT.total_seconds()), F.pow(F.lit(2.0), F.col("attempts")) * FIRST_WAIT.total_seconds())
-    following = F.timestamp_add("SECOND", F.ceil(wait).cast("int"), F.lit(now).cast("timestamp_ntz"))
+    jitter = 0.5 + F.pmod(F.xxhash64("id", "attempts"), F.lit(1000)) / 2000
+    following = F.timestamp_add("MILLISECOND", F.ceil(wait * jitter * 1000).cast("int"), F.lit(now).cast("timestamp_ntz"))
     return joined.select(
         *[c for c in events.columns if c not in ("dispatched_at", "attempts", "dead", "next_at")],
         F.when(F.col("ok"), F.lit(now).cast("timestamp_ntz")).otherwise(F.col("dispatched_at")).alias("dispatched_at"),

@@ -190,3 +190,32 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     rows = windows.sessions(spark.read.parquet(f"{sf_dir}/events.parquet"), "30 minutes")
     return rows.groupBy("user_id").agg(F.count("*").alias("sessions"))
+
+
+@query("mutation_delete_where", "SELECT c_custkey, c_name, c_nationkey, c_mktsegment, c_acctbal FROM customer WHERE c_mktsegment <> 'BUILDING'")
+def _(spark, sf_dir):
+    w, before = writer(spark, sf_dir, "customer")
+    return w.delete_where(before, {"c_mktsegment": "BUILDING"}).rows.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal")
+
+
+@query("mutation_token", "SELECT c_custkey, CASE WHEN c_custkey = 1 THEN 'Renamed' ELSE c_name END AS c_name, CASE WHEN c_custkey = 1 THEN 1 + (SELECT c_nationkey FROM customer WHERE c_custkey = 1) ELSE c_nationkey END AS c_nationkey FROM customer")
+def _(spark, sf_dir):
+    w, before = writer(spark, sf_dir, "customer", rules={"concurrency-token": "c_nationkey"})
+    actions = before.filter("c_custkey = 1").withColumns({"c_name": F.lit("Renamed"), "__op": F.lit("update"), "__set": F.array(F.lit("c_name"), F.lit("c_nationkey"))})
+    return w.apply(before, actions, few=True).rows.select("c_custkey", "c_name", "c_nationkey")
+
+
+@query("mutation_state_machine", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'F' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def _(spark, sf_dir):
+    w, before = writer(spark, sf_dir, "orders", rules={"state-column": "o_orderstatus", "state-initial": "o", "state-transitions": "o->f; f->p"})
+    actions = before.filter("o_orderstatus = 'O'").withColumns({"o_orderstatus": F.lit("F"), "__op": F.lit("update"), "__set": F.array(F.lit("o_orderstatus"))})
+    return w.apply(before, actions).rows.select("o_orderkey", "o_orderstatus")
+
+
+@query("mutation_approved", "SELECT s_suppkey, CASE WHEN s_suppkey = 3 THEN 'Renamed' ELSE s_name END AS s_name FROM supplier")
+def _(spark, sf_dir):
+    w, before = writer(spark, sf_dir, "supplier")
+    changes = w.batch(before, [Action("update", {"s_suppkey": 3, "s_name": "Renamed"}), Action("delete", {"s_suppkey": 4})]).changes
+    queue = mutate.pending(changes, "supplier", "author", NOW)
+    queue = mutate.decided(queue, queue.select("id", (F.col("op") == "update").alias("approve"), F.lit("chief").alias("decider"), F.lit(NOW).alias("decided_at")))
+    return mutate.replay(before, mutate.approved(queue, before, ["s_suppkey"]), ["s_suppkey"]).select("s_suppkey", "s_name")

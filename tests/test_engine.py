@@ -787,3 +787,115 @@ def test_outbox_stream(spark, widgets, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         drain.drain(spark, str(tmp_path / "box"), box.schema, str(tmp_path / "state"), sink, "/shop", once=True).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_dispatcher_retries_in_key_order(spark, tmp_path):
+    rows = spark.createDataFrame([(k, "a") for k in (1, 2, 3)], "k int, name string")
+    table = Model().add("t", rows, ("k",))
+    changes = mutate.Writer(spark, table, now=NOW).batch(rows, [mutate.Action("update", {"k": k, "name": "z"}) for k in (1, 2, 3)]).changes
+    box = history.outbox(changes, "t", ["k"], NOW)
+    box = box.unionByName(box.withColumns({"created_at": F.lit(NOW + dt.timedelta(1)), "id": F.col("id") + 1}))
+    folder, work, seen, now = str(tmp_path / "box"), str(tmp_path / "work"), [], [NOW]
+
+    def deliver(envelopes, number):
+        """The second key's receiver is down."""
+        key = F.get_json_object("envelope", "$.subject")
+        seen.append(sorted(r[0] for r in envelopes.select(key).collect()))
+        return envelopes.select("id", (key != '{"k":2}').alias("ok"))
+
+    for step in range(7):
+        (box if not step else box.limit(1).withColumns({"id": F.lit(-1 - step).cast("long"), "key": F.lit('{"k":9}')})).write.mode("append").parquet(folder)
+        drain.dispatch(spark, folder, box.schema, work, deliver, "/shop", clock=lambda: now[0], once=True).awaitTermination(120)
+        now[0] += dt.timedelta(minutes=10)
+    one, two, three, nine = ('{"k":%d}' % k for k in (1, 2, 3, 9))
+    assert seen[0] == [one, two, three] and seen[1] == [one, two, three, nine] and seen[2:] == [[two, nine]] * 5
+    closed = spark.read.parquet(f"{work}/closed")
+    assert closed.filter("dead").count() == 1 and closed.filter("dispatched_at IS NOT NULL").count() == 4 + 6
+    assert [r.attempts for r in spark.read.parquet(f"{work}/open/6").collect()] == [2]
+
+
+def test_writer_holds_tokens_and_states(spark, widgets):
+    table, rows = widgets
+    act = mutate.Action
+    table.metadata.update({"concurrency-token": "version", "state-column": "state", "state-initial": "draft", "state-transitions": "draft->live[chief]; live->draft"})
+    w = mutate.Writer(spark, table, Context(roles=frozenset({"chief"})), NOW)
+    done = {r.id: (r.state, r.version) for r in w.batch(rows, [act("update", {"id": 1, "version": 1, "state": "Live"}), act("insert", {"id": 3, "state": "Draft"})]).rows.collect()}
+    assert done == {1: ("Live", 2), 2: ("live", 1), 3: ("Draft", None)}
+    with pytest.raises(ModelError):
+        w.update(rows, {"id": 1, "name": "x"})
+    full = rows.withColumn("version", F.lit((1 << 31) - 1))
+    plain = mutate.Writer(spark, table, now=NOW)
+    for bad, frame, who in (
+        ({"id": 1, "version": 2, "name": "x"}, rows, w),
+        ({"id": 9, "version": 1, "name": "x"}, rows, w),
+        ({"id": 1, "version": (1 << 31) - 1, "name": "x"}, full, w),
+        ({"id": 1, "version": 1, "state": "gone"}, rows, w),
+        ({"id": 1, "version": 1, "state": "live"}, rows, plain),
+    ):
+        with pytest.raises(Exception, match="conflict|at its end|state of"):
+            who.update(frame, bad).rows.collect()
+    with pytest.raises(Exception, match="state of"):
+        w.insert(rows, {"id": 4, "state": "live"}).changes.collect()
+
+
+def test_writer_seals_columns(spark):
+    rows = spark.createDataFrame([(1, None, None)], "id int, mail string, mail_token string")
+    table = Model().add("people", rows, ("id",))
+    table.columns["mail"].metadata.update({"encrypt": "true", "blind-index": "mail_token"})
+    keys = {1: b"k" * 32}
+    w = mutate.Writer(spark, table, now=NOW, keys=keys)
+    after = w.batch(rows, [mutate.Action("update", {"id": 1, "mail": "a@b"}), mutate.Action("insert", {"id": 2, "mail": "c@d"})]).rows
+    got = after.select("id", "mail", "mail_token", crypto.decrypt(F.col("mail"), keys, crypto.place(table.schema, "people", "mail")).alias("plain")).collect()
+    assert {r.id: (r.plain, r.mail_token) for r in got} == {1: ("a@b", crypto.blind_token("a@b", keys[1])), 2: ("c@d", crypto.blind_token("c@d", keys[1]))}
+    assert all(r.mail not in ("a@b", "c@d") for r in got)
+    with pytest.raises(ModelError):
+        mutate.Writer(spark, table).update(rows, {"id": 1, "mail": "x"})
+    with pytest.raises(AccessDenied):
+        w.update(rows, {"id": 1, "mail_token": "x"})
+
+
+def test_deletes_by_predicate_and_hard(spark):
+    rows = spark.createDataFrame([(1, "a", None, None), (2, "a", None, None), (3, None, None, None)], "id int, name string, gone timestamp_ntz, gone_by int")
+    table = Model().add("t", rows, ("id",))
+    w = mutate.Writer(spark, table, Context({"user_id": 7}), NOW)
+    assert [r.id for r in w.delete_where(rows, {"name": "a"}).rows.collect()] == [3]
+    assert [r.id for r in w.delete_where(rows, {"name": None}).changes.collect()] == [3]
+    plan = w.delete_where(rows, {"name": "a"}).rows._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    table.metadata.update({"soft-delete": "gone", "soft-delete-by": "gone_by", "soft-delete-hard-role": "janitor"})
+    marked = w.delete_where(rows, {"name": "a"}).rows.collect()
+    assert {r.id: (r.gone, r.gone_by) for r in marked} == {1: (NOW, 7), 2: (NOW, 7), 3: (None, None)}
+    with pytest.raises(AccessDenied):
+        w.delete(rows, {"id": 1}, hard=True)
+    with pytest.raises(ModelError):
+        w.delete_where(rows, {})
+    w = mutate.Writer(spark, table, Context({"user_id": 7}, roles=frozenset({"janitor"})), NOW)
+    out = w.delete(rows, {"id": 1}, hard=True)
+    assert sorted(r.id for r in out.rows.collect()) == [2, 3] and out.changes.first().after is None
+
+
+def test_rules_of_types(spark):
+    rows = spark.createDataFrame([(1, dt.date(2020, 1, 1), 3)], "id int, day date, n int").withColumns({"price": F.lit(1).cast("decimal(5,2)"), "raw": F.lit(b"abc")})
+    table = Model().add("t", rows, ("id",))
+    table.columns["day"].metadata["min"] = "2020-06-01"
+    table.columns["n"].metadata["step"] = "2"
+    table.columns["raw"].metadata["maxbytes"] = "2"
+    assert mutate.faults(rows, table).first().faults == ["day:min", "n:step", "raw:maxbytes"]
+    found = lambda name, value: [r for _, r in mutate.rule_faults(table.columns[name], value)]
+    assert found("day", dt.date(2020, 1, 1)) == ["min"] and found("raw", b"abc") == ["maxbytes"] and found("n", 1 << 31) == ["range"]
+    assert found("price", 1.234) == ["scale"] and found("price", 1000) == ["precision"] and found("price", 999.99) == [] and found("price", 100) == []
+
+
+def test_approvals(spark, widgets):
+    table, rows = widgets
+    done = mutate.Writer(spark, table, now=NOW).batch(rows, [mutate.Action("update", {"id": 1, "name": "z"}), mutate.Action("delete", {"id": 2}), mutate.Action("insert", {"id": 7})])
+    queue = mutate.pending(done.changes, "widgets", "me", NOW)
+    ids = {r.op: r.id for r in queue.collect()}
+    said = spark.createDataFrame([(ids["update"], True, "you", NOW), (ids["delete"], False, "you", NOW)], "id long, approve boolean, decider string, decided_at timestamp_ntz")
+    queue = mutate.decided(queue, said)
+    assert {r.op: (r.state, r.decider) for r in queue.collect()} == {"update": ("approved", "you"), "delete": ("rejected", "you"), "insert": ("pending", None)}
+    again = mutate.decided(queue, said.withColumns({"approve": ~F.col("approve"), "decider": F.lit("other")}))
+    assert {r.op: (r.state, r.decider) for r in again.collect()}["delete"] == ("rejected", "you")
+    after = mutate.replay(rows, mutate.approved(queue, rows, ["id"]), ["id"])
+    assert {r.id: r.name for r in after.collect()} == {1: "z", 2: "b"}
+    assert mutate.approved(queue, rows.withColumn("name", F.lit("moved")), ["id"]).count() == 0
