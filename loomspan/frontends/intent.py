@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.aggregate import Grouped, grouped
+from ..operators.mutate import Outcome, Writer
 from ..plans.compile import Compiler
 from ..plans.model import ModelError
 from ..plans.nodes import Query
@@ -57,3 +58,41 @@ def tools(documents: list[dict], compiler: Compiler):
         return call
 
     return {d["name"]: make(d) for d in documents}
+
+
+def write_tools(writers: dict[str, Writer]):
+    """``insert``, ``update`` and ``delete`` of one row, each (rows before, table, ...) to an outcome.
+
+    A row's ``id`` is its key: one value, a list by key column, or text ``a|b``.  All goes through the
+    table's writer, so that a row outside the caller's scope changes nothing.
+    """
+
+    def of(table):
+        if table not in writers:
+            raise ModelError(f"no writable table {table}")
+        return writers[table]
+
+    def key(writer, id):
+        names = list(writer.table.keys)
+        given = list(id) if isinstance(id, (list, tuple)) else id.split("|") if isinstance(id, str) and len(names) > 1 else [id]
+        if len(given) != len(names):
+            raise ModelError(f"{writer.table.name} has {len(names)} key columns")
+        whole = [isinstance(writer.table.columns[n].type, T.IntegralType) and isinstance(v, str) for n, v in zip(names, given)]
+        try:
+            return {n: int(v) if w else v for n, v, w in zip(names, given, whole)}
+        except ValueError as e:
+            raise ModelError(f"{id!r} is no key of {writer.table.name}") from e
+
+    def insert(before: DataFrame, table: str, values: dict) -> Outcome:
+        return of(table).insert(before, values)
+
+    def update(before: DataFrame, table: str, id, set: dict) -> Outcome:
+        own = key(of(table), id)
+        if not set or any(of(table).table.column(c).name in own for c in set):
+            raise ModelError("an update sets columns other than the key")
+        return of(table).update(before, own | set)
+
+    def delete(before: DataFrame, table: str, id) -> Outcome:
+        return of(table).delete(before, key(of(table), id))
+
+    return {"insert": insert, "update": update, "delete": delete}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import operator
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from pyspark.sql import types as T
 
 from ..operators.filters import literal
 from ..plans.compile import Compiler
-from ..plans.model import Table
+from ..plans.model import ModelError, Table
+from ..plans.nodes import Filter
 
 
 class LdapError(ValueError):
@@ -83,3 +85,57 @@ def search(compiler: Compiler, table: str, text: str, attributes: list[str]) ->
     compiler.policy.guard_read(target, set(attributes), compiler.context)
     compiler.policy.guard_read(target, set(re.findall(r"\(([\w-]+)(?:=|>=|<=|~=)", text)), compiler.context)
     return compiler.scan(target).filter(predicate(text, target)).select(*attributes)
+
+
+@dataclass
+class Entries:
+    """A family of entries: a table's rows, named ``attribute=column,base``."""
+
+    table: str
+    attribute: str
+    column: str
+    base: str
+    filter: Filter | None = None
+
+    def named(self, compiler: Compiler, key: str, alias: str) -> DataFrame:
+        """(key, name) of the entries that the caller may see."""
+        table = compiler.model.table(self.table)
+        compiler.policy.guard_read(table, {self.column, key}, compiler.context)
+        value = F.regexp_replace(F.col(table.column(self.column).name).cast("string"), r'([,+"\\<>;=])|^([ #])| $', r"\\$0")
+        name = F.concat(F.lit(f"{self.attribute}="), value, F.lit(f",{self.base}"))
+        return compiler.scan(table, self.filter).select(F.col(key).alias(f"__{alias}"), name.alias(alias))
+
+
+def members(compiler: Compiler, groups: Entries, relationship: str, people: Entries) -> DataFrame:
+    """(dn, member): a row for each member of each group, through a junction or of children.
+
+    Both sides are what the caller may see.  Groups of any size stay spread over rows.
+    """
+    table = compiler.model.table(groups.table)
+    if relationship in table.many_links:
+        link = table.many_links[relationship]
+        pairs = _pairs(compiler, link)
+        found = pairs.join(groups.named(compiler, link.source_column, "dn"), F.col("__source") == F.col("__dn"))
+        return found.join(people.named(compiler, link.target_column, "member"), F.col("__target") == F.col("__member")).select("dn", "member")
+    link = table.multi_links.get(relationship)
+    if link is None or len(link.parent_columns) > 1:
+        raise ModelError(f"no membership {relationship}")
+    found = groups.named(compiler, link.parent_columns[0], "dn")
+    return found.join(people.named(compiler, link.child_columns[0], "member"), F.col("__dn") == F.col("__member")).select("dn", "member")
+
+
+def member_of(compiler: Compiler, people: Entries, groups: Entries, relationship: str) -> DataFrame:
+    """(dn, memberOf): a row for each group of each entry, the other way through the groups' junction.
+
+    Children carry their one parent themselves, and publish none.
+    """
+    link = compiler.model.table(groups.table).many_links.get(relationship)
+    if link is None or link.target != compiler.model.table(people.table).name:
+        raise ModelError(f"no junction {relationship}")
+    found = _pairs(compiler, link).join(people.named(compiler, link.target_column, "dn"), F.col("__target") == F.col("__dn"))
+    return found.join(groups.named(compiler, link.source_column, "memberOf"), F.col("__source") == F.col("__memberOf")).select("dn", "memberOf")
+
+
+def _pairs(compiler: Compiler, link) -> DataFrame:
+    junction = compiler.scan(compiler.model.table(link.junction))
+    return junction.select(F.col(link.junction_source).alias("__source"), F.col(link.junction_target).alias("__target")).distinct()

@@ -10,15 +10,17 @@ from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import text
-from ..operators import filters
+from ..functions import local, text
+from ..operators import filters, keys
 from ..plans.compile import Compiler
 from ..plans.model import ModelError
-from ..plans.nodes import And, Cmp, Filter, Or, Query, both
+from ..plans.nodes import UNLIMITED, And, Cmp, Filter, Or, Query, both
 
 #: Caps of list requests.
 MOST_DEPTH, MOST_PREDICATES, MOST_IN, MOST_SORTS = 32, 500, 200, 32
+MOST_TOKEN = 4096
 LIST_OPS = {"eq": "_eq", "neq": "_neq", "lt": "_lt", "lte": "_lte", "gt": "_gt", "gte": "_gte", "in": "_in", "contains": "_contains", "starts_with": "_starts_with", "null": "_null"}
 #: Rows of a cursor's page: by default, and at most.
 CURSOR_ROWS, MOST_CURSOR_ROWS = 25, 200
@@ -43,43 +45,88 @@ def list_filter(node: dict, table, depth: int = 0, count: list | None = None) ->
     return filters.comparison(column.name, LIST_OPS[node["op"]], node.get("value"), column.type)
 
 
-def token(offset: int, request: dict, secret: bytes) -> str:
-    """Where the next page begins, bound to its request."""
-    body = json.dumps({"offset": offset, "request": request}, sort_keys=True).encode()
-    return base64.urlsafe_b64encode(hmac.new(secret, body, hashlib.sha256).digest() + str(offset).encode()).decode()
+def token(place: int | list, request: dict, secret: bytes) -> str:
+    """Where the next page begins, by offset or by the last row's values, bound to its request."""
+    body = json.dumps({"place": place, "request": request}, sort_keys=True, default=str).encode()
+    return base64.urlsafe_b64encode(hmac.new(secret, body, hashlib.sha256).digest() + json.dumps(place).encode()).decode()
 
 
-def offset_of(page_token: str, request: dict, secret: bytes) -> int:
-    raw = base64.urlsafe_b64decode(page_token.encode())
-    offset = int(raw[32:])
-    if not hmac.compare_digest(token(offset, request, secret), page_token):
+def place_of(page_token: str, request: dict, secret: bytes) -> int | list:
+    if len(page_token) > MOST_TOKEN:
+        raise ModelError("the page token is too long")
+    try:
+        place = json.loads(base64.urlsafe_b64decode(page_token.encode())[32:])
+    except ValueError as e:
+        raise ModelError("bad page token") from e
+    if not hmac.compare_digest(token(place, request, secret), page_token):
         raise ModelError("the page token is of another request")
-    return offset
+    return place
 
 
 def list_rows(compiler: Compiler, request: dict, secret: bytes, page_token: str = "") -> tuple[DataFrame, str]:
     """A page, and the token of the page behind it."""
+    offset = place_of(page_token, request, secret) if page_token else 0
+    size = request.get("page_size", 100)
+    return _listed(compiler, request, size, offset), token(offset + size, request, secret)
+
+
+def stream_rows(compiler: Compiler, request: dict) -> DataFrame:
+    """All rows of a list request, whatever its page."""
+    return _listed(compiler, request, UNLIMITED, 0)
+
+
+def get_row(compiler: Compiler, table: str, key: list, fields: list[str] | None = None) -> DataFrame:
+    """The row of a key, or none."""
+    target = compiler.model.table(table)
+    return compiler.flat(Query(table, fields or [], filter=filters.primary_key(target, key)))
+
+
+def _listed(compiler: Compiler, request: dict, size: int, offset: int) -> DataFrame:
     table = compiler.model.table(request["table"])
     if len(request.get("sort", [])) > MOST_SORTS:
         raise ModelError("too many sort keys")
-    offset = offset_of(page_token, request, secret) if page_token else 0
-    size = request.get("page_size", 100)
     part = list_filter(request["filter"], table) if request.get("filter") else None
-    rows = compiler.flat(Query(table.name, request.get("fields", []), filter=part, sort=request.get("sort", []), limit=size, offset=offset))
-    return rows, token(offset + size, request, secret)
+    return compiler.flat(Query(table.name, request.get("fields", []), filter=part, sort=request.get("sort", []), limit=size, offset=offset))
 
 
 def cursor_rows(compiler: Compiler, table: str, columns: list[str], secret: bytes, cursor: str = "", size: int = CURSOR_ROWS, document: dict | None = None, sort: list[str] | None = None) -> tuple[DataFrame, str]:
     """A page by filter document, and the cursor of the page behind it."""
     target = compiler.model.table(table)
     request = {"table": table, "columns": columns, "filter": document, "sort": sort}
-    offset = offset_of(cursor, request, secret) if cursor else 0
+    offset = place_of(cursor, request, secret) if cursor else 0
     size = max(1, min(size, MOST_CURSOR_ROWS))
     part = filters.parse(document, compiler.model, target) if document else None
     rows = compiler.flat(Query(table, columns, filter=part, sort=sort or [], limit=size, offset=offset))
     return rows, token(offset + size, request, secret)
 
 
+def seek_rows(compiler: Compiler, table: str, columns: list[str], secret: bytes, cursor: str = "", size: int = CURSOR_ROWS, document: dict | None = None, sort: list[str] | None = None) -> tuple[DataFrame, str]:
+    """A page by filter document, and the cursor of the page behind it, empty at the end.
+
+    A cursor is the last row's place in the order, so that no page sorts or skips what is
+    before it.  A page has at most ``MOST_CURSOR_ROWS`` rows and is read at once, as its cursor
+    is in it.
+    """
+    target = compiler.model.table(table)
+    if not target.keys:
+        raise ModelError(f"{target.name} has no key")
+    request = {"table": table, "columns": columns, "filter": document, "sort": sort, "seek": True}
+    size = max(1, min(size, MOST_CURSOR_ROWS))
+    query = Query(table, columns, filter=filters.parse(document, compiler.model, target) if document else None)
+    order = [(target.column(t.rpartition("_")[0]).name, t.endswith("_desc")) for t in sort or []]
+    order += [(k, False) for k in target.keys if k not in dict(order)]
+    rows = compiler.rows(query)
+    if cursor:
+        values = [None if v is None else F.lit(v).cast(target.columns[n].type) for (n, _), v in zip(order, place_of(cursor, request, secret))]
+        rows = rows.filter(keys.beyond([(F.col(n), down) for n, down in order], values))
+    rows = rows.orderBy(*compiler.order(target, sort or [])).limit(size + 1)
+    shown = compiler.project(target, query)
+    rows = rows.select(*shown, F.array(*[F.col(n).cast("string") for n, _ in order]).alias("__place"))
+    found = rows.collect()
+    page = local.frame(rows.sparkSession, [tuple(r)[: len(shown)] for r in found[:size]], T.StructType(rows.schema.fields[: len(shown)]))
+    return page, token(found[size - 1]["__place"], request, secret) if len(found) > size else ""
+
+
 def feed(compiler: Compiler, table: str, when: str, columns: list[str], since=None, limit: int = FEED_ITEMS, part: Filter | None = None) -> DataFrame:
     """Newest rows first, ties by key."""
     target = compiler.model.table(table)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import re
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
 
@@ -15,6 +16,8 @@ from ..plans.nodes import And, Cmp, Filter, Or, Query
 DEFAULT_PAGE, MOST_PAGE = 100, 1000
 OPS = {"eq": "_eq", "ne": "_neq", "lt": "_lt", "le": "_lte", "gt": "_gt", "ge": "_gte"}
 OPPOSITE = {"_eq": "_neq", "_neq": "_eq", "_lt": "_gte", "_gte": "_lt", "_gt": "_lte", "_lte": "_gt", "_in": "_nin", "_nin": "_in", "_contains": "_ncontains", "_ncontains": "_contains"}
+#: Fixed: the entity data model's name of each scalar; all others are texts.
+EDM = {"Short": "Edm.Int16", "Int": "Edm.Int32", "BigInt": "Edm.Int64", "Decimal": "Edm.Decimal", "Float": "Edm.Double", "Boolean": "Edm.Boolean", "DateTime": "Edm.DateTimeOffset", "DateTimeOffset": "Edm.DateTimeOffset"}
 TOKEN = re.compile(r"\s+|(?P<text>'(?:[^']|'')*')|(?P<number>-?\d+(?:\.\d+)?)|(?P<name>[A-Za-z_][\w.]*)|(?P<mark>[(),])")
 
 
@@ -158,6 +161,26 @@ def execute(compiler: Compiler, entity: str, options: dict[str, str]) -> DataFra
     return compiler.nested(query)
 
 
+def metadata(compiler: Compiler) -> str:
+    """``$metadata``: entity types with keys, properties and navigations, as far as the caller may see them."""
+    sets, types = [], []
+    shown = compiler.policy.visible(compiler.model.overview(), compiler.context)
+    names = {entry["table"] for entry in shown}
+    for entry in shown:
+        table = compiler.model.table(entry["table"])
+        keyed = "".join(f'<PropertyRef Name="{escape(k)}"/>' for k in entry["keys"])
+        lines = [f"<Key>{keyed}</Key>"] if keyed else []
+        lines += [f'<Property Name="{escape(c["name"])}" Type="{EDM.get(c["scalar"], "Edm.String")}" Nullable="{str(c["nullable"] and not c["is_key"]).lower()}"/>' for c in entry["columns"]]
+        ends = {n: f"Main.{x.parent}" for n, x in table.single_links.items() if x.parent in names}
+        ends |= {n: f"Collection(Main.{x.child})" for n, x in table.multi_links.items() if x.child in names}
+        lines += [f'<NavigationProperty Name="{escape(n)}" Type="{escape(kind)}"/>' for n, kind in sorted(ends.items())]
+        types.append(f'<EntityType Name="{escape(table.name)}">{"".join(lines)}</EntityType>')
+        if keyed:
+            sets.append(f'<EntitySet Name="{escape(table.name)}" EntityType="Main.{escape(table.name)}"/>')
+    schema = f'<Schema Namespace="Main" xmlns="http://docs.oasis-open.org/odata/ns/edm">{"".join(types)}<EntityContainer Name="Container">{"".join(sets)}</EntityContainer></Schema>'
+    return f'<?xml version="1.0" encoding="utf-8"?><edmx:Edmx Version="4.0" xmlns:edmx="http://docs.oasis-open.org/odata/ns/edmx"><edmx:DataServices>{schema}</edmx:DataServices></edmx:Edmx>'
+
+
 def page(compiler: Compiler, entity: str, options: dict[str, str]) -> Page:
     """With the total that ``$count`` asks for."""
     return compiler.page(tree(options, compiler, entity))

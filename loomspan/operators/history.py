@@ -6,6 +6,7 @@ import datetime as dt
 import random
 import re
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -227,8 +228,9 @@ class Workflow:
                 taken = next((c["steps"] for c in settings["cases"] if "equals" not in c or c["equals"][0] == c["equals"][1]), [])
                 self._run(taken, state, roles, log)
             elif kind == "parallel":
-                for group in settings["groups"]:
-                    self._run(group, state, roles, log)
+                with ThreadPoolExecutor(max(1, len(settings["groups"]))) as pool:  # Spark takes jobs of several threads
+                    for done in [pool.submit(self._run, group, state, roles, log) for group in settings["groups"]]:
+                        done.result()
             elif kind == "policy-check":
                 if settings["role"] not in roles:
                     raise AccessDenied(settings["role"])

@@ -25,6 +25,19 @@ def after(keys: list[Column], values: list) -> Column:
     return functools.reduce(operator.or_, tests)
 
 
+def beyond(order: list[tuple[Column, bool]], values: list[Column | None]) -> Column:
+    """Rows behind a place in an order of (column, descending); nulls are first ascending, and last descending."""
+    tests = []
+    for n, ((column, down), value) in enumerate(zip(order, values)):
+        equal = [c.isNull() if v is None else c == v for (c, _), v in zip(order[:n], values[:n])]
+        if value is None:
+            behind = F.lit(False) if down else column.isNotNull()
+        else:
+            behind = (column < value) | column.isNull() if down else column > value
+        tests.append(functools.reduce(operator.and_, [*equal, behind]))
+    return functools.reduce(operator.or_, tests)
+
+
 def keyset_page(compiler: Compiler, table: Table, size: int, start: list | None = None, columns: list[str] | None = None) -> DataFrame:
     """Up to ``size + 1`` rows in key order behind the key ``start``; the last one tells that there are more."""
     if not table.keys:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog_core, catalog_fronts, catalog_writes  # noqa: F401  (they register themselves)
+from . import catalog_core, catalog_fronts, catalog_surfaces, catalog_writes  # noqa: F401  (they register themselves)
 from .registry import ORACLES, QUERIES
 
 

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
+import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +23,7 @@ DATABASES = {
     "postgresql": ("org.postgresql.Driver", "jdbc:postgresql://"),
     "mysql": ("com.mysql.cj.jdbc.Driver", "jdbc:mysql://"),
     "sqlite": ("org.sqlite.JDBC", "jdbc:sqlite:"),
+    "derby": ("org.apache.derby.iapi.jdbc.AutoloadedDriver", "jdbc:derby:"),  # comes with Spark
 }
 FORMATS = ("parquet", "orc", "json", "csv")
 
@@ -46,6 +53,12 @@ def read_jdbc(spark: SparkSession, database: str, address: str, table: str, **mo
     return spark.read.format("jdbc").options(**jdbc_options(database, address, table, **more)).load()
 
 
+def write_jdbc(df: DataFrame, database: str, address: str, table: str, mode: str = "error", **more: str) -> None:
+    """Rows into a table of a database, one connection a partition."""
+    options = jdbc_options(database, address, table, **more)
+    df.write.format("jdbc").mode(mode).options(**options).save()
+
+
 def model_of_folder(spark: SparkSession, folder: str, tables: dict[str, tuple[str, ...]], kind: str = "parquet") -> Model:
     """A model of files named after their tables, with the keys given and links by name."""
     model = Model()
@@ -81,6 +94,40 @@ def blobs(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     return rows.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"), "content")
 
 
+def write_blobs(rows: DataFrame, folder: str, name: str, content: str) -> DataFrame:
+    """(name, digest, bytes): each content as a file of its SHA-256, in any file system that Arrow can reach.
+
+    Files are written when the result is computed.  Equal contents are one file, and a repeated
+    task leaves the same; a null content has none.  Folders of several hosts must be shared ones.
+    """
+    uri = re.sub("^file:/+", "/", folder.rstrip("/"))
+    kind = T.StructType([rows.schema[name], T.StructField("digest", T.StringType()), T.StructField("bytes", T.LongType())])
+
+    def run(batches):
+        system, root = fs.FileSystem.from_uri(uri)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            digests = []
+            for value in batch.column(1):
+                blob = value.as_buffer()
+                digests.append(None if blob is None else hashlib.sha256(blob).hexdigest())
+                if blob is not None:
+                    part = f"{root}/_{uuid.uuid4().hex}"
+                    with system.open_output_stream(part) as out:
+                        out.write(blob)
+                    system.move(part, f"{root}/{digests[-1]}")
+            sizes = pc.cast(pc.binary_length(batch.column(1)), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string()), sizes], names=[name, "digest", "bytes"])
+
+    return rows.select(name, content).mapInArrow(run, kind)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_loomspan_files"
+    return f"{base.rstrip('/')}/loomspan/{name}-{uuid.uuid4().hex[:12]}"
+
+
 class Procedures:
     """Named table functions with checked parameters."""
 

@@ -899,3 +899,115 @@ def test_approvals(spark, widgets):
     after = mutate.replay(rows, mutate.approved(queue, rows, ["id"]), ["id"])
     assert {r.id: r.name for r in after.collect()} == {1: "z", 2: "b"}
     assert mutate.approved(queue, rows.withColumn("name", F.lit("moved")), ["id"]).count() == 0
+
+
+# Lists, memberships, tools and sinks
+
+
+def test_seek_reads_all_rows_once(spark):
+    rows = spark.createDataFrame([(i, None if i % 3 == 0 else i % 4, float(i % 2) if i % 5 else None) for i in range(23)], "id int, a int, b double")
+    m = Model()
+    m.add("t", rows, ("id",))
+    for sort in (["a_asc"], ["a_desc"], ["b_desc", "a_asc"], ["a_asc", "b_desc", "id_desc"]):
+        c, seen, cursor = Compiler(m), [], ""
+        while True:
+            page, cursor = listing.seek_rows(c, "t", ["id"], b"s", cursor, size=4, sort=sort)
+            seen += [r.id for r in page.collect()]
+            if not cursor:
+                break
+        assert seen == [r.id for r in c.flat(Query("t", ["id"], sort=sort, limit=UNLIMITED)).collect()]
+    _, cursor = listing.seek_rows(c, "t", ["id"], b"s", size=4)
+    for other in ({"size": 4, "sort": ["a_asc"]}, {"document": {"a": {"_eq": 1}}}):
+        with pytest.raises(ModelError):
+            listing.seek_rows(c, "t", ["id"], b"s", cursor, **other)
+    for bad in ("x", "a" * 5000, cursor[:-6]):
+        with pytest.raises(ModelError):
+            listing.seek_rows(c, "t", ["id"], b"s", bad, size=4)
+    assert listing.seek_rows(c, "t", ["id"], b"s", document={"a": {"_eq": 9}})[1] == ""
+
+
+def test_get_and_stream(star):
+    c = Compiler(star)
+    assert listing.get_row(c, "region", [3]).first().r_regionkey == 3
+    assert listing.get_row(c, "region", [99]).count() == 0
+    with pytest.raises(ModelError):
+        listing.list_rows(c, {"table": "orders", "sort": ["o_orderkey_asc"] * 33}, b"s")
+    assert listing.stream_rows(c, {"table": "orders", "page_size": 2}).count() == star.frame(star.table("orders")).count()
+
+
+def test_memberships(spark, blog):
+    c = Compiler(blog)
+    blog.replace("tags", spark.createDataFrame([(1, "a,b"), (2, "#c"), (3, 'd"\\ ')], "id int, name string"))
+    posts, tags = ldap.Entries("posts", "cn", "id", "ou=posts"), ldap.Entries("tags", "uid", "name", "ou=tags")
+    found = {tuple(r) for r in ldap.members(c, posts, "tags", tags).collect()}
+    assert ("cn=1,ou=posts", "uid=a\\,b,ou=tags") in found and ("cn=2,ou=posts", "uid=\\#c,ou=tags") in found and len(found) == 5
+    assert ("cn=1,ou=posts", 'uid=d\\"\\\\\\ ,ou=tags') in found
+    assert {(b, a) for a, b in found} == {tuple(r) for r in ldap.member_of(c, tags, posts, "tags").collect()}
+    mine = ldap.Entries("posts", "cn", "id", "ou=posts", Cmp("id", "_eq", 1))
+    assert ldap.members(c, mine, "tags", tags).count() == 3 == ldap.member_of(c, tags, mine, "tags").count()
+    assert ldap.members(c, ldap.Entries("blogs", "cn", "id", "ou=b"), "posts", posts).count() == 4
+    for wrong in ("blogs", "nothing"):
+        with pytest.raises(ModelError):
+            ldap.members(c, posts, wrong, tags)
+    with pytest.raises(ModelError):
+        ldap.member_of(c, posts, ldap.Entries("blogs", "cn", "id", "ou=b"), "posts")
+    blog.table("tags").metadata["policy-read-deny"] = "name"
+    with pytest.raises(AccessDenied):
+        ldap.members(c, posts, "tags", tags)
+
+
+def test_odata_metadata(spark):
+    import xml.etree.ElementTree as ET
+
+    star = sample_model(spark, SF)
+    star.table("supplier").metadata["visibility"] = "hidden"
+    text = odata.metadata(Compiler(star))
+    assert ET.fromstring(text.split("?>", 1)[1]) is not None
+    assert 'Name="supplier"' not in text and "Main.supplier" not in text
+    assert '<NavigationProperty Name="customer" Type="Main.customer"/>' in text and 'Type="Collection(Main.orders)"' in text
+    assert '<EntitySet Name="orders"' in text and '<EntitySet Name="lineitem"' not in text
+
+
+def test_write_tools(spark):
+    table = Model().add("t", spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "k int, l string, v string"), ("k", "l"))
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "k int, l string, v string")
+    calls = intent.write_tools({"t": mutate.Writer(spark, table)})
+    assert calls["update"](rows, "t", id="1|a", set={"v": "z"}).changes.count() == 1
+    assert calls["update"](rows, "t", id=[1, "b"], set={"v": "z"}).changes.count() == 0
+    assert [tuple(r) for r in calls["delete"](rows, "t", id=[2, "b"]).rows.collect()] == [(1, "a", "x")]
+    assert calls["insert"](rows, "t", values={"k": 3, "l": "c"}).rows.count() == 3
+    for bad in (lambda: calls["update"](rows, "t", id="1", set={"v": "z"}), lambda: calls["update"](rows, "t", id="q|a", set={"v": "z"}), lambda: calls["update"](rows, "t", id="1|a", set={"l": "z"}), lambda: calls["delete"](rows, "u", id=1)):
+        with pytest.raises(ModelError):
+            bad()
+
+
+def test_database_round_trip(spark, star, tmp_path):
+    rows = star.frame(star.table("customer"))
+    address = f"{tmp_path}/db;create=true"
+    tables.write_jdbc(rows.repartition(2), "derby", address, "customer")
+    back = tables.read_jdbc(spark, "derby", address, "customer", partition=("c_custkey", 0, 150, 3))
+    assert back.rdd.getNumPartitions() == 3
+    assert sorted(tuple(r) for r in back.select(*[F.col(c) for c in rows.columns]).collect()) == sorted(tuple(r) for r in rows.collect())
+    few = back.filter("c_custkey < 10")
+    assert few.count() == rows.filter("c_custkey < 10").count()
+    assert "PushedFilters: [*IsNotNull(c_custkey), *LessThan(c_custkey,10)]" in few._jdf.queryExecution().toString()
+
+
+def test_blob_sink(spark, tmp_path):
+    rows = spark.createDataFrame([("a", b"\0\1"), ("b", b"\0\1"), ("c", None), ("d", b"")], "name string, content binary")
+    stored = {r.name: r for r in tables.write_blobs(rows, str(tmp_path / "blobs"), "name", "content").collect()}
+    assert stored["a"].digest == stored["b"].digest and stored["c"].digest is None and stored["c"].bytes is None and stored["d"].bytes == 0
+    assert sorted(p.name for p in (tmp_path / "blobs").iterdir()) == sorted({stored["a"].digest, stored["d"].digest})
+
+
+def test_parallel_steps_fail_together():
+    def step(settings, state):
+        if settings["name"] == "bad":
+            raise ModelError("bad")
+        return settings["name"]
+
+    groups = [[("step", {"name": "x"}), ("step", {"name": "y"})], [("step", {"name": "z"})]]
+    state = history.Workflow([("parallel", {"groups": groups})], {"step": step}).run({})
+    assert [state[n] for n in "xyz"] == list("xyz")
+    with pytest.raises(ModelError):
+        history.Workflow([("parallel", {"groups": [*groups, [("step", {"name": "bad"})]]})], {"step": step}).run({})
