@@ -138,27 +138,29 @@ def _(spark, sf_dir):
 # Introspection and what a caller sees of it
 
 SCALARS = "CASE data_type WHEN 'BIGINT' THEN 'BigInt' WHEN 'INTEGER' THEN 'Int' WHEN 'DOUBLE' THEN 'Float' WHEN 'TIMESTAMP' THEN 'DateTime' ELSE 'String' END"
-STARS = "('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events')"
+NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+STARS = str(NAMES)
+DESCRIBED = "(" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, column_name, column_type AS data_type FROM (DESCRIBE {t})" for t in NAMES) + ")"
 
 
 def _columns(spark, overview):
-    rows = [(t["table"], c["name"], c["scalar"]) for t in overview for c in t["columns"] if f"'{t['table']}'" in STARS]
+    rows = [(t["table"], c["name"], c["scalar"]) for t in overview for c in t["columns"] if t["table"] in NAMES]
     return local.frame(spark, rows, "table string, column string, scalar string")
 
 
-@query("introspection_all", f'SELECT table_name AS "table", column_name AS "column", {SCALARS} AS scalar FROM information_schema.columns WHERE table_name IN {STARS}')
+@query("introspection_all", f'SELECT table_name AS "table", column_name AS "column", {SCALARS} AS scalar FROM {DESCRIBED}')
 def _(spark, sf_dir):
     found = tables.introspection(spark, compiler(spark, sf_dir).model)
     return found.filter(F.expr(f"table IN {STARS}")).select("table", "column", "scalar")
 
 
-@query("introspection_visible", f"SELECT table_name AS \"table\", column_name AS \"column\", {SCALARS} AS scalar FROM information_schema.columns WHERE table_name IN {STARS} AND table_name <> 'supplier' AND column_name <> 'c_acctbal'")
+@query("introspection_visible", f"SELECT table_name AS \"table\", column_name AS \"column\", {SCALARS} AS scalar FROM {DESCRIBED} WHERE table_name <> 'supplier' AND column_name <> 'c_acctbal'")
 def _(spark, sf_dir):
     c = compiler(spark, sf_dir, rules={"supplier": {"visibility": "hidden"}, "customer": {"policy-read-deny": "c_acctbal"}})
     return _columns(spark, c.policy.visible(c.model.overview(), c.context))
 
 
-@query("odata_metadata", f"SELECT table_name AS entity, column_name AS property, CASE data_type WHEN 'BIGINT' THEN 'Edm.Int64' WHEN 'INTEGER' THEN 'Edm.Int32' WHEN 'DOUBLE' THEN 'Edm.Double' WHEN 'TIMESTAMP' THEN 'Edm.DateTimeOffset' ELSE 'Edm.String' END AS type FROM information_schema.columns WHERE table_name IN {STARS}")
+@query("odata_metadata", f"SELECT table_name AS entity, column_name AS property, CASE data_type WHEN 'BIGINT' THEN 'Edm.Int64' WHEN 'INTEGER' THEN 'Edm.Int32' WHEN 'DOUBLE' THEN 'Edm.Double' WHEN 'TIMESTAMP' THEN 'Edm.DateTimeOffset' ELSE 'Edm.String' END AS type FROM {DESCRIBED}")
 def _(spark, sf_dir):
     document = local.frame(spark, [(odata.metadata(compiler(spark, sf_dir)),)], "xml string")
     entity = F.expr("explode(regexp_extract_all(xml, '(?s)<EntityType .*?</EntityType>', 0))")
