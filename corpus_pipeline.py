@@ -3,6 +3,13 @@
 Each stage takes the documents that the stage before it kept, and all but the last return
 documents with the same columns.  ``run`` writes each stage's result to the shared folder
 and reads it back, so that a lost executor costs one stage at most.
+
+What odd rows come to, at any stage: a null or empty text is linked with nothing, hit by nothing
+and masked nowhere, and ends as one piece of one id; texts of any length are read whole.  Without
+labels of both kinds the classifier rejects nothing.  Rows equal in id and text become one; of rows that
+share an id (nulls count as one id) but not their text, those stay in the second stage whose id any linked
+group keeps.  A tie at a threshold counts as linked, hit or kept.  Empty tables give empty results, and
+columns of other names, clashing ones included, are carried through to the last stage.
 """
 
 from __future__ import annotations
@@ -30,8 +37,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Links are at a similarity of 0.8 or more over shingles of five words.
     """
     stay = jaccard.linked(docs, size=SHINGLE, percent=PERCENT).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = stay.select(F.col("doc_id").alias("__stays")).distinct()
-    kept = docs.join(stay.hint("merge"), docs.doc_id.eqNullSafe(F.col("__stays")), "left_semi")
+    stay = stay.select(F.col("doc_id").alias("stays")).distinct().hint("merge")
+    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["stays"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]) if jaccard.repeats_ids(docs) else kept
 
 
@@ -42,10 +49,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     key = F.xxhash64("doc_id", "text")
     found = decontam.contamination(docs.select(key.alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
-    hit = Workspace(spark, "contaminated").table(found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("__hit")).distinct(), "ids")
+    hit = Workspace(spark, "contaminated").table(found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("hit")).distinct(), "ids")
     if small_enough(hit, MOST_BROADCAST_IDS):
         hit = F.broadcast(hit)
-    return docs.join(hit, key == F.col("__hit"), "left_anti")
+    return docs.join(hit, key == hit["hit"], "left_anti")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
