@@ -777,3 +777,44 @@ def test_pipeline_decontaminates_rows_not_ids(spark):
     assert kept.columns == docs.columns
     found = collections.Counter((r.doc_id, r.text) for r in kept.collect())
     assert found == collections.Counter((i, t) for i, t in rows if item not in (t or ""))
+
+
+def tables_of(spark, folder, docs, labels, items):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, component_id long, spans string, h long, size long, piece int, sequence_id long, hit string, stays string"
+
+
+def test_pipeline_of_odd_rows(spark, corpus, tmp_path):
+    import corpus_pipeline
+
+    passage = "one two three four five six seven eight nine ten eleven"
+    texts = [*corpus[:12], *corpus[-6:-2], f"before {passage} after"]
+    rows = [*enumerate(texts), *[(3, texts[3])] * 3, (None, None), (None, ""), (None, "null id alone here with six words"), (2000, None), (2001, ""), (2002, " \n")]
+    wide = [(i, t, None, None, None, 1, "x", 2, 3, 4, 5, "y", "z") for i, t in rows]
+    docs = spark.createDataFrame(wide, CLASHING).repartition(3)
+    folder = tables_of(spark, tmp_path / "odd", docs, [(None, 5, 0), (1, None, None)], [(1, passage), (2, None), (3, "")])
+    groups = linked_by_force([t for _, t in rows], 5, 80)
+    firsts = {root for n, (_, root) in groups.items()}
+    stay = {(i, t) for n, (i, t) in enumerate(rows) if n in firsts}
+    want = collections.Counter((i, t) for i, t in stay if passage not in (t or ""))
+    kept = docs
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.decontaminate):
+        kept = stage(spark, kept, folder)
+        assert kept.columns == docs.columns
+    assert collections.Counter((r.doc_id, r.text) for r in kept.select("doc_id", "text").collect()) == want
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = docs_of(spark, ["x"]).limit(0)
+    folder = tables_of(spark, tmp_path / "none", docs, [], [])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, folder)
+        assert kept.columns == docs.columns and kept.count() == 0
+    assert corpus_pipeline.run(spark, folder).count() == 0
