@@ -304,8 +304,7 @@ def _(spark, sf_dir):
 @query("join_dynamic_eq", "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey")
 def _(spark, sf_dir):
     join = Join("suppliers", Query("supplier", ["s_suppkey"]), "c_nationkey", "s_nationkey")
-    rows = compiler(spark, sf_dir).nested(Query("customer", ["c_custkey"], joins=[join], limit=UNLIMITED))
-    return rows.select("c_custkey", F.explode("suppliers.s_suppkey").alias("s_suppkey"))
+    return compiler(spark, sf_dir).flat_join(Query("customer", ["c_custkey"], joins=[join], limit=UNLIMITED))
 
 
 @query("join_dynamic_lt", "SELECT r_regionkey, n_nationkey FROM region JOIN nation ON r_regionkey < n_regionkey")

@@ -15,6 +15,9 @@ from .model import Model, ModelError, Table
 from .nodes import UNLIMITED, And, Cmp, Filter, Join, Query, Ref, Through, both
 from .policy import ANYONE, Context, Policy
 
+#: Left and right rows of one value that meet in one cell of an explicit join's rows.
+CELL = (2048, 65536)
+
 
 @dataclass
 class Page:
@@ -260,6 +263,16 @@ class Compiler:
         Equality is a hash or merge join.  A range or pattern condition has no key to
         partition by; it compares with the distinct left values only.
         """
+        left_column, target, right = self._sides(table, join)
+        left = rows.select(F.col(left_column.name).alias("__left")).filter("__left IS NOT NULL").distinct()
+        test = filters.predicate(F.col("__left"), join.op or "_eq", F.col(target.column(join.right).name), left_column.type)
+        pairs = left.join(right, test, "inner")
+        if join.query.limit not in (None, UNLIMITED):  # of all parents together
+            pairs = pairs.orderBy("__left", *self.order(target, join.query.sort)).limit(join.query.limit)
+        return pairs
+
+    def _sides(self, table: Table, join: Join) -> tuple[Column, Table, DataFrame]:
+        """(left column, joined table, its rows) of a join that the caller may make."""
         left_column = table.column(join.left)
         target = self.model.table(join.query.table)
         self.policy.guard_read(table, {left_column.name}, self.context)
@@ -267,12 +280,42 @@ class Compiler:
         self.policy.guard_read(target, {target.column(join.right).name}, self.context)
         self.policy.guard_use(table, {left_column.name})
         self.policy.guard_use(target, {join.right})
-        left = rows.select(F.col(left_column.name).alias("__left")).filter("__left IS NOT NULL").distinct()
-        test = filters.predicate(F.col("__left"), join.op or "_eq", F.col(target.column(join.right).name), left_column.type)
-        pairs = left.join(right, test, "inner")
-        if join.query.limit not in (None, UNLIMITED):  # of all parents together
-            pairs = pairs.orderBy("__left", *self.order(target, join.query.sort)).limit(join.query.limit)
-        return pairs
+        return left_column, target, right
+
+    def flat_join(self, query: Query) -> DataFrame:
+        """The query's one explicit join as rows: a row a match, its columns after the page's.
+
+        A value's matches are the product of its rows on either side, so they are neither one
+        array nor one task.  Each value has a grid: a left row goes to one line of it and a right
+        row to one column, by the hash of its key, and they meet in one cell of about ``CELL`` rows.
+        """
+        table = self.model.table(query.table)
+        if len(query.joins) != 1 or query.links:
+            raise ModelError("rows of matches need one join and no links")
+        join = query.joins[0]
+        if join.single or join.query.limit not in (None, UNLIMITED) or join.query.offset or join.query.links or join.query.joins:
+            raise ModelError("rows of matches have no pages")
+        left_column, target, right = self._sides(table, join)
+        rows, extra = self._with_aggregates(self.page_rows(query), table, query)
+        right, more = self._with_aggregates(right, target, join.query)
+        place = lambda t: F.xxhash64(*[F.col(c) for c in t.keys or t.columns]).alias("__h")
+        rows = rows.select(F.col(left_column.name).alias("__l"), place(table), *self.project(table, query), *extra)
+        right = right.select(F.col(target.column(join.right).name).alias("__r"), place(target), *self.project(target, join.query), *more)
+        own, others = rows.columns[2:], right.columns[2:]
+        if twice := set(own) & set(others):
+            raise ModelError(f"two columns named {', '.join(sorted(twice))}")
+        parts = [df.groupBy(F.col(c).alias(f"__g{c[2:]}")).agg(F.ceil(F.count("*") / n).alias(f"__n{c[2:]}")) for df, c, n in ((rows, "__l", CELL[0]), (right, "__r", CELL[1]))]
+        grid = parts[0].join(parts[1], filters.predicate(F.col("__gl"), join.op or "_eq", F.col("__gr"), left_column.type))
+        line = lambda n: F.pmod(F.col("__h"), F.col(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        cell = lambda side, i, j: [F.col("__gl").alias(f"__{side}0"), F.col("__gr").alias(f"__{side}1"), i.alias(f"__{side}2"), j.alias(f"__{side}3")]
+        rows = rows.join(grid, F.col("__l") == F.col("__gl")).select(*cell("l", line("__nl"), every("__nr")), *own)
+        right = right.join(grid, F.col("__r") == F.col("__gr")).select(*cell("r", every("__nl"), line("__nr")), *others)
+        session = rows.sparkSession
+        tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
+        rows, right = [df.repartition(tasks, *[f"__{side}{k}" for k in range(4)]) for df, side in ((rows, "l"), (right, "r"))]
+        met = functools.reduce(operator.and_, [F.col(f"__l{k}") == F.col(f"__r{k}") for k in range(4)])
+        return rows.join(right.hint("merge"), met).select(*own, *others)
 
     # Aggregates over links
 

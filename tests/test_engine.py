@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomspan.frontends import graphql, intent, kv, ldap, listing, odata, rawsql, sqlsubset, visual
 from loomspan.functions import crypto, enums, expr, masks, text
 from loomspan.operators import aggregate, eav, filters, history, keys, mutate, search
-from loomspan.plans import metadata, model as models
+from loomspan.plans import catalog, compile as compiling, metadata, model as models
 from loomspan.plans.compile import Compiler
 from loomspan.plans.model import Model, ModelError, sample_model
 from loomspan.plans.nodes import UNLIMITED, Cmp, Join, Query, Search, Through
@@ -141,6 +141,35 @@ def test_ambiguous_names(spark):
         m.table("t")
 
 
+# Explicit joins as rows
+
+
+def test_rows_of_a_join_are_no_array_and_no_single_task(spark):
+    df = catalog.queries()["join_dynamic_eq"](spark, "/root/testdata/sf0.01")
+    assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
+    tasks = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(tasks) < sum(tasks) / 2
+
+
+@pytest.mark.parametrize("cell", [compiling.CELL, (3, 2), (1, 1)])
+@pytest.mark.parametrize("op", ["_eq", "_lt"])
+def test_rows_of_a_join_equal_all_matches(spark, monkeypatch, cell, op):
+    monkeypatch.setattr(compiling, "CELL", cell)
+    left = [(k, [7, 7, 7, k, None][k % 5], "x") for k in range(40)]
+    right = [(k, [7, 7, k, None][k % 4]) for k in range(30)]
+    m = Model()
+    m.add("a", spark.createDataFrame([*left, left[0]], "k int, v int, w string"))  # no key, and a row twice
+    m.add("b", spark.createDataFrame(right, "j int, v int"), ("j",))
+    join = Join("b", Query("b", ["j"]), "v", "v", op)
+    found = Compiler(m).flat_join(Query("a", ["k"], joins=[join], limit=UNLIMITED))
+    meet = {"_eq": lambda x, y: x == y, "_lt": lambda x, y: x < y}[op]
+    want = [(x[0], y[0]) for x in [*left, left[0]] for y in right if x[1] is not None and y[1] is not None and meet(x[1], y[1])]
+    assert found.columns == ["k", "j"] and sorted(map(tuple, found.collect())) == sorted(want)
+    for bad in (Join("b", Query("b", ["j"], limit=3), "v", "v"), Join("b", Query("b", ["j"]), "v", "v", single=True), Join("b", Query("b", ["v"]), "v", "v")):
+        with pytest.raises(ModelError):
+            Compiler(m).flat_join(Query("a", ["v"], joins=[bad], limit=UNLIMITED))
+
+
 # Aggregates
 
 
