@@ -18,6 +18,13 @@ from .policy import ANYONE, Context, Policy
 #: Left and right rows of one value that meet in one cell of an explicit join's rows.
 CELL = (2048, 65536)
 
+#: Stored rows behind a collection link from which on its tasks are numbered by them, and rows a task then.
+MANY, TASK = 1_000_000, 250_000
+#: Estimated bytes of parents from which on they count as many.
+MANY_PARENTS = 1 << 20
+#: Pieces in which the rows of a parent are ranked first.
+PIECES = 16
+
 
 @dataclass
 class Page:
@@ -199,6 +206,8 @@ class Compiler:
         offset, limit = inner.page()
         parents = rows.select(*[F.col(c).alias(f"__p{i}") for i, c in enumerate(parent_columns)])
         on = [F.col(k) == F.col(f"__p{i}") for i, k in enumerate(keys)]
+        if tasks := self._tasks(table, name, parents):
+            return self._dealt(found, parents, keys, target, inner, tasks), keys, parent_columns, target
         found = found.join(parents, functools.reduce(operator.and_, on), "left_semi")
         totals = found.groupBy(*keys).agg(F.count("*").cast("int").alias("total"))
         ranked = found.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*self.order(target, inner.sort))))
@@ -208,6 +217,41 @@ class Compiler:
             ranked = ranked.filter(F.col("rn") > offset)
         return ranked.join(totals, keys), keys, parent_columns, target
 
+    def _tasks(self, table: Table, name: str, parents: DataFrame) -> int:
+        """How many tasks the rows behind a link need; 0 if they are few or of few parents, where the session's number does."""
+        if int(str(parents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < MANY_PARENTS:
+            return 0
+        stored = table.multi_links[name].child if name in table.multi_links else table.many_links[name].junction
+        count = self.model.frame(self.model.table(stored)).count()
+        return 0 if count <= MANY else max(parents.sparkSession.sparkContext.defaultParallelism, -(-count // TASK))
+
+    def _dealt(self, found: DataFrame, parents: DataFrame, keys: list[str], target: Table, inner: Query, tasks: int) -> DataFrame:
+        """``rn`` and ``total`` of many parents, by ``tasks`` that each hold about as many rows at any size of the input.
+
+        Rows are ranked and counted in pieces of each parent first, so that one with very many
+        sends only the page's rows and the counts of its pieces to its own task.  Parents meet
+        their rows after that, for a semi join would be moved below it and sort all rows in the session's tasks.
+        """
+        offset, limit = inner.page()
+        order = self.order(target, inner.sort)
+        rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        if limit != UNLIMITED:
+            pieces = [*keys, "__piece"]
+            found = found.withColumn("__piece", F.pmod(F.xxhash64(*[F.col(c) for c in target.keys or target.columns]), F.lit(PIECES)))
+            found = found.repartition(tasks, *pieces).withColumn("__rn", rank(*pieces)).withColumn("__total", F.count("*").over(Window.partitionBy(*pieces)))
+            found = found.filter(F.col("__rn") <= offset + limit).withColumn("__total", F.when(F.col("__rn") == 1, F.col("__total")).otherwise(0)).drop("__piece")
+        else:
+            found = found.withColumn("__total", F.lit(1))
+        asked = parents.repartition(tasks, *parents.columns).distinct()
+        on = functools.reduce(operator.and_, [F.col(k) == F.col(p) for k, p in zip(keys, parents.columns)])
+        found = found.repartition(tasks, *keys).join(asked, on).drop(*parents.columns)
+        found = found.withColumn("__rn", rank(*keys)).withColumn("__total", F.sum("__total").over(Window.partitionBy(*keys)).cast("int"))
+        if limit != UNLIMITED:
+            found = found.filter((F.col("__rn") <= offset + limit) & (F.col("__rn") > offset))
+        elif offset:
+            found = found.filter(F.col("__rn") > offset)
+        return found.withColumnsRenamed({"__rn": "rn", "__total": "total"})
+
     def _collection(self, rows: DataFrame, table: Table, name: str, inner: Query, mark: str) -> tuple[DataFrame, Column]:
         """A page struct for each parent; a parent without rows on the page gets total 0."""
         ranked, keys, parent_columns, target = self.per_parent(rows, table, name, inner)

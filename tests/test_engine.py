@@ -99,6 +99,32 @@ def test_pages(blog):
             c.nested(bad).collect()
 
 
+def test_pages_of_many_parents_take_tasks_by_their_rows(spark, monkeypatch):
+    hot = [(1, k) for k in range(200)] + [(p, k % 7) for p in range(2, 40) for k in range(p % 6)] + [(2, 3), (2, 3), (99, 1), (None, 1)]
+    m = Model()
+    m.add("parents", spark.createDataFrame([(p,) for p in range(45)], "id int"), ("id",))
+    m.add("things", spark.createDataFrame([(k, k % 10) for k in range(200)], "k int, price int"), ("k",))
+    m.add("uses", spark.createDataFrame([(n, *x) for n, x in enumerate(hot)], "n int, p int, k int"), ("n",))
+    m.link("uses", "p", "parents")
+    m.link("uses", "k", "things")
+    m.many_to_many("parents", "uses", "things")
+    c = Compiler(m)
+
+    def pages():
+        for page in ({"limit": 3}, {"limit": 2, "offset": 1}, {"limit": UNLIMITED, "offset": 2}):
+            for parents in (Query("parents", limit=UNLIMITED), Query("parents", limit=3)):
+                yield c.flat_children(parents, "things", Query("things", ["k"], sort=["price_desc"], **page))
+                yield c.flat_children(parents, "uses", Query("uses", ["n", "k"], sort=["k_desc"], **page))
+
+    want = [sorted(map(tuple, df.collect())) for df in pages()]
+    assert all(want) and (1, 9, 1, 200) in want[0]
+    for name, value in (("MANY", 100), ("MANY_PARENTS", 0), ("TASK", 20)):
+        monkeypatch.setattr(compiling, name, value)
+    assert [sorted(map(tuple, df.collect())) for df in pages()] == want
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in pages()]
+    assert all(f", {-(-len(hot) // 20)}" in line for plan in plans for line in plan.splitlines() if "RepartitionByExpression" in line) and all("RepartitionByExpression" in plan for plan in plans)
+
+
 def test_inferred_many_to_many(blog):
     rows = Compiler(blog).nested(Query("posts", ["id"], links={"tags": Query("tags", ["name"], sort=["name_asc"])}, limit=UNLIMITED)).collect()
     assert {r.id: [t.name for t in r.tags.data] for r in rows} == {1: ["t1", "t2", "t3"], 2: ["t1", "t2"], 3: [], 4: [], 5: []}
