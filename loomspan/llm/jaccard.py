@@ -16,14 +16,17 @@ a region.
 * Such regions join recursively: document pivots, exact distances to them, Voronoi regions with
   documents copied to a neighbour if their distance to it is within twice the radius of that to
   their own pivot, and so on.  Documents far from all pivots are a region of their own, and
-  copied to pivots that a neighbour within the radius may belong to.
+  copied to pivots that a neighbour within the radius may belong to.  Where that would copy nearly
+  all to nearly everywhere, as in a large group of near copies, the members outside the largest
+  component meet all others instead: a matrix product over the elements that most have bounds
+  all overlaps at once, and only pairs that it leaves possible are compared.
 * A region of more than ``REGION_BYTES`` is split by Spark: its members' distances to the pivots
   are found in slices.  Pivots are the members that stand in most large regions, as the centre
   of a group of near copies does.  What is linked to one pivot is one component already, and
   a region whose members are one component is done; a pivot is done at once, having met all.
   A smaller region is joined by one task, by the same recursion.
-* What is still larger after ``LEVELS`` levels, because no pivots separate it, is compared in slices:
-  members outside its largest component with all others.
+* What pivots do not separate, or is still larger after ``LEVELS`` levels, is compared in blocks and
+  slices: members outside its largest component with all others.
 
 The order puts shingles of large regions last; that only steers the work, for any order
 gives the same links.  Equal sets are one class throughout.
@@ -55,6 +58,8 @@ REGION_BYTES = 6 << 20  # of packed sets in one task
 PIVOTS = 8
 LEVELS = 6
 FAR = 0.6  # distance beyond which a document belongs to no pivot
+MOST_OF, MOST_COPIES = 0.7, 3  # of a region's members: in one of its cells, and in all of them together
+DENSE, COLUMNS, AT_ONCE = 1 << 23, 2048, 1 << 21  # numbers of four bytes in a matrix, its columns, and pairs bounded at once
 MOST_BROADCAST = 100_000  # rows of a few numbers
 MOST_FREQUENT = 200_000
 BYTES = 6  # of each shingle in a packed set
@@ -159,21 +164,41 @@ class Sets:
         self.n = np.array([len(b) // BYTES for b in blobs], np.int64)
         wide = np.zeros((int(self.n.sum()), 8), np.uint8)
         wide[:, 8 - BYTES :] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, BYTES)
-        values, self.ids = np.unique(wide.view(U).ravel(), return_inverse=True)
+        values, self.ids, often = np.unique(wide.view(U).ravel(), return_inverse=True, return_counts=True)
         self.begin = np.cumsum(self.n) - self.n
         self.mark = np.zeros(len(values), bool)
+        total = np.concatenate([[0], np.cumsum(often[self.ids])])
+        self.central = (total[self.begin + self.n] - total[self.begin]) / np.maximum(self.n, 1)  # how many have a member's elements
+
+    def elements(self, members: np.ndarray) -> np.ndarray:
+        """Element numbers of ``members``, one after another."""
+        count = self.n[members]
+        return self.ids[np.repeat(self.begin[members] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
 
     def overlaps(self, x: int, others: np.ndarray) -> np.ndarray:
         """Elements that member ``x`` has in common with each of ``others``."""
         own = self.ids[self.begin[x] : self.begin[x] + self.n[x]]
         self.mark[own] = True
         count = self.n[others]
-        at = np.repeat(self.begin[others] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        total = np.concatenate([[0], np.cumsum(self.mark[self.ids[at]])])
+        total = np.concatenate([[0], np.cumsum(self.mark[self.elements(others)])])
         self.mark[own] = False
         ends = np.cumsum(count)
         return total[ends] - total[ends - count]
 
+    def dense(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A row of 0 and 1 for each member, over the elements that most of them have; and how many other shared elements each has."""
+        ids = self.elements(members)
+        own, counts = np.unique(ids, return_counts=True)
+        shared = own[counts > 1]
+        most = max(1, min(COLUMNS, DENSE // len(members)))
+        top = shared[np.argsort(-counts[counts > 1], kind="stable")[:most]]
+        column = np.full(len(self.mark), -1, np.int32)
+        column[shared], column[top] = -2, np.arange(len(top))
+        row, spot = np.repeat(np.arange(len(members)), self.n[members]), column[ids]
+        table = np.zeros((len(members), len(top)), np.float32)
+        table[row[spot >= 0], spot[spot >= 0]] = 1
+        return table, np.bincount(row[spot == -2], minlength=len(members)).astype(np.float32)
+
 
 class Forest:
     """Union-find over a cell's members."""
@@ -192,18 +217,30 @@ class Forest:
         return x != y
 
     def roots(self, members: np.ndarray) -> np.ndarray:
-        return np.array([self.find(int(m)) for m in members], np.int64)
+        if len(members) < len(self.up) // 16:
+            return np.array([self.find(int(m)) for m in members], np.int64)
+        up = np.array(self.up, np.int64)
+        while (up != up[up]).any():
+            up = up[up]
+        return up[members]
 
 
 class Region:
     """Exact links within a cell, as far as they connect what is not yet connected."""
 
-    DIRECT, DEPTH = 16, 6
+    DIRECT, DEPTH, FEW = 16, 6, 64
 
     def __init__(self, sets: Sets, percent: int):
         self.sets, self.percent, self.radius = sets, percent, 1 - percent / 100
         self.forest, self.links = Forest(len(sets.n)), []
 
+    def known(self, labels: list) -> None:
+        """Members of one label are connected; null is none."""
+        first: dict[int, int] = {}
+        for k, label in enumerate(labels):
+            if label is not None:
+                self.forest.join(first.setdefault(label, k), k)
+
     def compare(self, x: int, others: np.ndarray, level: int) -> np.ndarray:
         """Distances of ``x`` to ``others``; links found on the way are kept, with ``level``: that of the pivots, 0 without."""
         common = self.sets.overlaps(x, others)
@@ -220,32 +257,59 @@ class Region:
         if len(members) <= self.DIRECT or depth == self.DEPTH:
             return self.outright(members)
         pivots = members[np.linspace(0, len(members) - 1, min(PIVOTS, len(members))).astype(int)]
+        pivots[0] = members[np.argmax(self.sets.central[members])]  # of a group of near copies, what they are copies of
         distance = np.stack([self.compare(int(p), members, depth + 1) for p in pivots])
         own = distance.min(axis=0)
         near = distance <= own + 2 * self.radius + 1e-9
         cells = [members[row] for row in near]
-        if max(map(len, cells)) > 0.7 * len(members):  # the pivots do not separate these
-            return self.outright(members, distance)
+        if max(map(len, cells)) > MOST_OF * len(members) or sum(map(len, cells)) > MOST_COPIES * len(members):  # the pivots do not separate these
+            return self.outright(members)
         for cell in cells:
             self.join(cell, depth + 1)
 
-    def outright(self, members: np.ndarray, distance: np.ndarray | None = None) -> None:
-        """Compare members with all others that size and pivot distances leave possible.
+    def outright(self, members: np.ndarray) -> None:
+        """Compare members with all others that sizes and common elements leave possible.
 
         Pairs within the largest component stay uncompared: they are connected already.
         """
-        sizes = self.sets.n[members]
         roots = self.forest.roots(members)
         values, counts = np.unique(roots, return_counts=True)
-        for k in np.flatnonzero(roots != values[np.argmax(counts)]):
+        asking = np.flatnonzero(roots != values[np.argmax(counts)])
+        if len(members) > self.FEW:
+            return self.meet(members, asking, np.arange(len(members)))
+        sizes = self.sets.n[members]
+        for k in asking:
             x = int(members[k])
-            others = self.forest.roots(members) != self.forest.find(x) if len(members) <= 256 else np.arange(len(members)) != k
+            others = self.forest.roots(members) != self.forest.find(x)
             others &= (100 * sizes >= self.percent * sizes[k]) & (self.percent * sizes <= 100 * sizes[k])
-            if distance is not None:
-                others &= (np.abs(distance - distance[:, k : k + 1]) <= self.radius + 1e-9).all(axis=0)
             if others.any():
                 self.compare(x, members[others], 0)
 
+    def meet(self, members: np.ndarray, asking: np.ndarray, others: np.ndarray) -> None:
+        """Compare ``asking`` with ``others`` of other components, both places in ``members``, where overlaps may be large enough.
+
+        An overlap is that of the matrix and no more than either has beside it.
+        """
+        if not len(asking) or not len(others):
+            return
+        table, left = self.sets.dense(members)
+        share = np.float32(self.percent / (100 + self.percent))
+        need = share * self.sets.n[members].astype(np.float32) - np.float32(0.25)
+        right, left_right, need_right = table[others].T, left[others], need[others]
+        step = max(1, AT_ONCE // len(others))
+        for first in range(0, len(asking), step):
+            part = asking[first : first + step]
+            roots = self.forest.roots(members)
+            most = table[part] @ right
+            most += np.minimum(left[part, None], left_right)
+            most -= need[part, None]
+            possible = (most >= need_right) & (roots[part, None] != roots[others])
+            for k in np.flatnonzero(possible.any(axis=1)):
+                x, ys = int(members[part[k]]), members[others[possible[k]]]
+                ys = ys[self.forest.roots(ys) != self.forest.find(x)]
+                if len(ys):
+                    self.compare(x, ys, 0)
+
 
 LINKS = "u long, v long, level int"
 
@@ -266,10 +330,7 @@ def _join_region(percent: int):
         table = table.combine_chunks()
         order = np.argsort(table.column("sig").to_numpy(), kind="stable")
         region = Region(_sets(table, order), percent)
-        first: dict[int, int] = {}
-        for k, comp in enumerate(np.array(table.column("comp").to_pylist(), object)[order]):
-            if comp is not None:
-                region.forest.join(first.setdefault(comp, k), k)
+        region.known(table.column("comp").take(pa.array(order)).to_pylist())
         region.join(np.arange(len(order)))
         return _links(region.sets.sigs, region.links)
 
@@ -331,13 +392,9 @@ def _outright(percent: int):
         table = table.combine_chunks()
         query = table.column("query").to_numpy(zero_copy_only=False)
         region = Region(_sets(table, np.arange(len(query))), percent)
-        comp = np.array([-1 if c is None else c for c in table.column("comp").to_pylist()], np.int64)
-        known = np.array([c is not None for c in table.column("comp").to_pylist()], bool)
-        others = np.flatnonzero(~query)
-        for x in np.flatnonzero(query):
-            rest = others[(region.sets.sigs[others] != region.sets.sigs[x]) & ~(known[x] & known[others] & (comp[others] == comp[x]))]
-            if len(rest):
-                region.compare(int(x), rest, 0)
+        region.known(table.column("comp").to_pylist())
+        region.known(table.column("sig").to_pylist())  # queries are among the members too
+        region.meet(np.arange(len(query)), np.flatnonzero(query), np.flatnonzero(~query))
         return _links(region.sets.sigs, region.links)
 
     return run
@@ -396,12 +453,14 @@ class Regions:
             return
         large = members.filter(F.col("bytes") > self.most)
         if level == LEVELS:
-            self.links.append(self.work.table(self.compared(large), "compared"))
-            return
+            return self.compare(large, level)
         self.join(self.split(large, level + 1), level + 1)
 
     def split(self, large: DataFrame, level: int) -> DataFrame:
-        """The members of the Voronoi regions around each region's pivots, and copies within their windows."""
+        """The members of the Voronoi regions around each region's pivots, and copies within their windows.
+
+        Regions that these would not make much smaller are compared here, and have none.
+        """
         first = Window.partitionBy("region").orderBy(F.col("comp").isNotNull(), F.desc("wide"), "sig")
         pivots = large.withColumn("pivot", F.row_number().over(first) - 1).filter(F.col("pivot") < PIVOTS)
         pivots = self.work.table(pivots.withColumn("slice", F.explode(F.sequence(F.lit(0), self.slices("bytes") - 1))), f"pivots{level}")
@@ -418,24 +477,31 @@ class Regions:
         merged = self.work.table(merged.select(F.col("region").alias("of"), F.col("comp").alias("was"), F.col("linked").alias("by"), "merged"), f"merged{level}")
         on = (F.col("region") == F.col("of")) & F.col("comp").eqNullSafe(F.col("was")) & (F.col("linked") == F.col("by"))
         bits = F.expr(f"filter(sequence(0, {PIVOTS}), i -> (shiftright(near, i) & 1) = 1)")
-        rows = _attach(found.filter("near != 0"), merged, on).withColumn("i", F.explode(bits))
+        cells = [F.count_if(F.shiftright("near", i) % 2 == 1) for i in range(PIVOTS + 1)]
+        apart = (F.greatest(*cells) <= MOST_OF * F.count(F.lit(1))) & (sum(cells[1:], cells[0]) <= MOST_COPIES * F.count(F.lit(1)))
+        apart = found.groupBy("region").agg(apart.alias("apart"), (F.sum("n") * BYTES).alias("bytes"))
+        apart = self.work.table(apart.select(F.col("region").alias("cut"), "apart", "bytes"), f"apart{level}")
+        rows = _attach(_attach(found.filter("near != 0"), merged, on), apart, F.col("region") == F.col("cut"))
+        if not apart.filter("NOT apart").isEmpty():
+            self.compare(rows.filter("NOT apart").select("region", "sig", "n", F.col("merged").alias("comp"), "bytes"), level)
+        rows = rows.filter("apart").withColumn("i", F.explode(bits))
         rows = rows.select(F.xxhash64("region", "i").alias("region"), "sig", "n", "wide", F.col("merged").alias("comp"), (F.col("own") & (F.col("i") == F.col("nearest"))).alias("own"))
         return self.work.table(rows, f"members{level}")
 
     def slices(self, size: str) -> Column:
         return F.ceil(F.col(size) / F.lit(float(self.most))).cast("int")
 
-    def compared(self, large: DataFrame) -> DataFrame:
-        """Members of a region's own that are outside its most frequent component, with all others, by blocks and slices."""
+    def compare(self, large: DataFrame, level: int) -> None:
+        """Links of a region's members outside its most frequent component with all others, by blocks and slices."""
         main = large.groupBy("region").agg(F.mode("comp").alias("main"))
-        large = self.work.table(_attach(large, self.work.table(main, "mains"), "region"), "large")
-        asks = large.filter("own AND (comp IS NULL OR comp != main)")
-        blocks = self.work.table(asks.groupBy("region").agg((F.sum("n") * BYTES).alias("asked")), "blocks")
+        large = self.work.table(_attach(large, self.work.table(main, f"mains{level}"), "region"), f"large{level}")
+        asking = F.col("comp").isNull() | (F.col("comp") != F.col("main"))
+        blocks = self.work.table(large.filter(asking).groupBy("region").agg((F.sum("n") * BYTES).alias("asked")), f"blocks{level}")
         rows = _attach(large, blocks, "region").withColumns({"block": F.pmod(F.xxhash64("sig"), self.slices("asked")).cast("int"), "slice": F.pmod(F.xxhash64("sig", F.lit(1)), self.slices("bytes")).cast("int")})
-        asks = rows.filter("own AND (comp IS NULL OR comp != main)").withColumns({"query": F.lit(True), "slice": F.explode(F.sequence(F.lit(0), self.slices("bytes") - 1))})
+        asks = rows.filter(asking).withColumns({"query": F.lit(True), "slice": F.explode(F.sequence(F.lit(0), self.slices("bytes") - 1))})
         rest = rows.withColumns({"query": F.lit(False), "block": F.explode(F.sequence(F.lit(0), self.slices("asked") - 1))})
         rows = asks.unionByName(rest).join(self.sets, "sig").select("region", "block", "slice", "sig", "comp", "query", "blob")
-        return rows.groupBy("region", "block", "slice").applyInArrow(_outright(self.percent), LINKS)
+        self.links.append(self.work.table(rows.groupBy("region", "block", "slice").applyInArrow(_outright(self.percent), LINKS), f"compared{level}"))
 
 
 def links(docs: DataFrame, found: DataFrame, least: DataFrame, work: Workspace, size: int, percent: int, leaf: int, most: int) -> DataFrame:

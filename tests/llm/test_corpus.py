@@ -303,6 +303,55 @@ def test_jaccard_region_recursion():
     assert same(find) == same(region.forest.find)
 
 
+def near_copies(n, most_edits, seed=21):
+    """Copies of one text with ever more edits, so that many are near all others and linked with none."""
+    rng = random.Random(seed)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(150)]
+    texts = [" ".join(base)]
+    for k in range(n):
+        copy = list(base)
+        for at in rng.sample(range(150), 1 + k % most_edits):
+            copy[at] = rng.choice(["some", "few", "words", f"edit{rng.randrange(40)}", f"own{k}"])
+        texts.append(" ".join(copy))
+    return texts
+
+
+@pytest.mark.parametrize("columns", [jaccard.COLUMNS, 60])
+def test_jaccard_of_near_copies_that_pivots_do_not_separate(spark, monkeypatch, columns):
+    """Members of a large region are not copied to all pivots, level after level: their number stays within that of the region."""
+    texts, rows = near_copies(300, 12), collections.Counter()
+    monkeypatch.setattr(jaccard, "COLUMNS", columns)
+    monkeypatch.setattr(jaccard, "LEVELS", 3)
+    table = jaccard.Workspace.table
+
+    def counted(self, df, name):
+        out = table(self, df, name)
+        rows[name] = out.count() if name.startswith("members") else 0
+        return out
+
+    monkeypatch.setattr(jaccard.Workspace, "table", counted)
+    found = jaccard.linked(docs_of(spark, texts), most=30_000).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == linked_by_force(texts)
+    assert all(rows[f"members{k}"] <= jaccard.MOST_COPIES * rows["members0"] for k in range(1, 4)), rows
+
+
+@pytest.mark.parametrize("columns, dense", [(2048, 1 << 23), (20, 1 << 23), (1, 1)])
+def test_jaccard_bounds_of_overlaps(monkeypatch, columns, dense):
+    """With any number of columns, what the bounds leave has all links of members that are not of one component."""
+    monkeypatch.setattr(jaccard, "COLUMNS", columns)
+    monkeypatch.setattr(jaccard, "DENSE", dense)
+    monkeypatch.setattr(jaccard, "AT_ONCE", 1000)
+    texts = near_copies(200, 14) + near_copies(60, 5, seed=22)
+    sets = [s for part in textscan.slices(pa.array(texts, pa.large_string()), textscan.unspaced(lower=True)) for s in jaccard.shingle_sets(part, 4)]
+    blobs = [s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for s in sets]
+    region = jaccard.Region(jaccard.Sets(np.arange(len(blobs)), blobs), 85)
+    compared = []
+    monkeypatch.setattr(jaccard.Region, "compare", lambda self, x, others, level, f=jaccard.Region.compare: compared.append(len(others)) or f(self, x, others, level))
+    region.outright(np.arange(len(blobs)))
+    assert [region.forest.find(k) for k in range(len(blobs))] == [c for _, c in linked_by_force(texts).values()]
+    assert columns < 2048 or sum(compared) < len(texts) ** 2 / 20
+
+
 def test_jaccard_rows_twice_null_ids_and_nothing(spark):
     rows = [(7, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (5, None), (9, "q r s t u")]
     out = jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()
