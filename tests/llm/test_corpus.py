@@ -798,6 +798,26 @@ def test_pipeline(spark):
     assert {r.doc_id for r in rows.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
 
 
+def test_pipeline_near_copies_that_pivots_do_not_separate(spark, monkeypatch):
+    """The stage's large regions are not copied to all pivots, and it keeps one document of each linked group."""
+    import corpus_pipeline
+
+    texts, rows = near_copies(240, 16, seed=31), collections.Counter()
+    table, linked = jaccard.Workspace.table, jaccard.linked
+
+    def counted(self, df, name):
+        out = table(self, df, name)
+        rows[name] = out.count() if name.startswith("members") else 0
+        return out
+
+    monkeypatch.setattr(jaccard, "LEVELS", 2)
+    monkeypatch.setattr(jaccard.Workspace, "table", counted)
+    monkeypatch.setattr(jaccard, "linked", lambda docs, **stage: linked(docs, most=30_000, **stage))
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs_of(spark, texts), SF).collect()}
+    assert kept == {c for _, c in linked_by_force(texts, corpus_pipeline.SHINGLE, corpus_pipeline.PERCENT).values()}
+    assert rows["members0"] and rows["members1"] <= 3 * rows["members0"], rows
+
+
 def test_pipeline_links_five_words_at_four_fifths(spark):
     import corpus_pipeline
 
